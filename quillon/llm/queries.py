@@ -8,14 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, packing, quality, simhash
-from quillon.llm.shared import WORD
+from quillon.llm import bpe, chat, langid, licenses, lm, packing, quality, simhash, sketch, warc
+from quillon.llm.shared import WORD, id_remainder
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document stands in the directory of its source, by thousands and tens of its id."""
+    docs = _read(spark, sf_dir, "documents")
+    path = F.format_string("%s/%d/%d/%d.txt", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1000"), F.expr("doc_id div 10"), F.col("doc_id"))
+    return licenses.scan(docs.withColumn("path", path), "doc_id", "path", "text").withColumnRenamed("key", "doc_id")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(_read(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, bpe.token_bytes(spark, vocabulary))
+    ids_text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -30,10 +45,27 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_read(spark, sf_dir, "documents"), id_remainder("doc_id", 7) == 2)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "file", "offset")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edit_report(_read(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -41,10 +73,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_quality_rules": op5_quality_rules,
+    "op6_katz": op6_katz,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_chat_format": op10_chat_format,
     "pipeline": pipeline,
 }
 
