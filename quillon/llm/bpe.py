@@ -10,14 +10,13 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import block_words, unpack_codes, word_blocks
-from quillon.llm.shared import materialise
+from quillon.llm.blocks import cuts_of, expand, list_column, part_count, unpack_codes, word_blocks
 
 _encoders: dict[str, object] = {}
 
@@ -54,60 +53,70 @@ def number_pretokens(texts: list[str], pattern: str) -> tuple[list[np.ndarray],
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     starts = np.cumsum(sizes) - sizes
-    out = []
-    for text, codes in zip(texts, at):
-        if whole[codes].any():
-            out.append(numbers(find(text)))
-        else:
-            n = sizes[codes]
-            ends = np.cumsum(n)
-            out.append(flat[np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1])])
+    out = [numbers(find(text)) if whole[codes].any() else flat[expand(codes, starts, sizes)] for text, codes in zip(texts, at)]
     return out, list(words)
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>). The ranks, of the vocabulary's size, go to every task; each distinct pre-token is encoded once."""
+    """(doc_id, ids array<int>). The ranks, of the vocabulary's size, go to every task; each distinct pre-token is encoded once.
+
+    The blocks are made twice, once for their words and once for their positions, which costs less than storing
+    them. So docs must give the same rows in the same order again, as files do; else materialise() it first. Each
+    block has a check of its words, and one that comes out differently fails the query.
+    """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    parts = part_count(docs, text_col)
 
-    def number(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        return number_pretokens(texts, pattern)
+    def number(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+        codes, words = number_pretokens(texts, pattern)
+        return codes, [w.encode() for w in words]
 
-    @F.pandas_udf("array<int>")
-    def ids_of(words: pd.Series) -> pd.Series:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part of a block's words."""
+        for b in batches:
+            for k in range(b.num_rows):
+                words = b.column(2)[k].values
+                part = np.fromiter((xxhash.xxh64_intdigest(w) % parts for w in words.to_pylist()), np.int64, len(words))
+                cuts = cuts_of(part)
+                n = len(cuts) - 1
+                columns = [pa.array(part[cuts[:-1]], pa.int32()), *(pa.array([b.column(i)[k].as_py()] * n, pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words)]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "of_block", "check", "words"])
+
+    def encode_part(table: pa.Table) -> pa.Table:
+        """The ids of all words of a part, each distinct word being encoded once: sizes by word, and all ids."""
         import tiktoken
 
         if vocabulary not in _encoders:
             _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        encode_one = _encoders[vocabulary].encode_ordinary
-        return pd.Series([encode_one(w) for w in words], dtype=object)
-
-    blocks = materialise(word_blocks(docs, number, F.lit(False), id_col, text_col), "pretokens")
-    placed = block_words(blocks).select("block", "pos", "word")
-    words = placed.select("word").distinct().withColumn("ids", ids_of("word"))
-    found = placed.join(words, "word").select(F.col("block").alias("of_block"), "pos", "ids")
+        per_row, words = list_column(table, "words")
+        known = words.dictionary_encode()
+        ids = [_encoders[vocabulary].encode_ordinary(w) for w in known.dictionary.to_pylist()]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, at = np.fromiter((i for x in ids for i in x), np.int32, int(n.sum())), known.indices.to_numpy().astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(per_row)))
+        sizes = n[at]
+        id_ends = np.concatenate(([0], np.cumsum(sizes)))[ends]
+        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.int32())) for e, v in ((ends, sizes), (id_ends, flat[expand(at, np.cumsum(n) - n, n)]))]
+        return pa.table([table.column("of_block"), table.column("check"), table.column("part"), *lists], names=["of_block", "check", "part", "sizes", "ids"])
 
     def reassemble(block: pa.Table, found: pa.Table) -> pa.Table:
-        ids = found.column("ids").combine_chunks()
-        pos = found.column("pos").to_numpy()
-        lists = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-        offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
-        starts, sizes = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
-        starts[pos], sizes[pos] = offsets[:-1], np.diff(offsets)
-        out_docs, out_ids = [], []
-        for k in range(block.num_rows):
-            codes = unpack_codes(block.column("codes")[k].as_py())
-            doc_ids, begin = block.column("docs")[k].as_py(), 0
-            for doc, end in zip(doc_ids, block.column("ends")[k].as_py()):
-                at = codes[begin:end]
-                n = sizes[at]
-                ends = np.cumsum(n)
-                out_docs.append(doc)
-                out_ids.append(values[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32))
-                begin = end
-        return pa.table([pa.array(out_docs, pa.int64()), pa.array(out_ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    lean = blocks.select("block", "docs", "ends", "codes")
-    return lean.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
+        docs_of, ends = block.column("docs")[0].as_py(), block.column("ends")[0].as_py()
+        if set(found.column("check").to_pylist()) - {block.column("check")[0].as_py()}:
+            raise ValueError("the documents were not the same when read again; materialise() them before encoding")
+        found = found.sort_by("part")
+        sizes = list_column(found, "sizes")[1].to_numpy().astype(np.int64)
+        values, codes = list_column(found, "ids")[1].to_numpy(), unpack_codes(block.column("codes")[0].as_py())
+        starts = np.cumsum(sizes) - sizes
+        # the ids of all documents, and where each document's end
+        total = np.concatenate(([0], np.cumsum(sizes[codes])))[np.array([0, *ends])]
+        all_ids = values[expand(codes, starts, sizes)] if len(codes) else np.zeros(0, np.int32)
+        return pa.table([pa.array(docs_of, pa.int64()), pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(all_ids, pa.int32()))], names=["doc_id", "ids"])
+
+    blocks = word_blocks(docs, number, F.lit(False), parts, False, id_col, text_col)
+    dealt = blocks.select("block", "check", "words").mapInArrow(deal, "part int, of_block long, check long, words array<string>")
+    found = dealt.groupBy("part").applyInArrow(encode_part, "of_block long, check long, part int, sizes array<int>, ids array<int>")
+    placed = word_blocks(docs, number, F.lit(False), parts, False, id_col, text_col).select("block", "docs", "ends", "codes", "check")
+    return placed.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
