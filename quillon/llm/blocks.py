@@ -1,6 +1,7 @@
 """Word blocks: runs of documents stored as one dictionary of distinct words and the documents' word numbers.
 
-A word's positions stay with its block; what travels between tasks is one row for each distinct word of a block.
+A word's positions stay with its block. What travels between tasks is, for each block and part of the key space,
+one row with the block's distinct words in that part; answers come back as arrays in the same order.
 """
 
 from __future__ import annotations
@@ -10,44 +11,74 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import text_blocks
 
 BLOCK_BYTES = 8 << 20
-#: ends: where each document's codes end; codes: the documents' word numbers, compressed.
-SCHEMA = "block long, docs array<long>, flags array<boolean>, ends array<int>, codes binary, words array<string>, counts array<int>"
+#: Text behind the distinct words of one part.
+PART_BYTES = 2 << 20
+#: ends: where each document's codes end; codes: the documents' word numbers, compressed; keys: the words' hashes,
+#: or words: the words, by number. Words are numbered by part, then by first place. check: a hash of all of them.
+SCHEMA = "block long, docs array<long>, flags array<boolean>, ends array<int>, codes binary, check long"
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
-    return zlib.compress(codes.astype(np.uint32).tobytes(), 1)
+    """The numbers' bytes by significance, which compress better apart, after their count."""
+    octets = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(codes).to_bytes(8, "little") + zlib.compress(np.ascontiguousarray(octets).tobytes(), 1)
 
 
 def unpack_codes(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+    octets = np.frombuffer(zlib.decompress(data[8:]), np.uint8).reshape(4, int.from_bytes(data[:8], "little"))
+    return np.ascontiguousarray(octets.T).view("<u4").ravel().astype(np.int64)
 
 
-def word_blocks(docs: DataFrame, number: Callable[[list[str]], tuple[list[np.ndarray], list[str]]], flag, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA rows; number gives the word numbers of each text and the distinct words. counts are the words' numbers in flagged documents."""
+def part_count(docs: DataFrame, text_col: str = "text") -> int:
+    """How many parts the words of docs are dealt to: in proportion to the text."""
+    return 1 + (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PART_BYTES
+
+
+def expand(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the entries of each code, where code c has sizes[c] entries from starts[c] on."""
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    return np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def cuts_of(part: np.ndarray) -> np.ndarray:
+    """Where the runs of an ascending array begin, and its length."""
+    return np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+
+
+def list_column(table: pa.Table, column: str) -> tuple[np.ndarray, pa.Array]:
+    """Sizes and concatenated values of a list column."""
+    array = table.column(column).combine_chunks()
+    array = array if isinstance(array, pa.Array) else pa.concat_arrays(array.chunks)
+    return np.diff(array.offsets.to_numpy()), array.flatten()
+
+
+def word_blocks(docs: DataFrame, number: Callable[[list[str]], tuple[list[np.ndarray], list[bytes]]], flag: Column, parts: int, hashed: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """SCHEMA rows, with keys where hashed, else with words; number gives the word numbers of each text and the distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for b in text_blocks(batches, "text", BLOCK_BYTES):
             codes, words = number([t or "" for t in b.column(1).to_pylist()])
-            flags = b.column(2).to_pylist()
-            used = [c for c, f in zip(codes, flags) if f]
-            counts = np.bincount(np.concatenate(used), minlength=len(words)) if used else np.zeros(len(words), np.int64)
-            row = {"block": [block], "docs": [b.column(0).to_pylist()], "flags": [flags], "ends": [np.cumsum([len(c) for c in codes]).tolist()], "codes": [pack_codes(np.concatenate(codes))], "words": [words], "counts": [counts.tolist()]}
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], list(row))
+            keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            order = np.argsort(keys % np.uint64(parts), kind="stable")
+            renumbered = np.empty(len(words), np.int64)
+            renumbered[order] = np.arange(len(words))
+            flat = renumbered[np.concatenate(codes)]
+            check = xxhash.xxh64_intdigest(keys[order].tobytes()) >> 1
+            last = pa.array([keys[order].view(np.int64)], pa.list_(pa.int64())) if hashed else pa.array([[words[i].decode() for i in order]], pa.list_(pa.string()))
+            values = [[block], [b.column(0).to_pylist()], [b.column(2).to_pylist()], [np.cumsum([len(c) for c in codes]).tolist()], [pack_codes(flat)], [check]]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, values, types), last], ["block", "docs", "flags", "ends", "codes", "check", "keys" if hashed else "words"])
             block += 1
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), flag.alias("flag"))
-    return picked.mapInArrow(run, SCHEMA)
-
-
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, pos, word, n): a row for each distinct word of a block."""
-    return blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    return picked.mapInArrow(run, f"{SCHEMA}, {'keys array<long>' if hashed else 'words array<string>'}")

@@ -4,7 +4,7 @@ Null texts count as empty: their one token is the end. Repeated rows count, and
 occur. Without any training row every token is unknown with probability one. An empty table gives an empty
 result; columns other than the two named ones are dropped.
 
-Words and pairs of words are keyed by 64-bit hashes in the pair tables; the word table has the words themselves.
+Words and pairs of words are counted by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import block_words, unpack_codes, word_blocks
-from quillon.llm.shared import materialise
+from quillon.llm.blocks import cuts_of, list_column, part_count, unpack_codes, word_blocks
+from quillon.llm.shared import discard, materialise
 
 #: The end token; no word contains white space.
 END = "\n"
@@ -27,8 +27,8 @@ END = "\n"
 MAX_DISCOUNTED = 5
 #: Greater counts lose this much, so that every context leaves some mass to unseen words.
 TOP_LOSS = 0.1
-#: Pairs that one group of the pair count holds.
-PART_PAIRS = 250_000
+#: A part of the pairs for so many parts of the words.
+PAIR_PARTS = 2
 _START = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,14 +52,14 @@ def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
     return np.where(c <= MAX_DISCOUNTED, table[np.minimum(c, MAX_DISCOUNTED)], c - TOP_LOSS)
 
 
-def number_words(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-    """Word numbers of each text, ASCII letters in lower case, an end token last; number 0 is the end."""
+def number_words(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Word numbers of each text, ASCII letters in lower case, an end token last."""
     known: dict[bytes, int] = {END.encode(): 0}
     codes = []
     for t in texts:
         words = t.encode().lower().split()
         codes.append(np.fromiter((*(known.setdefault(w, len(known)) for w in words), 0), np.int64, len(words) + 1))
-    return codes, [w.decode() for w in known]
+    return codes, list(known)
 
 
 def pair_keys(hashes: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +81,34 @@ def _free(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def _lists(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and concatenated values of a list column."""
-    array = table.column(column).combine_chunks()
-    array = array if isinstance(array, pa.Array) else pa.concat_arrays(array.chunks)
-    return np.diff(array.offsets.to_numpy()), array.flatten().to_numpy(zero_copy_only=False)
+def _rows(block: int, kind: int, part: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of a block's keys, which are in the order of their parts, with their training counts."""
+    cuts = cuts_of(part)
+    offsets, rows = pa.array(cuts, pa.int32()), len(cuts) - 1
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (keys.view(np.int64), n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array(np.full(rows, block)), *lists], ["part", "of_block", "keys", "n"])
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Global counts of a part's keys in the order they came, negative in the one place that stands for a key; and, once for each part, how many keys have counts of 0 to MAX_DISCOUNTED + 1, the sum of all counts, and of those that are greater."""
+    size, keys = list_column(table, "keys")
+    _, first, at = np.unique(keys.to_numpy(), return_index=True, return_inverse=True)
+    total = np.bincount(at, list_column(table, "n")[1].to_numpy()).astype(np.int64)
+    counts = total[at]
+    counts[first] = -counts[first]
+    top = MAX_DISCOUNTED + 1
+    great = total > top
+    summary = [*np.bincount(total[~great], minlength=top + 1).tolist(), int(great.sum()), int(total[great].sum())]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+    summaries = pa.array([summary] + [None] * (table.num_rows - 1), pa.list_(pa.int64()))
+    return pa.table([table.column("of_block"), table.column("part"), pa.ListArray.from_arrays(offsets, pa.array(counts)), summaries], names=["of_block", "part", "counts", "summary"])
+
+
+def _counted(dealt: DataFrame, name: str) -> tuple[DataFrame, list[int]]:
+    """The table of counts, and the sum of its summaries: counts of 0 to MAX_DISCOUNTED + 1, greater counts, sum of these."""
+    counts = materialise(dealt.groupBy("part").applyInArrow(_count, "of_block long, part int, counts array<long>, summary array<long>"), name)
+    sums = counts.filter("summary is not null").agg(*[F.sum(F.element_at("summary", i + 1)) for i in range(MAX_DISCOUNTED + 4)]).first()
+    return counts, [x or 0 for x in sums]
 
 
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,83 +118,52 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     alpha(v) P(w), where alpha(v) makes the probabilities after v sum to one, and P is the discounted relative
     frequency, the rest of whose mass is that of the one unknown word.
     """
-    blocks = materialise(word_blocks(docs, number_words, ~held_out, id_col, text_col), "lm-blocks")
-    placed = block_words(blocks)
-    words = materialise(placed.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    stats = words.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, MAX_DISCOUNTED + 2)]).first()
-    n, v = stats.n or 0, stats.v
-    d_words = discounts({r: stats[f"n{r}"] for r in range(1, MAX_DISCOUNTED + 2)})
-    sizes = blocks.agg(F.sum(F.element_at("ends", -1).cast("long")), F.sum(F.size(F.filter("flags", lambda x: x)))).first()
-    parts, starts = max(1, -(-(sizes[0] or 0) // PART_PAIRS)), sizes[1] or 0
-    seen_mass = words.filter("c > 0").agg(F.sum(F.when(F.col("c") <= MAX_DISCOUNTED, F.get(F.array(*[F.lit(r * d) for r, d in enumerate(d_words, 1)]), (F.col("c") - 1).cast("int"))).otherwise(F.col("c") - TOP_LOSS))).first()[0]
-    unknown = 1 - (seen_mass or 0.0) / n if n else 1.0
-    # the word counts go back to the blocks
-    found = placed.select("block", "pos", "word").join(words, "word").select(F.col("block").alias("of_block"), "pos", "word", "c")
-
-    def counted(block: pa.Table, found: pa.Table) -> pa.Table:
-        c, h = np.zeros(found.num_rows, np.int64), np.zeros(found.num_rows, np.uint64)
-        pos = found.column("pos").to_numpy()
-        c[pos] = found.column("c").to_numpy()
-        h[pos] = np.fromiter((xxhash.xxh64_intdigest(w) for w in found.column("word").to_pylist()), np.uint64, len(pos))
-        names = ["block", "docs", "flags", "ends", "codes"]
-        lists = [pa.array([x.tolist()] * block.num_rows, pa.list_(pa.int64())) for x in (h.view(np.int64), c)]
-        return pa.table([*[block.column(x) for x in names], *lists], names=[*names, "hashes", "counts"])
-
-    lean = blocks.select("block", "docs", "flags", "ends", "codes")
-    schema = "block long, docs array<long>, flags array<boolean>, ends array<int>, codes binary, hashes array<long>, counts array<long>"
-    ready = materialise(lean.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(counted, schema), "lm-ready")
-    del placed, found, lean, blocks
-    _free(docs)
+    parts = part_count(docs, text_col)
+    blocks = materialise(word_blocks(docs, number_words, ~held_out, parts, True, id_col, text_col), "lm-blocks")
+    starts = blocks.agg(F.sum(F.size(F.filter("flags", lambda x: x)))).first()[0] or 0
+    pair_parts = PAIR_PARTS * parts
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(b: pa.RecordBatch, k: int) -> tuple:
+        keys, codes, ends = b.column("keys")[k].values.to_numpy().view(np.uint64), unpack_codes(b.column("codes")[k].as_py()), np.array(b.column("ends")[k].as_py())
+        return b.column("block")[k].as_py(), keys, codes, ends, np.repeat(np.array(b.column("flags")[k].as_py(), bool), np.diff(ends, prepend=0))
+
+    def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                codes, ends = unpack_codes(b.column("codes")[k].as_py()), np.array(b.column("ends")[k].as_py())
-                keys, _ = pair_keys(b.column("hashes")[k].values.to_numpy().view(np.uint64), codes, ends)
-                learned = np.repeat(np.array(b.column("flags")[k].as_py(), bool), np.diff(ends, prepend=0))
-                key, at = np.unique(keys, return_inverse=True)
-                count = np.bincount(at, learned, len(key)).astype(np.int32)
-                part = (key % np.uint64(parts)).astype(np.int64)
+                block, keys, codes, _, learned = read(b, k)
+                yield _rows(block, 0, (keys % np.uint64(parts)).astype(np.int64), keys, np.bincount(codes, learned, len(keys)))
+
+    def deal_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                block, keys, codes, ends, learned = read(b, k)
+                pair, at = np.unique(pair_keys(keys, codes, ends)[0], return_inverse=True)
+                part = (pair % np.uint64(pair_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-                first, key, count, part = cuts[:-1], key[order].view(np.int64), count[order], part[order]
-                offsets = pa.array(cuts, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[first], pa.int32()), pa.array(np.full(len(first), b.column("block")[k].as_py()), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(key)), pa.ListArray.from_arrays(offsets, pa.array(count))],
-                    ["part", "block", "keys", "n"],
-                )
-
-    def count(table: pa.Table) -> pa.Table:
-        """Counts in the order of the keys, negative in the one place that stands for the pair; of_counts once for each part."""
-        size, keys = _lists(table, "keys")
-        _, n = _lists(table, "n")
-        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(at, n).astype(np.int64)
-        counts = total[at]
-        counts[first] = -counts[first]
-        histogram = np.bincount(np.minimum(total, MAX_DISCOUNTED + 2), minlength=MAX_DISCOUNTED + 2)[: MAX_DISCOUNTED + 2].tolist()
-        offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
-        of_counts = [histogram] + [None] * (table.num_rows - 1)
-        return pa.table([table.column("block"), table.column("part"), pa.ListArray.from_arrays(offsets, pa.array(counts)), pa.array(of_counts, pa.list_(pa.int64()))], names=["block", "part", "counts", "of_counts"])
-
-    spread = ready.select("block", "flags", "ends", "codes", "hashes").mapInArrow(pairs, "part int, block long, keys array<long>, n array<int>")
-    pair_counts = materialise(spread.groupBy("part").applyInArrow(count, "block long, part int, counts array<long>, of_counts array<long>"), "lm-pairs")
-    of = pair_counts.filter("of_counts is not null").agg(*[F.sum(F.element_at("of_counts", r + 1)) for r in range(1, MAX_DISCOUNTED + 2)]).first()
-    d_pairs = discounts({r: x or 0 for r, x in enumerate(of, 1)})
-    del spread
+                yield _rows(block, 1, part[order], pair[order], np.bincount(at, learned, len(pair))[order])
+
+    dealt = "part int, of_block long, keys array<long>, n array<int>"
+    lean = blocks.select("block", "flags", "ends", "codes", "keys")
+    word_counts, seen_words = _counted(lean.mapInArrow(deal_words, dealt), "lm-words")
+    pair_counts, seen_pairs = _counted(lean.mapInArrow(deal_pairs, dealt), "lm-pairs")
     _free(docs)
+    top = MAX_DISCOUNTED + 1
+    v = sum(seen_words[1 : top + 2])
+    n = sum(r * seen_words[r] for r in range(1, top + 1)) + seen_words[top + 2]
+    d_words, d_pairs = (discounts(dict(enumerate(x[: top + 1]))) for x in (seen_words, seen_pairs))
+    seen_mass = sum(r * d * seen_words[r] for r, d in enumerate(d_words, 1)) + seen_words[top] * (top - TOP_LOSS) + seen_words[top + 2] - TOP_LOSS * seen_words[top + 1]
+    unknown = 1 - seen_mass / n if n else 1.0
 
     def score(block: pa.Table, counted: pa.Table) -> pa.Table:
         """Rows of three kinds: 0 a document's sums, 1 a context's sums over its pairs that this block stands for, 2 a document's unseen pairs by context."""
         codes, ends = unpack_codes(block.column("codes")[0].as_py()), np.array(block.column("ends")[0].as_py())
-        hashes = block.column("hashes")[0].values.to_numpy().view(np.uint64)
-        c_word = block.column("counts")[0].values.to_numpy()
+        hashes = block.column("keys")[0].values.to_numpy().view(np.uint64)
+        counted = counted.sort_by([("kind", "ascending"), ("part", "ascending")])
+        counts = np.asarray(list_column(counted, "counts")[1])
+        c_word, signed = np.abs(counts[: len(hashes)]), counts[len(hashes) :]
         keys, before = pair_keys(hashes, codes, ends)
         key, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        part = (key % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        counted = counted.sort_by("part")
-        _, signed = _lists(counted, "counts")
+        order = np.argsort((key % np.uint64(pair_parts)).astype(np.int64), kind="stable")
         c_pair = np.zeros(len(key), np.int64)
         c_pair[order] = signed
         own, c_pair = c_pair < 0, np.abs(c_pair)
@@ -196,29 +188,34 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         covered = np.bincount(where, p_word[of_pair], len(context)) if len(context) else np.zeros(0)
         # unseen pairs after known words
         miss = ~seen & (c_before > 0)
-        pairs_of, times = np.unique(np.stack((doc[miss].astype(np.uint64), before[miss])), axis=1, return_counts=True) if miss.any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-        c_of = dict(zip(before[miss].tolist(), c_before[miss].tolist()))
+        of_doc, of_context, of_count = doc[miss], before[miss], c_before[miss]
+        order = np.lexsort((of_context, of_doc))
+        of_doc, of_context, of_count = of_doc[order], of_context[order], of_count[order]
+        new = np.flatnonzero(np.concatenate(([True], (of_doc[1:] != of_doc[:-1]) | (of_context[1:] != of_context[:-1])))) if len(order) else order
+        times = np.diff(new, append=len(order))
         k, m = len(context), len(times)
         block_id = block.column("block")[0].as_py()
         size = rows + k + m
         columns = {
             "kind": np.concatenate((docs_part[0], np.full(k, 1, np.int8), np.full(m, 2, np.int8))),
             "block": np.full(size, block_id),
-            "row": np.concatenate((docs_part[2], np.zeros(k, np.int64), pairs_of[0].astype(np.int64))),
-            "doc_id": np.concatenate((docs_part[4], context.view(np.int64), pairs_of[1].view(np.int64))),
+            "row": np.concatenate((docs_part[2], np.zeros(k, np.int64), of_doc[new])),
+            "doc_id": np.concatenate((docs_part[4], context.view(np.int64), of_context[new].view(np.int64))),
             "held_out": np.concatenate((docs_part[5], np.zeros(k + m, bool))),
             "n_tokens": np.concatenate((docs_part[6], np.zeros(k, np.int64), times)),
-            "n_known": np.concatenate((docs_part[7], np.zeros(k, np.int64), np.array([c_of[x] for x in pairs_of[1].tolist()], np.int64))),
+            "n_known": np.concatenate((docs_part[7], np.zeros(k, np.int64), of_count[new])),
             "a": np.concatenate((docs_part[8], lost, np.zeros(m))),
             "b": np.concatenate((docs_part[9], covered, np.zeros(m))),
         }
         null = np.concatenate((docs_part[3], np.zeros(k + m, bool)))
         return pa.table([pa.array(x, mask=null if name == "doc_id" else None) for name, x in columns.items()], names=list(columns))
 
-    lean = ready.select("block", "docs", "flags", "ends", "codes", "hashes", "counts")
-    both = lean.groupBy("block").cogroup(pair_counts.select(F.col("block").alias("of_block"), "part", "counts").groupBy("of_block"))
+    counts = word_counts.select("of_block", F.lit(0).alias("kind"), "part", "counts").unionByName(pair_counts.select("of_block", F.lit(1).alias("kind"), "part", "counts"))
+    both = blocks.groupBy("block").cogroup(counts.groupBy("of_block"))
     out = materialise(both.applyInArrow(score, "kind byte, block long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, a double, b double"), "lm-scores")
-    del lean, both
+    del both
+    for written in (blocks, word_counts, pair_counts):
+        discard(written)
     _free(docs)
     # kind 1 and 2 are keyed by the context's hash, in doc_id; kind 2 has the context's count in n_known
     contexts = out.filter("kind = 1").groupBy(F.col("doc_id").alias("context")).agg(F.sum("a").alias("kept"), F.sum("b").alias("covered"))

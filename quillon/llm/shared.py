@@ -44,6 +44,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that materialise() wrote, once nothing that is still to run reads them."""
+    for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows; df should be materialised, as its rows are counted."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
