@@ -1,10 +1,5 @@
 """The registered queries of the retrieval operators and their SQL."""
 
-from __future__ import annotations
+from quillon.plans.retrieval import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
