@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialise
+from quillon.llm.shared import broadcast_if_small, materialise
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -197,14 +197,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(linked.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Ids that are broadcast to drop their documents, so that texts stay where they are; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
 def drop_near_copies(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs with one document of each group of near-duplicates: the one with the smallest doc_id."""
-    groups = near_groups(docs, radius=radius)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = materialise(kept, "kept")
-    out = docs.join(kept.filter("copies = 1").select("doc_id"), "doc_id", "left_semi")
-    if kept.filter("copies > 1").isEmpty() and kept.filter("doc_id is null").isEmpty():
+    """docs with one document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Of rows that share a doc_id, null included, one stays if any of them is the first of its group.
+    """
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    verdicts = near_groups(docs, radius=radius).groupBy("doc_id").agg(F.max(first).alias("kept"), F.count("*").alias("copies"))
+    apart = materialise(verdicts.filter("not kept or copies > 1").withColumnRenamed("doc_id", "__id"), "dropped")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    out = docs.join(broadcast_if_small(apart, BROADCAST_IDS), same, "left_anti")
+    repeated = apart.filter("kept")
+    if repeated.isEmpty():
         return out
-    repeated = docs.join(kept.filter("copies > 1").select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    lone_null = docs.filter("doc_id is null") if not kept.filter("doc_id is null and copies = 1").isEmpty() else docs.limit(0)
-    return out.unionByName(repeated.dropDuplicates(["doc_id"])).unionByName(lone_null)
+    return out.unionByName(docs.join(broadcast_if_small(repeated, BROADCAST_IDS), same, "left_semi").dropDuplicates(["doc_id"]))
