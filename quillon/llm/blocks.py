@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.shared import text_blocks
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Text behind the distinct words of one part.
 PART_BYTES = 2 << 20
 #: ends: where each document's codes end; codes: the documents' word numbers, compressed; keys: the words' hashes,

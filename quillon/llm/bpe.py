@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from quillon.llm.blocks import cuts_of, expand, list_column, part_count, unpack_codes, word_blocks
 
 _encoders: dict[str, object] = {}
+#: Marks that are a pre-token of their own after letters.
+MARKS = frozenset(".,;:!?")
+#: Rows that decoding hands on at a time.
+DECODE_ROWS = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,24 +38,31 @@ def number_pretokens(texts: list[str], pattern: str) -> tuple[list[np.ndarray],
     """
     find = regex.compile(pattern).findall
     words: dict[str, int] = {}
-    chunks: dict[str, int] = {}
-    parts: list[np.ndarray] = []
+    chunks: dict[str | tuple[str], int] = {}
+    parts: list[list[int]] = []
 
     def numbers(pieces: list[str]) -> np.ndarray:
         return np.fromiter((words.setdefault(p, len(words)) for p in pieces), np.int64, len(pieces))
 
-    at: list[np.ndarray] = []
+    # a text's first chunk is keyed apart, as no blank goes before it
+    at = []
     for text in texts:
         first, *rest = text.split(" ")
-        known = [chunks.setdefault(first, len(chunks)), *[chunks.setdefault(" " + c, len(chunks)) for c in rest]]
-        at.append(np.array(known, np.int64))
+        at.append(np.array([chunks.setdefault((first,), len(chunks)), *[chunks.setdefault(c, len(chunks)) for c in rest]], np.int32))
     whole = np.zeros(len(chunks), bool)
-    for chunk, i in chunks.items():
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        whole[i] = not body or body[0].isspace() or body[-1].isspace()
-        parts.append(np.zeros(0, np.int64) if whole[i] else numbers(find(chunk)))
+    for key, i in chunks.items():
+        body, chunk = (key[0], key[0]) if isinstance(key, tuple) else (key, " " + key)
+        if body.isalpha():  # one run of letters
+            parts.append([words.setdefault(chunk, len(words))])
+        elif body[:-1].isalpha() and body[-1] in MARKS:
+            parts.append([words.setdefault(chunk[:-1], len(words)), words.setdefault(chunk[-1], len(words))])
+        elif not body or body[0].isspace() or body[-1].isspace():
+            whole[i] = True
+            parts.append([])
+        else:
+            parts.append([words.setdefault(p, len(words)) for p in find(chunk)])
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    flat = np.fromiter((p for x in parts for p in x), np.int64, int(sizes.sum()))
     starts = np.cumsum(sizes) - sizes
     out = [numbers(find(text)) if whole[codes].any() else flat[expand(codes, starts, sizes)] for text, codes in zip(texts, at)]
     return out, list(words)
@@ -64,7 +75,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     them. So docs must give the same rows in the same order again, as files do; else materialise() it first. Each
     block has a check of its words, and one that comes out differently fails the query.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    known_ranks = read_ranks(vocabulary)
+    ranks = docs.sparkSession.sparkContext.broadcast(known_ranks)
+    # ids of small vocabularies travel as 16 bits, read back unsigned
+    narrow = max(known_ranks.values()) < 1 << 16
     parts = part_count(docs, text_col)
 
     def number(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
@@ -96,7 +110,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         ends = np.concatenate(([0], np.cumsum(per_row)))
         sizes = n[at]
         id_ends = np.concatenate(([0], np.cumsum(sizes)))[ends]
-        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, pa.int32())) for e, v in ((ends, sizes), (id_ends, flat[expand(at, np.cumsum(n) - n, n)]))]
+        ids = flat[expand(at, np.cumsum(n) - n, n)]
+        ids = ids.astype(np.uint16).view(np.int16) if narrow else ids
+        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v)) for e, v in ((ends, sizes.astype(np.int32)), (id_ends, ids))]
         return pa.table([table.column("of_block"), table.column("check"), table.column("part"), *lists], names=["of_block", "check", "part", "sizes", "ids"])
 
     def reassemble(block: pa.Table, found: pa.Table) -> pa.Table:
@@ -106,15 +122,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         found = found.sort_by("part")
         sizes = list_column(found, "sizes")[1].to_numpy().astype(np.int64)
         values, codes = list_column(found, "ids")[1].to_numpy(), unpack_codes(block.column("codes")[0].as_py())
+        values = values.view(np.uint16) if narrow else values
         starts = np.cumsum(sizes) - sizes
         # the ids of all documents, and where each document's end
         total = np.concatenate(([0], np.cumsum(sizes[codes])))[np.array([0, *ends])]
         all_ids = values[expand(codes, starts, sizes)] if len(codes) else np.zeros(0, np.int32)
-        return pa.table([pa.array(docs_of, pa.int64()), pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(all_ids, pa.int32()))], names=["doc_id", "ids"])
+        return pa.table([pa.array(docs_of, pa.int64()), pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(all_ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     blocks = word_blocks(docs, number, F.lit(False), parts, False, id_col, text_col)
     dealt = blocks.select("block", "check", "words").mapInArrow(deal, "part int, of_block long, check long, words array<string>")
-    found = dealt.groupBy("part").applyInArrow(encode_part, "of_block long, check long, part int, sizes array<int>, ids array<int>")
+    found = dealt.groupBy("part").applyInArrow(encode_part, f"of_block long, check long, part int, sizes array<int>, ids array<{'smallint' if narrow else 'int'}>")
     placed = word_blocks(docs, number, F.lit(False), parts, False, id_col, text_col).select("block", "docs", "ends", "codes", "check")
     return placed.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
 
@@ -138,7 +155,7 @@ def decode(encoded: DataFrame, tokens: DataFrame, keep: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.__getitem__
-        for b in batches:
+        for b in (batch.slice(i, DECODE_ROWS) for batch in batches for i in range(0, batch.num_rows, DECODE_ROWS)):
             texts = [None if ids is None else b"".join(map(of, ids)) for ids in (x.as_py() for x in b.column(0))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.binary())], [*keep, "decoded"])
 
