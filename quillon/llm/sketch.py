@@ -9,18 +9,16 @@ other than the two named ones are dropped.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.shared import materialise
-
 SHINGLE_WORDS = 5
 K = 128
 
@@ -101,7 +99,6 @@ def edited(text: str, following: str) -> str:
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_DONE, _HEAD, _TAIL = 0, 1, 2
 
 
 def _row(doc_id, text: str, mine: np.ndarray, following: str, theirs: np.ndarray, k: int) -> tuple:
@@ -110,54 +107,60 @@ def _row(doc_id, text: str, mine: np.ndarray, following: str, theirs: np.ndarray
     return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), to_hex(mine), to_hex(other), resemblance(mine, other, k), resemblance(mine, theirs, k)
 
 
-def _batch(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*rows))], schema=schema)
-
-
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and the likeness of the fingerprint to that and to the next document's.
 
-    The documents are range-partitioned by descending id and each task streams over its own in order, holding two
-    texts at a time. The last document of a partition needs the first of the next one; these, two rows for each
-    partition, are matched afterwards.
+    A first pass ranges ids and text hashes only and takes the first of each range, a pair for each partition. By
+    these every document has a range; the first of a range is sent to the range before it as well, where it only
+    follows. Then each task streams over its ranges in order, holding two texts at a time. Rows that equal the
+    first of a range in id and text stand together, so which of them follows makes no difference.
     """
-    fields = [pa.field(n, t) for n, t in zip(
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "kind", "pid", "text"],
-        [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()],
-    )]
-    schema, names = pa.schema(fields), [f.name for f in fields]
+    names = [f.split()[0] for f in _RESULT.split(", ")]
+    types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+    order = [F.col("id").desc_nulls_last(), F.col("h")]
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b.slice(0, 1) for b in batches if b.num_rows), None)
+        if first is not None:
+            yield first
+
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ranged = picked.select("id", "h").repartitionByRange(*order).sortWithinPartitions(*order)
+    bounds = sorted({(r.id is None, -(r.id or 0), r.h) for r in ranged.mapInArrow(firsts, "id long, h long").collect()})
+    n = max(1, len(bounds))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its range, and once more for the range before if it is the first of its own."""
+        for b in batches:
+            rows, at, follows = [], [], []
+            for i, (doc, h) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                key = (doc is None, -(doc or 0), h)
+                mine = bisect_right(bounds, key) - 1
+                rows.append(i)
+                at.append(mine)
+                follows.append(False)
+                if bounds[mine] == key:
+                    rows.append(i)
+                    at.append((mine - 1) % n)
+                    follows.append(True)
+            taken = [c.take(pa.array(rows, pa.int64())) for c in b.columns]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(at, pa.int32()), pa.array(follows, pa.bool_())], ["id", "h", "text", "range", "follows"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, last = TaskContext.get().partitionId(), None
+        last = None
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py() or ""
+            for doc, text, at, follows in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if follows and last is None:
+                    continue  # another copy of the row that followed
+                text = text.as_py()
                 mine = sketch(text, k)
-                if last is None:
-                    rows.append((doc_id, *[None] * 6, _HEAD, pid, text))
-                else:
-                    rows.append((*_row(*last, text, mine, k), _DONE, pid, None))
-                last = doc_id, text, mine
-            if rows:
-                yield _batch(rows, names, schema)
-        if last is not None:
-            yield _batch([(last[0], *[None] * 6, _TAIL, pid, last[1])], names, schema)
-
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
-    ordered = picked.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    streamed = materialise(ordered.mapInArrow(stream, f"{_RESULT}, kind int, pid int, text string"), "edits")
-    pids = sorted(r.pid for r in streamed.filter(F.col("kind") == _HEAD).select("pid").collect())  # a number for each partition
-    following = docs.sparkSession.createDataFrame(list(zip(pids, pids[1:] + pids[:1])), "pid int, next_pid int")
-    tails = streamed.filter(F.col("kind") == _TAIL).select("doc_id", "text", "pid").join(following, "pid")
-    heads = streamed.filter(F.col("kind") == _HEAD).select(F.col("pid").alias("next_pid"), F.col("text").alias("next_text"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [_row(d, t, sketch(t, k), n, sketch(n, k), k) for d, t, n in zip(*(c.to_pylist() for c in b.columns))]
+                if last is not None:
+                    rows.append(_row(*last, text, mine, k))
+                last = None if follows else (doc, text, mine)
             if rows:
-                yield _batch(rows, names[:7], pa.schema(fields[:7]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    seam = tails.join(heads, "next_pid").select("doc_id", "text", "next_text").mapInArrow(finish, _RESULT)
-    return streamed.filter(F.col("kind") == _DONE).select(*names[:7]).unionByName(seam)
+    placed = picked.mapInArrow(place, "id long, h long, text string, range int, follows boolean")
+    dealt = placed.repartition(n, "range").sortWithinPartitions("range", "follows", *order)
+    return dealt.select("id", "text", "range", "follows").mapInArrow(stream, _RESULT)
