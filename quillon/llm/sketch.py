@@ -21,6 +21,9 @@ from pyspark.sql.window import Window
 
 SHINGLE_WORDS = 5
 K = 128
+#: Text of one range of ids, and the most ranges, whose firsts the driver holds; ranges grow beyond that.
+RANGE_BYTES = 2 << 20
+MAX_RANGES = 200_000
 
 
 def sketch(text: str | None, k: int = K) -> np.ndarray:
@@ -110,7 +113,7 @@ def _row(doc_id, text: str, mine: np.ndarray, following: str, theirs: np.ndarray
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and the likeness of the fingerprint to that and to the next document's.
 
-    A first pass ranges ids and text hashes only and takes the first of each range, a pair for each partition. By
+    A first pass ranges ids and text hashes only and takes the first of each range, MAX_RANGES pairs at most. By
     these every document has a range; the first of a range is sent to the range before it as well, where it only
     follows. Then each task streams over its ranges in order, holding two texts at a time. Rows that equal the
     first of a range in id and text stand together, so which of them follows makes no difference.
@@ -125,7 +128,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield first
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = picked.select("id", "h").repartitionByRange(*order).sortWithinPartitions(*order)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    ranged = picked.select("id", "h").repartitionByRange(min(MAX_RANGES, 1 + size // RANGE_BYTES), *order).sortWithinPartitions(*order)
     bounds = sorted({(r.id is None, -(r.id or 0), r.h) for r in ranged.mapInArrow(firsts, "id long, h long").collect()})
     n = max(1, len(bounds))
 
@@ -162,5 +166,5 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     placed = picked.mapInArrow(place, "id long, h long, text string, range int, follows boolean")
-    dealt = placed.repartition(n, "range").sortWithinPartitions("range", "follows", *order)
+    dealt = placed.repartition("range").sortWithinPartitions("range", "follows", *order)
     return dealt.select("id", "text", "range", "follows").mapInArrow(stream, _RESULT)
