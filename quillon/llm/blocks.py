@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import text_blocks
+from quillon.llm.shared import map_batches, text_blocks
 
 BLOCK_BYTES = 6 << 20
 #: Text behind the distinct words of one part.
@@ -81,4 +81,4 @@ def word_blocks(docs: DataFrame, number: Callable[[list[str]], tuple[list[np.nda
             block += 1
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), flag.alias("flag"))
-    return picked.mapInArrow(run, f"{SCHEMA}, {'keys array<long>' if hashed else 'words array<string>'}")
+    return map_batches(picked, run, f"{SCHEMA}, {'keys array<long>' if hashed else 'words array<string>'}")

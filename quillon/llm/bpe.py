@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.blocks import cuts_of, expand, list_column, part_count, unpack_codes, word_blocks
+from quillon.llm.shared import map_batches
 
 _encoders: dict[str, object] = {}
 #: Marks that are a pre-token of their own after letters.
@@ -130,7 +131,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         return pa.table([pa.array(docs_of, pa.int64()), pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(all_ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     blocks = word_blocks(docs, number, F.lit(False), parts, False, id_col, text_col)
-    dealt = blocks.select("block", "check", "words").mapInArrow(deal, "part int, of_block long, check long, words array<string>")
+    dealt = map_batches(blocks.select("block", "check", "words"), deal, "part int, of_block long, check long, words array<string>")
     found = dealt.groupBy("part").applyInArrow(encode_part, f"of_block long, check long, part int, sizes array<int>, ids array<{'smallint' if narrow else 'int'}>")
     placed = word_blocks(docs, number, F.lit(False), parts, False, id_col, text_col).select("block", "docs", "ends", "codes", "check")
     return placed.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(reassemble, "doc_id long, ids array<int>")
@@ -160,4 +161,4 @@ def decode(encoded: DataFrame, tokens: DataFrame, keep: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.binary())], [*keep, "decoded"])
 
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep) + ", decoded binary"
-    return encoded.select(F.col("ids").alias("__ids"), *keep).mapInArrow(run, schema)
+    return map_batches(encoded.select(F.col("ids").alias("__ids"), *keep), run, schema)

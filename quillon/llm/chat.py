@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialise
+from quillon.llm.shared import map_batches, materialise
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn.
@@ -161,7 +161,7 @@ def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
             yield aside()
 
     schema = OUT + ", pid int, raw_role string, raw_text string"
-    streamed = materialise(ordered.mapInArrow(stream, schema), "turns")
+    streamed = materialise(map_batches(ordered, stream, schema), "turns")
     seams = streamed.filter("pid is not null")
 
     def reduce(key: tuple, table: pa.Table) -> pa.Table:

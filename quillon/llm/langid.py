@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import id_remainder
+from quillon.llm.shared import id_remainder, map_batches
 
 #: Hashed n-gram buckets, n-gram lengths 1 to 3.
 DIMS = 1 << 15
@@ -169,7 +169,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], total), pa.int64())], ["bucket", "n"])
 
-    seen = labelled.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen = map_batches(labelled.select("text"), frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = max(1, int(seen.loc[seen.bucket == -1, "n"].sum()))
     seen = seen[seen.bucket >= 0]
     df = np.zeros(dims)
@@ -189,7 +189,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             of = [None if c is None else c[a].astype(np.int32) for c, a in zip(counts, at)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(of, pa.list_(pa.int32()))], ["lang", "ticket", "at", "counts"])
 
-    drawn = drawn.mapInArrow(sparse, "lang string, ticket long, at array<int>, counts array<int>").filter("at is not null").orderBy("ticket", "lang", F.xxhash64("at", "counts")).limit(fit_rows)
+    drawn = map_batches(drawn, sparse, "lang string, ticket long, at array<int>, counts array<int>").filter("at is not null").orderBy("ticket", "lang", F.xxhash64("at", "counts")).limit(fit_rows)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         rows = []
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(text_col).alias("__text"), *keep), run, schema)
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialise, text_blocks
+from quillon.llm.shared import map_batches, materialise, text_blocks
 
 CAPACITY = 4096
 END_ID = 1
@@ -24,9 +24,9 @@ END_ID = 1
 SHARD_PIECES = 4096
 #: Sequences filled up to this share are packed a second time, across shards.
 OPEN_SHARE = 0.95
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 
 
 class WordTokenizer:
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 3))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(picked, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

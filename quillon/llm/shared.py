@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most bytes of a batch that is handed to Python, but for a single longer row.
+BATCH_BYTES = 6 << 20
 _local_roots: dict[str, str] = {}
 
 
@@ -56,20 +59,30 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH_BYTES: a batch of Spark's 10,000 rows holds any amount of text.
+
+    The bound is a setting of the session, read when a plan runs; a smaller one stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(name).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def id_remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows of about max_bytes of text; a longer text is a block of its own."""
+    """Cut batches into runs of rows of about max_bytes of text, of even size within a batch; a row goes where its middle falls."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
-        start = total = 0
-        for i, size in enumerate(sizes):
-            if total and total + size > max_bytes:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += size
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = int(sizes.sum())
+        share = max(1.0, total / max(1, round(total / max_bytes)))
+        run = ((np.cumsum(sizes) - sizes / 2) // share).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)

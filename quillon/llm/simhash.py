@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import broadcast_if_small, materialise
+from quillon.llm.shared import broadcast_if_small, map_batches, materialise
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return map_batches(picked, run, "doc_id long, fp long")
 
 
 def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def near_links(values: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -
                 yield pa.RecordBatch.from_arrays(columns, ["u", "v"])
 
     same = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_part") == F.col("b_part"))
-    return pairs.select("a", "b", same.alias("same")).mapInArrow(compare, "u long, v long")
+    return map_batches(pairs.select("a", "b", same.alias("same")), compare, "u long, v long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.llm.shared import map_batches
+
 SHINGLE_WORDS = 5
 K = 128
 #: Text of one range of ids, and the most ranges, whose firsts the driver holds; ranges grow beyond that.
@@ -85,7 +87,7 @@ def sketches(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.list_(pa.int64()))], [*keep, "hashes"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", hashes array<long>"
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(text_col).alias("__text"), *keep), run, schema)
 
 
 def merged(sketched: DataFrame, part: str, k: int = K) -> DataFrame:
@@ -165,6 +167,6 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    placed = picked.mapInArrow(place, "id long, h long, text string, range int, follows boolean")
+    placed = map_batches(picked, place, "id long, h long, text string, range int, follows boolean")
     dealt = placed.repartition("range").sortWithinPartitions("range", "follows", *order)
-    return dealt.select("id", "text", "range", "follows").mapInArrow(stream, _RESULT)
+    return map_batches(dealt.select("id", "text", "range", "follows"), stream, _RESULT)

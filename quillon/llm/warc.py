@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import broadcast_if_small, materialise, scratch_path
+from quillon.llm.shared import broadcast_if_small, map_batches, materialise, scratch_path
 
 #: A file is closed beyond this size; a longer record still goes into one file.
 FILE_BYTES = 16 << 20
@@ -127,7 +127,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries[i : i + 10_000]), types)], ["url_key", "captured_at", "page_id", "file", "offset", "length", "run"])
 
     written = placed.select("page_id", "url", "payload", refers.alias("first"))
-    return materialise(written.mapInArrow(run, INDEX), "captures")
+    return materialise(map_batches(written, run, INDEX), "captures")
 
 
 class LoserTree:
@@ -206,7 +206,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["file", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     schema = "file string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.join(places, "file").select("file", "content", "places").mapInArrow(run, schema)
+    return map_batches(files.join(places, "file").select("file", "content", "places"), run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
