@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quillon.operators.ranking import DIGITS, top_k
 
 BLOCK_ROWS = 2048
+#: Vectors of a block that the product quantiser hands on for each query to be rescored.
+PQ_CANDIDATES = 160
 
 
 def _blocks(rows: DataFrame, id_col: str) -> DataFrame:
@@ -108,36 +110,49 @@ def train_codebooks(vectors: DataFrame, m: int = 8, bits: int = 8, sample: int =
 
 
 def encode_codes(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """(key, codes): the nearest centre of each part."""
+    """(key, codes, vector): the nearest centre of each part, beside the vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, len(shared.value), -1)
             codes = np.stack([((x[:, p, None] - book[None]) ** 2).sum(axis=2).argmin(axis=1) for p, book in enumerate(shared.value)], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(codes.astype(np.int16)), pa.list_(pa.int16()))], ["key", "codes"])
-
-    return vectors.select("key", "vector").mapInArrow(run, "key long, codes array<smallint>")
-
-
-def pq_top_k(queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int, query_block: int = 512) -> DataFrame:
-    """Hits by the inner product with the coded vectors, looked up from a table for each query; queries go out in blocks."""
-    spark, out = queries.sparkSession, None
-    numbered = queries.select("qid", "vector").orderBy("qid").toPandas()
-    for at in range(0, max(1, len(numbered)), query_block):
-        part = numbered.iloc[at : at + query_block]
-        x = np.array(part["vector"].tolist(), np.float64).reshape(len(part), len(books), -1)
-        tables, qids = spark.sparkContext.broadcast(np.einsum("qmd,mcd->qmc", x, books)), part["qid"].to_numpy()
-
-        def run(batches: Iterator[pa.RecordBatch], tables=tables, qids=qids) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys = b.column(0).to_numpy()
-                codes = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.int64)
-                for q, table in zip(qids, tables.value):
-                    score = table[np.arange(codes.shape[1]), codes].sum(axis=1)
-                    best = np.lexsort((keys, -np.round(score, DIGITS)))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(keys[best]), pa.array(score[best])], ["qid", "key", "score"])
-
-        found = coded.mapInArrow(run, "qid long, key long, score double")
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(codes.astype(np.int16)), pa.list_(pa.int16())), b.column(1)], ["key", "codes", "vector"])
+
+    rows = vectors.select("key", F.col("vector").cast("array<float>").alias("vector"))
+    return rows.mapInArrow(run, "key long, codes array<smallint>, vector array<float>")
+
+
+def pq_top_k(queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int, candidates: int = PQ_CANDIDATES, rows: int | None = None) -> DataFrame:
+    """(qid, key, score, rank): in each block of coded vectors the best candidates by coded score, rescored by the full vectors.
+
+    coded is encode_codes()'s result. Blocks of queries meet blocks of coded vectors as in exact_top_k; a block holds
+    BLOCK_ROWS vectors by hash of their id, so the candidates of a query grow with the table. The books bound the broadcast.
+    rows is the number of vectors, which else takes one more encoding to count.
+    """
+    q, blocks = _blocks(queries, "qid"), max(1, -(-(coded.count() if rows is None else rows) // BLOCK_ROWS))
+    sides = q.select(F.col("ids").alias("qids"), F.col("flat").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = coded.select("key", "codes", "vector", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
+    packed = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "codes", "vector"))).alias("rows"))
+    packed = packed.select("block", F.col("rows.key").alias("ids"), F.flatten("rows.codes").alias("codes"), F.flatten("rows.vector").alias("v"))
+    shared = queries.sparkSession.sparkContext.broadcast(books)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = len(shared.value)
+        for b in batches:
+            for r in range(b.num_rows):
+                qids, left, keys, codes, right = (c[r].values.to_numpy() for c in b.columns)
+                left, right = left.reshape(len(qids), -1).astype(np.float64), right.reshape(len(keys), -1).astype(np.float64)
+                codes = codes.reshape(len(keys), m).astype(np.int64)
+                for at in range(0, len(qids), 128):
+                    asked = left[at : at + 128]
+                    tables = np.einsum("qmd,mcd->qmc", asked.reshape(len(asked), m, -1), shared.value)
+                    score = sum(tables[:, p, codes[:, p]] for p in range(m))
+                    wide = np.lexsort((np.broadcast_to(keys, score.shape), -np.round(score, DIGITS)), axis=1)[:, : max(k, candidates)]
+                    score = np.einsum("qcd,qd->qc", right[wide], asked)
+                    ranked = np.lexsort((keys[wide], -np.round(score, DIGITS)), axis=1)[:, :k]
+                    best, found = np.take_along_axis(score, ranked, axis=1), keys[np.take_along_axis(wide, ranked, axis=1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[at : at + 128], ranked.shape[1])), pa.array(found.ravel()), pa.array(best.ravel())], ["qid", "key", "score"])
+
+    pairs = sides.join(packed, "block").select("qids", "q", "ids", "codes", "v")
+    return top_k(pairs.mapInArrow(run, "qid long, key long, score double"), k)

@@ -346,15 +346,24 @@ def ivf_topk(spark, sf_dir):
 def pq_topk(spark, sf_dir):
     vectors = _vectors(spark, sf_dir).select("key", "vector")
     books = dense.train_codebooks(vectors)
-    return dense.pq_top_k(_vector_queries(spark, sf_dir).select("qid", "vector"), dense.encode_codes(vectors, books), books, 10)
+    return dense.pq_top_k(_vector_queries(spark, sf_dir).select("qid", "vector"), dense.encode_codes(vectors, books), books, 10, rows=vectors.count())
+
+
+def _recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    both = exact.select("qid", "key").join(found.select("qid", "key").withColumn("hit", F.lit(1.0)), ["qid", "key"], "left")
+    return both.agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
 
 
 @registered()
 def ann_recall(spark, sf_dir):
     """Recall of the inverted lists against the exact search."""
-    exact = _dense(spark, sf_dir).select("qid", "key")
-    both = exact.join(ivf_topk(spark, sf_dir).select("qid", "key").withColumn("hit", F.lit(1.0)), ["qid", "key"], "left")
-    return both.agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
+    return _recall(_dense(spark, sf_dir), ivf_topk(spark, sf_dir))
+
+
+@registered()
+def pq_recall(spark, sf_dir):
+    """Recall of the rescored product quantiser against the exact search."""
+    return _recall(_dense(spark, sf_dir), pq_topk(spark, sf_dir))
 
 
 @registered("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import answer, chunking, evaluate, layout, metadata, query, ranking
+from quillon.operators import answer, chunking, dense, evaluate, layout, metadata, query, ranking
 from quillon.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -72,3 +72,18 @@ def test_overrides_win(spark):
 def test_citations_and_names(spark):
     row = spark.range(1).select(answer.citations(F.lit("[E2] [E1, E2] [E2] [E10]")).alias("c"), T.doc_ids_match(F.lit("某某股份2023年年度报告.pdf"), F.lit("某某股份：2023年报")).alias("same"), T.is_garbled(F.lit("ab(cid:12)")).alias("bad")).first()
     assert row.c == ["E2", "E10"] and row.same and row.bad
+
+
+def test_product_quantiser_finds_the_neighbours(spark):
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(5000, 64)))], "key long, vector array<float>").repartition(3).cache()
+    asked = vectors.filter("key % 50 = 0").withColumnRenamed("key", "qid")
+    books = dense.train_codebooks(vectors)
+    found = {(r.qid, r.key): r.score for r in dense.pq_top_k(asked, dense.encode_codes(vectors, books), books, 10).collect()}
+    exact = {(r.qid, r.key): r.score for r in dense.exact_top_k(asked, vectors, 10).collect()}
+    assert len(found) == len(exact) == 1000 and len(found.keys() & exact.keys()) >= 900
+    assert all(found[p] == pytest.approx(exact[p]) for p in found.keys() & exact.keys())
+
+
+def test_pq_recall_is_registered(spark):
+    assert QUERIES["pq_recall"](spark, DATA).first().recall >= 0.9
