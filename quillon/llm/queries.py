@@ -17,9 +17,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths: a document stands in the directory of its source, by thousands and tens of its id."""
+    """The table has no paths: a document stands none to three levels below its source, by nested ranges of its id.
+
+    Level and name come from the id's hash, so that files of all levels share directories; every eighth file is
+    named as a licence file.
+    """
     docs = _read(spark, sf_dir, "documents")
-    path = F.format_string("%s/%d/%d/%d.txt", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1000"), F.expr("doc_id div 10"), F.col("doc_id"))
+    ranges = F.transform(F.array(*map(F.lit, (10_000, 1000, 100))), lambda n: F.concat(F.lit("r"), F.floor(F.coalesce("doc_id", F.lit(0)) / n).cast("string")))
+    level, named = id_remainder("doc_id", 4), F.floor(id_remainder("doc_id", 32) / 4) == 0
+    name = F.concat(F.when(named, "LICENSE-").otherwise(""), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.slice(ranges, F.lit(1), level.cast("int")), name)
     return licenses.scan(docs.withColumn("path", path), "doc_id", "path", "text").withColumnRenamed("key", "doc_id")
 
 

@@ -399,6 +399,22 @@ def test_every_template_matches_itself(spark):
     assert {k: r.licence for k, r in got.items()} == {k: k for k in licenses.TEMPLATES} and all(r.cosine == 1 for r in got.values())
 
 
+def test_licence_query_inherits_from_true_ancestors(spark):
+    from quillon.llm.queries import QUERIES
+
+    rows = QUERIES["op1_license_scan"](spark, "/root/testdata/sf0.01").collect()
+    assert len({r.path for r in rows}) == len(rows) == 1000 and len({r.path.count("/") for r in rows}) == 4
+    given = {r.inherited_from for r in rows if r.origin == "inherited"}
+    above = 0
+    for r in rows:
+        if r.origin != "header":
+            steps = r.path.split("/")[:-1]
+            near = next((a for n in range(len(steps), 0, -1) if (a := "/".join(steps[:n])) in given), None)
+            assert r.inherited_from == near and (r.origin == "inherited") == (near is not None)
+            above += near is not None and near != "/".join(steps)
+    assert above > 0
+
+
 # pipeline
 
 
