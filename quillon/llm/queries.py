@@ -58,7 +58,7 @@ def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_read(spark, sf_dir, "pages"))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "file", "offset")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "file", "offset", "position", "capture_no", "previous_page_id")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

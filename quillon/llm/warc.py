@@ -28,6 +28,8 @@ from quillon.llm.shared import broadcast_if_small, map_batches, materialise, scr
 FILE_BYTES = 16 << 20
 #: Distinct repeated payloads that are broadcast; more are joined by shuffle.
 BROADCAST_PAYLOADS = 50_000
+#: Captures that a merge holds at once, on average of the key ranges.
+RANGE_ROWS = 50_000
 _EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 _URL = re.compile(r"(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]*)(?::\d+)?([^#]*)", re.I)
 INDEX = "url_key string, captured_at string, page_id long, file string, offset long, length long, run int"
@@ -165,9 +167,13 @@ class LoserTree:
 def merged_index(index: DataFrame) -> DataFrame:
     """The captures in global order of URL key, time and place. Each task gets a key range of every run and merges these with a loser tree.
 
-    Ranges are over key, time and place together, so that a URL with very many captures spans several tasks.
+    Ranges are over key, time and place together, so that a URL with very many captures spans several tasks; there
+    is one for every RANGE_ROWS captures. range_no and place give the order, numbered from 0; capture_no counts the URL's
+    captures within the range from 1, previous_page_id is that of the one before in the range.
     """
     names = ["url_key", "captured_at", "file", "offset", "length", "page_id", "run"]
+    added = ["range_no", "place", "capture_no", "previous_page_id"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, list[tuple]] = {}
@@ -176,17 +182,44 @@ def merged_index(index: DataFrame) -> DataFrame:
                 runs.setdefault(row[-1], []).append(row)
         # the pieces of a run that a shuffle hands over come in any order of map tasks, but a run is one map task's
         tree, chunk = LoserTree([iter(sorted(r, key=lambda x: x[:4])) for _, r in sorted(runs.items())]), []
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        for row in tree:
-            chunk.append(row)
+        task, key, number, page_id = TaskContext.get().partitionId(), None, 0, None
+        for place, row in enumerate(tree):
+            number, before = (number + 1, page_id) if row[0] == key else (1, None)
+            key, page_id = row[0], row[5]
+            chunk.append((*row, task, place, number, before))
             if len(chunk) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names + added)
                 chunk = []
         if chunk:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names + added)
 
-    ranged = index.select(*names).repartitionByRange("url_key", "captured_at", "file", "offset")
-    return ranged.mapInArrow(merge, "url_key string, captured_at string, file string, offset long, length long, page_id long, run int")
+    ranges = max(1, -(-index.count() // RANGE_ROWS))
+    ranged = index.select(*names).repartitionByRange(ranges, "url_key", "captured_at", "file", "offset")
+    return ranged.mapInArrow(merge, "url_key string, captured_at string, file string, offset long, length long, page_id long, run int, range_no int, place long, capture_no long, previous_page_id long")
+
+
+def capture_history(index: DataFrame) -> DataFrame:
+    """The merged index, written, with each capture's position in the global order, its number among its URL's captures and the page id of the one before.
+
+    Positions and numbers are carried on over the ranges' ends by a row for each range, which the driver adds up.
+    """
+    merged = materialise(merged_index(index), "merged")
+    last = F.max(F.struct("place", "url_key", "capture_no", "page_id")).alias("last")
+    ends = merged.groupBy("range_no").agg(F.count("*").alias("n"), F.min(F.struct("place", "url_key")).alias("first"), last).orderBy("range_no").collect()
+    carried, start, key, number, page_id = [], 0, None, 0, None
+    for r in ends:
+        goes_on = r["first"].url_key == key
+        carried.append((r.range_no, start, key if goes_on else None, number, page_id))
+        number = r["last"].capture_no + (number if goes_on and r["last"].url_key == key else 0)
+        start, key, page_id = start + r.n, r["last"].url_key, r["last"].page_id
+    table = index.sparkSession.createDataFrame(carried, "range_no int, start long, key string, number long, before long")
+    seam = F.col("url_key").eqNullSafe(F.col("key"))
+    placed = merged.join(F.broadcast(table), "range_no")
+    return placed.select(
+        "url_key", "captured_at", "file", "offset", "length", "page_id", (F.col("start") + F.col("place")).alias("position"),
+        (F.col("capture_no") + F.when(seam, F.col("number")).otherwise(0)).alias("capture_no"),
+        F.when(seam & (F.col("capture_no") == 1), F.col("before")).otherwise(F.col("previous_page_id")).alias("previous_page_id"),
+    )
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
@@ -210,8 +243,8 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages as archives, merge their index and read everything back, in the order of the merged captures' keys."""
+    """Write pages as archives, merge their index and read everything back; position is the place in the merged index."""
     folder = scratch_path(pages.sparkSession, "warc")
     index = write(pages, folder)
-    ordered = merged_index(index).select("file", "offset", "url_key", "captured_at")
+    ordered = capture_history(index).select("file", "offset", "url_key", "captured_at", "position", "capture_no", "previous_page_id")
     return read(index, folder).join(ordered, ["file", "offset"])

@@ -336,6 +336,22 @@ def test_merged_index_is_in_order(spark):
         assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
+def test_capture_history_is_one_order_over_all_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 100)
+    rng = random.Random(8)
+    rows = [(f"com,h{rng.choice([0, 0, 0, 0, 1, 2, 3])})/", f"t{rng.randint(0, 99):03d}", i if i % 50 else None, f"f{i % 7}", i, 1, i % 7) for i in range(1500)]
+    got = sorted(warc.capture_history(spark.createDataFrame(rows, warc.INDEX).repartition(5)).collect(), key=lambda r: r.position)
+    want, number, before = [], Counter(), {}
+    for at, (key, time, page_id, file, offset, *_) in enumerate(sorted(rows, key=lambda r: (r[0], r[1], r[3], r[4]))):
+        number[key] += 1
+        want.append((at, key, time, file, offset, number[key], before.get(key)))
+        before[key] = page_id
+    assert [(r.position, r.url_key, r.captured_at, r.file, r.offset, r.capture_no, r.previous_page_id) for r in got] == want
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.example/", f"p{i}") for i in range(30)], "page_id long, url string, html string").repartition(3)
+    back = sorted(warc.round_trip(pages).collect(), key=lambda r: r.position)
+    assert [(r.position, r.page_id, r.capture_no, r.previous_page_id) for r in back] == [(k, i, i // 3 + 1, i - 3 if i > 2 else None) for k, i in enumerate(sorted(range(30), key=lambda i: (i % 3, i)))]
+
+
 # op10
 
 
