@@ -31,9 +31,9 @@ _SLAB = 1 << 20
 
 
 def _letters() -> np.ndarray:
-    """Of each code point of the basic plane: itself if a letter, else 0."""
-    points = np.arange(0x10000, dtype=np.uint32)
-    known = np.fromiter((0xD800 > c and chr(c).isalpha() or c > 0xDFFF and chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
+    """Of each code point: itself if a letter, else 0."""
+    points = np.arange(0x110000, dtype=np.uint32)
+    known = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return np.where(known, points, 0).astype(np.uint32)
 
 
@@ -49,8 +49,6 @@ def features(text: str | None, dims: int = DIMS) -> np.ndarray | None:
         return None
     counts = np.zeros(dims, np.int64)
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    if code.max() > 0xFFFF:
-        code = np.where(code > 0xFFFF, np.uint32(0), code)
     code = _table[code]
     blank = code == 0
     code = code[~(blank & np.concatenate(([False], blank[:-1])))]

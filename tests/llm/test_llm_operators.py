@@ -161,6 +161,16 @@ def test_language_model_learns_and_abstains(spark, empty):
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ") and kept.count() == 400
 
 
+def test_letters_beyond_the_basic_plane_count(spark):
+    rng = random.Random(2)
+    kinds = {"got": [chr(c) for c in range(0x10330, 0x10341)], "ff": [chr(c) for c in range(0x1E922, 0x1E933)]}
+    rows = [(i, " ".join("".join(rng.choices(kinds[k], k=4)) for _ in range(20)), k, "s", 0, 0, "", 0) for i, k in enumerate(rng.choices(["got", "ff"], k=200))]
+    frame = spark.createDataFrame([*rows, (900, "🙂 🙂", "ff", "s", 0, 0, "", 0)], DOCS)
+    got = {r.doc_id: (r.lang_pred, r.score > 0.5) for r in langid.identify(frame).collect()}
+    assert got == {r[0]: (r[2], True) for r in rows} | {900: ("und", False)}
+    assert langid.keep_known(frame).count() == 200
+
+
 # op8
 
 
