@@ -119,8 +119,16 @@ def route(pairs: DataFrame, strict: Column, without_period: Column, fallback: bo
 
 
 def apply_aliases(rows: DataFrame, text_col: str, aliases: Mapping[str, str] | DataFrame, out: str = "companies") -> DataFrame:
-    """rows with the short names of all aliases in the text, in order of first place, without repeats; aliases are a small dimension."""
-    items = [(r.alias, r.short) for r in aliases.collect()] if isinstance(aliases, DataFrame) else list(aliases.items())
-    found = F.array(*[F.struct(F.locate(a, F.col(text_col)).alias("at"), F.lit(-len(a)).alias("n"), F.lit(s).alias("short")) for a, s in items]) if items else F.array().cast("array<struct<at:int,n:int,short:string>>")
+    """rows with the short names of all aliases in the text, in order of first place, without repeats.
+
+    A table of aliases (alias, short) is joined as one row; it is a small dimension.
+    """
+    if isinstance(aliases, DataFrame):
+        listed = aliases.filter("alias <> ''").agg(F.collect_list(F.struct("alias", "short")).alias("__aliases"))
+        found = F.transform("__aliases", lambda x: F.struct(F.position(x["alias"], F.col(text_col)).alias("at"), (-F.length(x["alias"])).alias("n"), x["short"].alias("short")))
+        rows = rows.crossJoin(F.broadcast(listed))
+    else:
+        items = list(aliases.items())
+        found = F.array(*[F.struct(F.locate(a, F.col(text_col)).alias("at"), F.lit(-len(a)).alias("n"), F.lit(s).alias("short")) for a, s in items]) if items else F.array().cast("array<struct<at:int,n:int,short:string>>")
     hits = F.sort_array(F.filter(found, lambda x: x["at"] > 0))
-    return rows.withColumn(out, F.array_distinct(F.transform(hits, lambda x: x["short"])))
+    return rows.withColumn(out, F.array_distinct(F.transform(hits, lambda x: x["short"]))).drop("__aliases")

@@ -192,6 +192,15 @@ def segment_split(spark, sf_dir):
     return chunking.segments(docs).select("doc", F.col("segment_index").cast("int"), "segment_type")
 
 
+@registered("select doc, cast(row_number() over (partition by doc order by p, t desc) as int) as segment_index, t as segment_type from (select doc, p, unnest(['text', 'table']) as t from (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber) as p from lineitem))")
+def segment_orders(spark, sf_dir):
+    """A document for each order: a line of text and a fenced table for each of its lines."""
+    part = F.concat(F.lit("about "), F.col("l_partkey").cast("string"), F.lit("\n[TABLE_START]\n| line |\n| "), F.col("l_linenumber").cast("string"), F.lit(" |\n[TABLE_END]\n"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", part.alias("p")))), lambda x: x["p"]), "")
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(listed.alias("text"))
+    return chunking.segments(docs).select("doc", F.col("segment_index").cast("int"), "segment_type")
+
+
 @registered("""with p as (select b.item_id as qid, d.doc_id, case when d.lang = 'en' and d.source = 'src' || (b.item_id % 30) then 0 when d.lang = 'en' and b.item_id % 30 < 25 then 1 else 2 end as level from benchmark b, documents d where b.item_id % 20 = 0)
 select qid, cast(count(*) as bigint) as n, cast(min(level) as int) as level from (select *, min(level) over (partition by qid) as m from p) where level = m group by qid""")
 def route_relaxed(spark, sf_dir):
@@ -221,11 +230,22 @@ def file_name_metadata(spark, sf_dir):
 
 @registered()
 def parse_query(spark, sf_dir):
-    """Questions about nations in years taken from orders, with the nations' names as aliases."""
-    nations = table(spark, sf_dir, "nation")
-    aliases = nations.select(F.col("n_name").alias("alias"), F.initcap("n_name").alias("short"))
-    pairs = nations.alias("a").join(nations.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey"))
-    asked = pairs.select((F.col("a.n_nationkey") * 100 + F.col("b.n_nationkey")).alias("qid"), F.concat(F.col("a.n_name"), F.lit("和"), F.col("b.n_name"), F.lit("2024年营业收入谁更高")).alias("query"))
+    """A question for each order: year (20 years on) and period from its date, metric and wording by its key, its customer's nation as company.
+
+    Of three orders one asks to compare with another nation and one for a summary; every tenth names no known company.
+    """
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("公司")).alias("name"), F.initcap("n_name").alias("short"))
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.withColumn("other", (F.col("c_nationkey") + 1 + key % 24) % 25)
+    for name, at in (("a", "c_nationkey"), ("b", "other")):
+        rows = rows.join(F.broadcast(nations.select(F.col("n_nationkey").alias(f"{name}_key"), F.col("name").alias(name))), F.col(at) == F.col(f"{name}_key"))
+    period = F.get(F.array(*map(F.lit, ("第一季度", "半年度", "第三季度", "年度"))), F.quarter(date) - 1)
+    metric = F.get(F.array(*map(F.lit, Q.METRICS)), (key % len(Q.METRICS)).cast("int"))
+    who = F.when(key % 10 == 7, "无名公司").when(key % 3 == 0, F.concat("a", F.lit("和"), "b")).otherwise(F.col("a"))
+    what = F.when(key % 3 == 0, F.concat(metric, F.lit("谁更高"))).when(key % 3 == 1, "主要趋势").otherwise(F.concat(metric, F.lit("是多少")))
+    asked = rows.select(key.alias("qid"), F.concat(who, (F.year(date) + 20).cast("string"), F.lit("年"), period, what).alias("query"))
+    aliases = nations.select(F.col("name").alias("alias"), "short")
     return Q.parse_queries(asked, aliases)
 
 

@@ -87,3 +87,20 @@ def test_product_quantiser_finds_the_neighbours(spark):
 
 def test_pq_recall_is_registered(spark):
     assert QUERIES["pq_recall"](spark, DATA).first().recall >= 0.9
+
+
+def test_questions_grow_with_orders(spark):
+    parsed = QUERIES["parse_query"](spark, DATA).cache()
+    assert parsed.count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
+    assert {r.question_type for r in parsed.select("question_type").distinct().collect()} == {"compare", "summary", "fact"}
+    assert {r.period for r in parsed.select("period").distinct().collect()} == {"q1", "semi_annual", "q3", "annual"}
+    assert parsed.select("metric").distinct().count() > 10 and parsed.select("year").distinct().count() > 3
+    assert parsed.filter("qid % 10 = 7 and size(companies) > 0 or qid % 10 <> 7 and size(companies) <> if(qid % 3 = 0, 2, 1)").count() == 0
+    subs = query.compare_subqueries(parsed)
+    assert subs.count() == 2 * parsed.filter("qid % 3 = 0 and qid % 10 <> 7").count() > 0
+
+
+def test_segments_grow_with_lines(spark):
+    got = QUERIES["segment_orders"](spark, DATA)
+    want = duckdb.connect().sql(ORACLE_SQL["segment_orders"].replace("from lineitem", f"from '{DATA}/lineitem.parquet'")).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
