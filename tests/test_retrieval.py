@@ -104,3 +104,8 @@ def test_segments_grow_with_lines(spark):
     got = QUERIES["segment_orders"](spark, DATA)
     want = duckdb.connect().sql(ORACLE_SQL["segment_orders"].replace("from lineitem", f"from '{DATA}/lineitem.parquet'")).fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_routing_meets_counts_of_documents(spark):
+    plan = QUERIES["route_relaxed"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
