@@ -2,7 +2,8 @@
 
 Null texts count as empty: they are one piece that holds only the end id. Repeated rows are packed as often as
 they occur. Ties in the packing rule go to the smallest gap that fits; which sequence number a piece gets is not
-part of the result. An empty table gives an empty result; other columns are dropped.
+part of the result. An empty table gives an empty result; other columns are dropped. The strings of the
+tokenizer's special tokens are those tokens in a text too, as add_special_tokens=False leaves it.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import map_batches, materialise, text_blocks
+from quillon.llm.shared import gathered, map_batches, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -24,60 +27,65 @@ END_ID = 1
 SHARD_PIECES = 4096
 #: Sequences filled up to this share are packed a second time, across shards.
 OPEN_SHARE = 0.95
-BLOCK_BYTES = 6 << 20
+#: Text whose distinct chunks are encoded once.
+BLOCK_BYTES = 16 << 20
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 250_000
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space, word by word with a bounded memory of words.
 
-    White space separates words before anything else does, so a text's ids are those of its blank-separated
-    chunks in order. Chunks of ASCII and Latin-1 letters, which need no normalisation but lower case, are cut by
-    the tokenizer's own pattern and go straight to its merge model; all others go to the tokenizer whole.
+    White space separates words before anything else does, so a text's ids are those of its chunks between ASCII
+    white space in order. Chunks of ASCII and Latin-1 letters, which need no normalisation but lower case, are cut
+    by the tokenizer's own pattern and go straight to its merge model; all others, and those that may hold a
+    special token, go to the tokenizer whole.
     """
 
-    PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
+    PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + i) for i, b in enumerate(hidden)}
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def part(self, part: str) -> list[int]:
+    def part(self, part: str) -> tuple[int, ...]:
         ids = self.memo.get(part)
         if ids is None:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode().decode("latin-1")))
-            ids = self.memo[part] = [t.id for t in self.model.tokenize(letters)]
+            ids = self.memo[part] = tuple(t.id for t in self.model.tokenize(letters))
         return ids
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> tuple[int, ...] | list[int]:
+        if chunk.isascii() and chunk.isalpha():
+            return self.part(chunk.lower())
         if not self.PLAIN(chunk):
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return [i for part in self.PARTS(chunk.lower()) for i in self.part(part)]
 
-    def block(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def block(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers; each distinct chunk of the block is encoded once."""
-        codes: dict[str, int] = {}
-        numbered = [np.fromiter((codes.setdefault(c, len(codes)) for c in (t or "").replace("\n", " ").split(" ")), np.int64) for t in texts]
-        ids = [self.chunk(c) for c in codes]
+        chunks = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+        numbered = chunks.flatten().dictionary_encode()
+        ids = [self.chunk(c) for c in numbered.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        for at in numbered:
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        starts, codes = np.cumsum(sizes) - sizes, numbered.indices.to_numpy()
+        ends = np.cumsum(chunks.value_lengths().to_numpy())
+        for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
+            at = codes[a:b]
             n = sizes[at]
-            ends = np.cumsum(n)
-            yield flat[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1])]
+            to = np.cumsum(n)
+            yield flat[np.repeat(starts[at] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -90,13 +98,13 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         if vocabulary not in _tokenizers:
             _tokenizers[vocabulary] = WordTokenizer(vocabulary)
         words = _tokenizers[vocabulary]
-        for b in text_blocks(batches, "text", BLOCK_BYTES):
+        for b in gathered(batches, 1, BLOCK_BYTES):
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), words.block(b.column(1).to_pylist())):
-                ids = np.append(ids, np.uint32(END_ID))
+            for doc, ids in zip(b.column(0).to_pylist(), words.block(b.column(1))):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     cut = ids[at : at + capacity]
-                    rows.append((doc, k, at, len(cut), zlib.crc32(cut.astype("<u4").tobytes())))
+                    rows.append((doc, k, at, len(cut), zlib.crc32(cut)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 3))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -107,7 +115,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     """Bin and offset of each length, in decreasing order of length.
 
     A piece goes to the open bin after which the sum over all gaps of (number of open bins with that gap) squared
-    is smallest; a bin is opened where none fits. Moving a bin from gap h to gap h - s changes the sum by
+    is smallest; a new bin is opened only where none fits, as few bins are the aim, and is not weighed against the
+    open ones. Moving a bin from gap h to gap h - s changes the sum by
     2 (N[h-s] - N[h]) + 2, and by 1 - 2 N[h] where it fills the bin.
     """
     order = np.argsort(-lengths, kind="stable")

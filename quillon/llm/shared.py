@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,11 +66,43 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     The bound is a setting of the session, read when a plan runs; a smaller one stays.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(name).rstrip("bB")) <= BATCH_BYTES:
+    if not 0 < byte_count(conf.get(name)) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
+def byte_count(size: str) -> int:
+    """Bytes of a setting such as 6m or 4096; without a unit it counts bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column is called so in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about max_bytes of text each, so that what is made once a block is made less often."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pa.compute.sum(pa.compute.binary_length(batch.column(column))).as_py() or 0
+        if size >= max_bytes:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of the rows of several."""
+    return batches[0] if len(batches) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)], batches[0].schema.names)
+
+
 def id_remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor

@@ -179,7 +179,9 @@ def test_packing_is_whole_and_tight(docs, rows, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    odd = [(700, "<|endoftext|>é <|STARTOFTEXT|>a<|startoftext|>b|> <| x", None, None, 0, 0, "", 0), (701, "\x0b a\x0cB\r\n\t<|endoftext|><|endoftext|> ", None, None, 0, 0, "", 0)]
+    docs, rows = docs.unionByName(docs.sparkSession.createDataFrame(odd, DOCS)), [*rows, *odd]
+    assert 49407 in tokenizer.encode(odd[0][1], add_special_tokens=False).ids
     got = packing.packed_documents(docs, path).collect()
     want = Counter()
     import zlib
