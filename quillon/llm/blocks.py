@@ -7,39 +7,40 @@ one row with the block's distinct words in that part; answers come back as array
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import map_batches, text_blocks
-
-BLOCK_BYTES = 6 << 20
+#: Text of a block, whose distinct words travel once.
+BLOCK_BYTES = 20 << 20
 #: Text behind the distinct words of one part.
 PART_BYTES = 2 << 20
-#: ends: where each document's codes end; codes: the documents' word numbers, compressed; keys: the words' hashes,
-#: or words: the words, by number. Words are numbered by part, then by first place. check: a hash of all of them.
-SCHEMA = "block long, docs array<long>, flags array<boolean>, ends array<int>, codes binary, check long"
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
+def pack_codes(codes: np.ndarray, width: int = 4) -> bytes:
     """The numbers' bytes by significance, which compress better apart, after their count."""
-    octets = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    octets = codes.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
     return len(codes).to_bytes(8, "little") + zlib.compress(np.ascontiguousarray(octets).tobytes(), 1)
 
 
-def unpack_codes(data: bytes) -> np.ndarray:
-    octets = np.frombuffer(zlib.decompress(data[8:]), np.uint8).reshape(4, int.from_bytes(data[:8], "little"))
-    return np.ascontiguousarray(octets.T).view("<u4").ravel().astype(np.int64)
+def unpack_codes(data: bytes, width: int = 4) -> np.ndarray:
+    octets = np.frombuffer(zlib.decompress(data[8:]), np.uint8).reshape(width, int.from_bytes(data[:8], "little"))
+    return np.ascontiguousarray(octets.T).view(f"<u{width}").ravel().astype(np.int64 if width < 8 else np.uint64)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers by their differences, which are a good deal shorter."""
+    return pack_codes(np.diff(keys, prepend=np.uint64(0)), 8)
 
 
-def part_count(docs: DataFrame, text_col: str = "text") -> int:
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_codes(data, 8), dtype=np.uint64)
+
+
+def part_count(docs: DataFrame, text_col: str = "text", part_bytes: int = PART_BYTES) -> int:
     """How many parts the words of docs are dealt to: in proportion to the text."""
-    return 1 + (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PART_BYTES
+    return 1 + (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // part_bytes
 
 
 def expand(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -59,26 +60,3 @@ def list_column(table: pa.Table, column: str) -> tuple[np.ndarray, pa.Array]:
     array = table.column(column).combine_chunks()
     array = array if isinstance(array, pa.Array) else pa.concat_arrays(array.chunks)
     return np.diff(array.offsets.to_numpy()), array.flatten()
-
-
-def word_blocks(docs: DataFrame, number: Callable[[list[str]], tuple[list[np.ndarray], list[bytes]]], flag: Column, parts: int, hashed: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA rows, with keys where hashed, else with words; number gives the word numbers of each text and the distinct words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for b in text_blocks(batches, "text", BLOCK_BYTES):
-            codes, words = number([t or "" for t in b.column(1).to_pylist()])
-            keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            order = np.argsort(keys % np.uint64(parts), kind="stable")
-            renumbered = np.empty(len(words), np.int64)
-            renumbered[order] = np.arange(len(words))
-            flat = renumbered[np.concatenate(codes)]
-            check = xxhash.xxh64_intdigest(keys[order].tobytes()) >> 1
-            last = pa.array([keys[order].view(np.int64)], pa.list_(pa.int64())) if hashed else pa.array([[words[i].decode() for i in order]], pa.list_(pa.string()))
-            values = [[block], [b.column(0).to_pylist()], [b.column(2).to_pylist()], [np.cumsum([len(c) for c in codes]).tolist()], [pack_codes(flat)], [check]]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, values, types), last], ["block", "docs", "flags", "ends", "codes", "check", "keys" if hashed else "words"])
-            block += 1
-
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), flag.alias("flag"))
-    return map_batches(picked, run, f"{SCHEMA}, {'keys array<long>' if hashed else 'words array<string>'}")

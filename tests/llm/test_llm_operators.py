@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -280,8 +281,19 @@ def test_pretokens_of_odd_white_space():
     rng = random.Random(8)
     for _ in range(300):
         t = "".join(rng.choices([" ", "  ", "\n", "\t", "a", "Bc", "'s", "é", "12", "!", " ", "　", "\x1c"], k=rng.randint(0, 12)))
-        codes, words = bpe.number_pretokens([t], public_tokenizers.PATTERN)
-        assert [words[i] for i in codes[0]] == regex.findall(public_tokenizers.PATTERN, t)
+        u = "".join(rng.choices(["a b", " ", "C.", "x1"], k=rng.randint(0, 5)))
+        codes, ends, words = bpe.number_pretokens(pa.array([t, None, u]), public_tokenizers.PATTERN)
+        found = [[words[i] for i in codes[a:b]] for a, b in zip([0, *ends[:-1]], ends)]
+        assert found == [regex.findall(public_tokenizers.PATTERN, x) for x in (t, "", u)]
+
+
+def test_decoding_fails_on_unknown_ids_and_keeps_nulls(spark):
+    tokens = spark.createDataFrame([(0, bytearray(b"a")), (2, bytearray(b"\xff\x00"))], "id int, bytes binary")
+    frame = spark.createDataFrame([(1, [0, 2, 0]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded and bytes(r.decoded) for r in bpe.decode(frame, tokens).collect()} == {1: b"a\xff\x00a", 2: None, 3: bytearray()}
+    for bad in (1, -1, 3):
+        with pytest.raises(Exception, match="not in the token-byte table"):
+            bpe.decode(spark.createDataFrame([(1, [0, bad])], "doc_id long, ids array<int>"), tokens).collect()
 
 
 # op6
