@@ -1,37 +1,68 @@
-"""Katz backoff language model over words, with Good-Turing discounts, counted and evaluated on Spark.
+"""Katz backoff language model of any order over words, with Good-Turing discounts, counted and evaluated on Spark.
 
 Null texts count as empty: their one token is the end. Repeated rows count, and are scored, as often as they
 occur. Without any training row every token is unknown with probability one. An empty table gives an empty
-result; columns other than the two named ones are dropped.
+result; columns other than the two named ones are dropped. A long run of one word is one word and one n-gram of
+each order with a high count.
 
-Words and pairs of words are counted by 64-bit hashes.
+Words and n-grams are counted by 64-bit hashes: of 10^9 distinct ones about one pair in forty corpora shares a
+count, of 10^12 some 27,000 pairs do.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import cuts_of, list_column, part_count, unpack_codes, word_blocks
-from quillon.llm.shared import discard, materialise
+from quillon.llm.blocks import cuts_of, list_column, pack_codes, pack_keys, part_count, unpack_codes, unpack_keys
+from quillon.llm.shared import discard, gathered, map_batches, materialise, scratch_path
 
 #: The end token; no word contains white space.
 END = "\n"
+ORDER = 2
 #: Counts up to this are discounted after Good and Turing.
 MAX_DISCOUNTED = 5
-#: Greater counts lose this much, so that every context leaves some mass to unseen words.
+#: Greater counts, which Katz leaves as they are, lose this much: else a context all of whose followers are so
+#: frequent would leave no mass at all to others.
 TOP_LOSS = 0.1
-#: A part of the pairs for so many parts of the words.
-PAIR_PARTS = 2
+#: Text of a block, and behind the n-grams of one part and of one folder of the stored tables.
+BLOCK_BYTES, PART_BYTES, TABLE_BYTES = 10 << 20, 2 << 20, 1 << 30
 _START = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass(frozen=True)
+class Model:
+    """A trained model. path has the tables grams (order, part, context, word, count, p, lower) and contexts (order, part, context, alpha).
+
+    grams has a row for each n-gram, by hash of its context and of its last word: its count, its discounted
+    probability p, and that of the n-gram without its first word. contexts has the backoff weight of each context.
+    Both are in folders by order and, part, context hash modulo parts.
+    """
+
+    path: str
+    order: int
+    parts: int
+    train_tokens: int
+    vocabulary: int
+    starts: int
+    unknown: float
+    discounts: tuple[tuple[float, ...], ...]
+
+    def grams(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("context long, word long, count long, p double, lower double, order int, part int").parquet(f"{self.path}/grams")
+
+    def contexts(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("context long, alpha double, order int, part int").parquet(f"{self.path}/contexts")
+
+
 def discounts(of_counts: dict[int, int]) -> list[float]:
     """Factors d_1..d_k of Katz: (r*/r - m) / (1 - m), r* = (r+1) n_{r+1} / n_r, m = (k+1) n_{k+1} / n_1.
 
@@ -46,181 +77,313 @@ def discounts(of_counts: dict[int, int]) -> list[float]:
     return out
 
 
-def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+def discounted(c: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
     """c times its discount."""
     table = np.array([0.0] + [r * x for r, x in enumerate(d, 1)])
     return np.where(c <= MAX_DISCOUNTED, table[np.minimum(c, MAX_DISCOUNTED)], c - TOP_LOSS)
 
 
-def number_words(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
-    """Word numbers of each text, ASCII letters in lower case, an end token last."""
-    known: dict[bytes, int] = {END.encode(): 0}
-    codes = []
-    for t in texts:
-        words = t.encode().lower().split()
-        codes.append(np.fromiter((*(known.setdefault(w, len(known)) for w in words), 0), np.int64, len(words) + 1))
-    return codes, list(known)
-
-
-def pair_keys(hashes: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of a block a hash of it with the token before it (or the start of its document), and that token's hash."""
-    before = np.concatenate(([_START], hashes[codes[:-1]]))
-    before[np.concatenate(([0], ends[:-1]))] = _START
-    return mixed(before, hashes[codes]), before
+def number_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all texts, an end token after each, where each text's end, and the hashes by number, ascending."""
+    split = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.compute.fill_null(texts, "")))
+    known = split.flatten().dictionary_encode()
+    words = known.dictionary.to_pylist()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in [END, *words]], np.uint64)
+    codes, is_word = known.indices.to_numpy() + 1, np.array([bool(w) for w in [END, *words]])
+    shown = is_word[codes]
+    size = np.diff(np.concatenate(([0], np.cumsum(shown)))[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))])
+    ends = np.cumsum(size + 1)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    places = np.ones(len(out), bool)
+    places[ends - 1] = False
+    out[places] = codes[shown]
+    distinct, number = np.unique(hashes[is_word], return_inverse=True)
+    of = np.zeros(len(hashes), np.int64)
+    of[is_word] = number
+    return of[out], ends, distinct
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from that of its context and that of its last word."""
     x = (a * np.uint64(0xBF58476D1CE4E5B9)) ^ ((b << np.uint64(23)) | (b >> np.uint64(41)))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that are written and no longer referenced."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def gram_keys(codes: np.ndarray, ends: np.ndarray, hashes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the hash of the n-gram that ends at each token and that of its context, texts being padded by starts."""
+    first, start, word = np.concatenate(([0], ends[:-1])), np.full(1, _START), hashes[codes]
+    out = [(word, np.zeros(len(codes), np.uint64))]
+    for n in range(2, order + 1):
+        context = np.concatenate((start, out[-1][0][:-1]))
+        context[first] = start
+        out.append((mixed(context, word), context))
+        start = mixed(start, np.full(1, _START))
+    return out
+
+
+def _distinct(codes: np.ndarray, hashes: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a block, ascending, and which one ends at each token."""
+    return (hashes, codes) if n == 1 else np.unique(keys, return_inverse=True)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of hashes, so that a block's ascending keys fall into them in order."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
 
+def _deal(docs: DataFrame, n: int, parts: int) -> DataFrame:
+    """(part, of_block, keys, counts): for each block and part the distinct n-grams and how often the training texts have them."""
 
-def _rows(block: int, kind: int, part: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """A row for each part of a block's keys, which are in the order of their parts, with their training counts."""
-    cuts = cuts_of(part)
-    offsets, rows = pa.array(cuts, pa.int32()), len(cuts) - 1
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (keys.view(np.int64), n.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array(np.full(rows, block)), *lists], ["part", "of_block", "keys", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for b in gathered(batches, 1, BLOCK_BYTES):
+            codes, ends, hashes = number_words(b.column(1))
+            keys, at = _distinct(codes, hashes, gram_keys(codes, ends, hashes, n)[-1][0], n)
+            learned = np.repeat(b.column(2).to_numpy(zero_copy_only=False), np.diff(ends, prepend=0))
+            counts, part = np.bincount(at, learned, len(keys)).astype(np.int64), _part(keys, parts)
+            cuts = cuts_of(part)
+            runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+            columns = [pa.array(part[cuts[:-1]], pa.int32()), pa.array([block] * len(runs), pa.int64()), pa.array([pack_keys(keys[i:j]) for i, j in runs], pa.binary()), pa.array([pack_codes(counts[i:j]) for i, j in runs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "of_block", "keys", "counts"])
+            block += 1
+
+    return map_batches(docs, run, "part int, of_block long, keys binary, counts binary")
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Global counts of a part's keys in the order they came, negative in the one place that stands for a key; and, once for each part, how many keys have counts of 0 to MAX_DISCOUNTED + 1, the sum of all counts, and of those that are greater."""
-    size, keys = list_column(table, "keys")
-    _, first, at = np.unique(keys.to_numpy(), return_index=True, return_inverse=True)
-    total = np.bincount(at, list_column(table, "n")[1].to_numpy()).astype(np.int64)
-    counts = total[at]
-    counts[first] = -counts[first]
+    """Global counts of a part's n-grams in the order they came, doubled, and plus one in the one place that stands for the n-gram; and, once for each part, how many have counts of 0 to MAX_DISCOUNTED + 1, how many greater ones, and the sum of these."""
+    runs = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    counts = [unpack_codes(x) for x in table.column("counts").to_pylist()]
+    _, first, at = np.unique(np.concatenate(runs), return_index=True, return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    answers = 2 * total[at]
+    answers[first] += 1
     top = MAX_DISCOUNTED + 1
     great = total > top
     summary = [*np.bincount(total[~great], minlength=top + 1).tolist(), int(great.sum()), int(total[great].sum())]
-    offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
-    summaries = pa.array([summary] + [None] * (table.num_rows - 1), pa.list_(pa.int64()))
-    return pa.table([table.column("of_block"), table.column("part"), pa.ListArray.from_arrays(offsets, pa.array(counts)), summaries], names=["of_block", "part", "counts", "summary"])
+    ends = np.cumsum([len(r) for r in runs])
+    packed = [pack_codes(answers[e - len(r) : e], 8) for r, e in zip(runs, ends)]
+    return pa.table([table.column("of_block"), table.column("part"), pa.array(packed, pa.binary()), pa.array([summary] + [None] * (len(runs) - 1), pa.list_(pa.int64()))], names=["of_block", "part", "answers", "summary"])
 
 
-def _counted(dealt: DataFrame, name: str) -> tuple[DataFrame, list[int]]:
-    """The table of counts, and the sum of its summaries: counts of 0 to MAX_DISCOUNTED + 1, greater counts, sum of these."""
-    counts = materialise(dealt.groupBy("part").applyInArrow(_count, "of_block long, part int, counts array<long>, summary array<long>"), name)
-    sums = counts.filter("summary is not null").agg(*[F.sum(F.element_at("summary", i + 1)) for i in range(MAX_DISCOUNTED + 4)]).first()
-    return counts, [x or 0 for x in sums]
+class _State:
+    """A block with the global counts of its n-grams: for each order n keys, at (the n-gram of each token), count, own, context, context_count and p by n-gram."""
 
+    def __init__(self, block: pa.Table, counted: pa.Table, model: Model) -> None:
+        self.codes, self.ends = unpack_codes(block.column("codes")[0].as_py()), np.array(block.column("ends")[0].as_py(), np.int64)
+        self.hashes = unpack_keys(block.column("hashes")[0].as_py())
+        self.begins = np.concatenate(([0], self.ends[:-1]))
+        counted = counted.sort_by([("kind", "ascending"), ("part", "ascending")])
+        kinds = counted.column("kind").to_numpy()
+        answers = [unpack_codes(x, 8).astype(np.int64) for x in counted.column("answers").to_pylist()]
+        self.orders, before = [], None
+        for n, (gram, context) in enumerate(gram_keys(self.codes, self.ends, self.hashes, model.order), 1):
+            keys, at = _distinct(self.codes, self.hashes, gram, n)
+            both = np.concatenate([a for a, k in zip(answers, kinds) if k == n])
+            count, own = both >> 1, (both & 1).astype(bool)
+            place = np.empty(len(keys), np.int64)
+            place[at] = np.arange(len(at))
+            if n == 1:
+                context_count = np.full(len(keys), max(model.train_tokens, 1))
+                p = np.where(count > 0, discounted(count, model.discounts[0]) / context_count, model.unknown)
+            else:
+                follows = np.concatenate(([0], before["count"][before["at"][:-1]]))
+                follows[self.begins] = model.starts
+                context_count = follows[place]
+                p = discounted(count, model.discounts[n - 1]) / np.maximum(context_count, 1)
+            before = {"n": n, "at": at, "count": count, "own": own, "context": context[place], "context_count": context_count, "p": p, "place": place}
+            self.orders.append(before)
+
+
+def _block_rows(docs: DataFrame) -> DataFrame:
+    """(block, docs, flags, ends, codes, hashes) of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for b in gathered(batches, 1, BLOCK_BYTES):
+            codes, ends, hashes = number_words(b.column(1))
+            values = [[block], [b.column(0).to_pylist()], [b.column(2).to_pylist()], [ends.tolist()], [pack_codes(codes)], [pack_keys(hashes)]]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], ["block", "docs", "flags", "ends", "codes", "hashes"])
+            block += 1
+
+    return map_batches(docs, run, "block long, docs array<long>, flags array<boolean>, ends array<long>, codes binary, hashes binary")
+
+
+def _fit(docs: DataFrame, order: int, path: str) -> tuple[Model, DataFrame]:
+    """The model's tables and the counts by block, of docs (doc_id, text, flag: learn from it)."""
+    spark = docs.sparkSession
+    parts = part_count(docs, part_bytes=PART_BYTES)
+    starts = docs.filter("flag").count()
+    counts, seen = None, []
+    for n in range(1, order + 1):
+        counted = materialise(_deal(docs, n, n * parts).groupBy("part").applyInArrow(_count, "of_block long, part int, answers binary, summary array<long>"), f"lm-counts-{n}")
+        sums = counted.filter("summary is not null").agg(*[F.sum(F.element_at("summary", i + 1)) for i in range(MAX_DISCOUNTED + 4)]).first()
+        seen.append([x or 0 for x in sums])
+        counted = counted.select("of_block", F.lit(n).alias("kind"), "part", "answers")
+        counts = counted if counts is None else counts.unionByName(counted)
+    top, words = MAX_DISCOUNTED + 1, seen[0]
+    tokens = sum(r * words[r] for r in range(1, top + 1)) + words[top + 2]
+    d = tuple(tuple(discounts(dict(enumerate(x[: top + 1])))) for x in seen)
+    mass = sum(r * f * words[r] for r, f in enumerate(d[0], 1)) + words[top] * (top - TOP_LOSS) + words[top + 2] - TOP_LOSS * words[top + 1]
+    table_parts = part_count(docs, part_bytes=TABLE_BYTES)
+    model = Model(path, order, table_parts, tokens, sum(words[1 : top + 2]), starts, 1 - mass / tokens if tokens else 1.0, d)
+
+    def grams(block: pa.Table, counted: pa.Table) -> pa.Table:
+        """Of the n-grams that this block stands for, a row for each order and part, by context."""
+        state, rows, lower = _State(block, counted, model), [], None
+        for o in state.orders:
+            pick = np.flatnonzero(o["own"] & (o["count"] > 0))
+            part = (o["context"][pick] % np.uint64(table_parts)).astype(np.int64)
+            sort = np.lexsort((o["context"][pick], part))
+            pick, part = pick[sort], part[sort]
+            word = state.hashes[state.codes[o["place"][pick]]]
+            below = lower["p"][lower["at"][o["place"][pick]]] if lower else np.zeros(len(pick))
+            cuts = cuts_of(part)
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                at = pick[i:j]
+                rows.append((o["n"], int(part[i]), pack_codes(np.diff(o["context"][at], prepend=np.uint64(0)), 8), word[i:j].tobytes(), pack_codes(o["count"][at], 8), pack_codes(o["p"][at].view(np.uint64), 8), pack_codes(below[i:j].copy().view(np.uint64), 8)))
+            lower = o
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["order", "part", "context", "word", "count", "p", "lower"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for order_no, part, context, word, count, p, below in zip(*(c.to_pylist() for c in b.columns)):
+                contexts = unpack_keys(context).view(np.int64)
+                values = [contexts, np.frombuffer(word, np.int64), unpack_codes(count, 8).astype(np.int64), unpack_codes(p, 8).view(np.float64), unpack_codes(below, 8).view(np.float64), np.full(len(contexts), order_no, np.int32), np.full(len(contexts), part, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["context", "word", "count", "p", "lower", "order", "part"])
 
-def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row, learned from the rows not held out.
+    both = _block_rows(docs).groupBy("block").cogroup(counts.groupBy("of_block"))
+    packed = both.applyInArrow(grams, "order int, part int, context binary, word binary, count binary, p binary, lower binary").repartition("order", "part")
+    rows = map_batches(packed, unpack, "context long, word long, count long, p double, lower double, order int, part int")
+    rows.write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{path}/grams")
+    # what a context's n-grams leave over, by what their last words have one order down
+    left = model.grams(spark).filter("order > 1").groupBy("order", "part", "context").agg(F.sum("p").alias("kept"), F.sum("lower").alias("covered"))
+    alpha = (1 - F.col("kept")) / (1 - F.col("covered"))
+    left.select("context", alpha.alias("alpha"), "order", "part").write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{path}/contexts")
+    return model, counts
 
-    score is the sum of log10 P(token | word before): d_c c(v,w) / c(v) for pairs seen in training, else
-    alpha(v) P(w), where alpha(v) makes the probabilities after v sum to one, and P is the discounted relative
-    frequency, the rest of whose mass is that of the one unknown word.
-    """
-    parts = part_count(docs, text_col)
-    blocks = materialise(word_blocks(docs, number_words, ~held_out, parts, True, id_col, text_col), "lm-blocks")
-    starts = blocks.agg(F.sum(F.size(F.filter("flags", lambda x: x)))).first()[0] or 0
-    pair_parts = PAIR_PARTS * parts
 
-    def read(b: pa.RecordBatch, k: int) -> tuple:
-        keys, codes, ends = b.column("keys")[k].values.to_numpy().view(np.uint64), unpack_codes(b.column("codes")[k].as_py()), np.array(b.column("ends")[k].as_py())
-        return b.column("block")[k].as_py(), keys, codes, ends, np.repeat(np.array(b.column("flags")[k].as_py(), bool), np.diff(ends, prepend=0))
+def _picked(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learn.alias("flag"))
 
-    def deal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                block, keys, codes, _, learned = read(b, k)
-                yield _rows(block, 0, (keys % np.uint64(parts)).astype(np.int64), keys, np.bincount(codes, learned, len(keys)))
 
-    def deal_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                block, keys, codes, ends, learned = read(b, k)
-                pair, at = np.unique(pair_keys(keys, codes, ends)[0], return_inverse=True)
-                part = (pair % np.uint64(pair_parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                yield _rows(block, 1, part[order], pair[order], np.bincount(at, learned, len(pair))[order])
-
-    dealt = "part int, of_block long, keys array<long>, n array<int>"
-    lean = blocks.select("block", "flags", "ends", "codes", "keys")
-    word_counts, seen_words = _counted(lean.mapInArrow(deal_words, dealt), "lm-words")
-    pair_counts, seen_pairs = _counted(lean.mapInArrow(deal_pairs, dealt), "lm-pairs")
-    _free(docs)
-    top = MAX_DISCOUNTED + 1
-    v = sum(seen_words[1 : top + 2])
-    n = sum(r * seen_words[r] for r in range(1, top + 1)) + seen_words[top + 2]
-    d_words, d_pairs = (discounts(dict(enumerate(x[: top + 1]))) for x in (seen_words, seen_pairs))
-    seen_mass = sum(r * d * seen_words[r] for r, d in enumerate(d_words, 1)) + seen_words[top] * (top - TOP_LOSS) + seen_words[top + 2] - TOP_LOSS * seen_words[top + 1]
-    unknown = 1 - seen_mass / n if n else 1.0
+def train(docs: DataFrame, order: int = ORDER, path: str | None = None, text_col: str = "text") -> Model:
+    """A model of all docs, with its tables in path, by default in the shared scratch folder."""
+    if order < 1:
+        raise ValueError("the order is at least 1")
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(True).alias("flag"))
+    model, counts = _fit(rows, order, path or scratch_path(docs.sparkSession, "lm-model"))
+    discard(counts)
+    return model
+
+
+def _evaluated(model: Model, state: _State) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """log10 of the probability of each token at the highest order that has it, and by order the tokens that back off there with their known contexts.
+
+    The recursion goes down from the highest order: a token that an order has is done there; one that it has not
+    takes the backoff weight of its context, if that was ever seen, and goes on one order down.
+    """
+    log, todo, backs = np.zeros(len(state.codes)), np.ones(len(state.codes), bool), []
+    for o in reversed(state.orders):
+        seen = o["count"][o["at"]] > 0
+        done = todo & (seen | (o["n"] == 1))
+        log[done] = np.log10(np.maximum(o["p"][o["at"][done]], 1e-300))
+        todo &= ~done
+        back = np.flatnonzero(todo & (o["context_count"][o["at"]] > 0))
+        backs.append((o["n"], back, o["context"][o["at"][back]]))
+    return log, backs
+
+
+def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row, by a model of the rows not held out.
+
+    The model is stored; its rows come from one pass with the scores', in which each block of texts asks for the
+    global counts of its own n-grams. Backoff weights are read from the stored table: a block asks for each of its
+    contexts once, so that a frequent context has a row for each block, not for each document.
+    """
+    spark = docs.sparkSession
+    rows = _picked(docs, ~held_out, id_col, text_col)
+    model, counts = _fit(rows, order, scratch_path(spark, "lm-model"))
 
     def score(block: pa.Table, counted: pa.Table) -> pa.Table:
-        """Rows of three kinds: 0 a document's sums, 1 a context's sums over its pairs that this block stands for, 2 a document's unseen pairs by context."""
-        codes, ends = unpack_codes(block.column("codes")[0].as_py()), np.array(block.column("ends")[0].as_py())
-        hashes = block.column("keys")[0].values.to_numpy().view(np.uint64)
-        counted = counted.sort_by([("kind", "ascending"), ("part", "ascending")])
-        counts = np.asarray(list_column(counted, "counts")[1])
-        c_word, signed = np.abs(counts[: len(hashes)]), counts[len(hashes) :]
-        keys, before = pair_keys(hashes, codes, ends)
-        key, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        order = np.argsort((key % np.uint64(pair_parts)).astype(np.int64), kind="stable")
-        c_pair = np.zeros(len(key), np.int64)
-        c_pair[order] = signed
-        own, c_pair = c_pair < 0, np.abs(c_pair)
-        p_word = np.where(c_word > 0, discounted(c_word, d_words) / max(n, 1), unknown)
-        # documents
-        length = np.diff(ends, prepend=0)
-        doc = np.repeat(np.arange(len(ends)), length)
-        sums = lambda x: np.bincount(doc, x, len(ends))
-        c_tokens, pair_tokens = c_word[codes], c_pair[at]
-        c_before = np.concatenate(([0], c_tokens[:-1]))
-        c_before[np.concatenate(([0], ends[:-1]))] = starts
-        base = sums(np.log10((c_tokens + 1) / (n + v + 1)))
-        seen = pair_tokens > 0
-        logs = np.where(seen, np.log10(np.maximum(discounted(pair_tokens, d_pairs), 1e-300) / np.maximum(c_before, 1)), np.log10(p_word[codes]))
-        rows = len(ends)
-        docs_part = [np.zeros(rows, np.int8), np.full(rows, block.column("block")[0].as_py()), np.arange(rows), np.array([x is None for x in block.column("docs")[0].as_py()]), np.array([x or 0 for x in block.column("docs")[0].as_py()], np.int64), ~np.array(block.column("flags")[0].as_py(), bool), length, sums(c_tokens > 0).astype(np.int64), base, sums(logs)]
-        # contexts
-        pick = own & (c_pair > 0)
-        context, where = np.unique(before[first][pick], return_inverse=True)
-        of_pair = codes[first][pick]
-        lost = np.bincount(where, discounted(c_pair[pick], d_pairs), len(context)) if len(context) else np.zeros(0)
-        covered = np.bincount(where, p_word[of_pair], len(context)) if len(context) else np.zeros(0)
-        # unseen pairs after known words
-        miss = ~seen & (c_before > 0)
-        of_doc, of_context, of_count = doc[miss], before[miss], c_before[miss]
-        order = np.lexsort((of_context, of_doc))
-        of_doc, of_context, of_count = of_doc[order], of_context[order], of_count[order]
-        new = np.flatnonzero(np.concatenate(([True], (of_doc[1:] != of_doc[:-1]) | (of_context[1:] != of_context[:-1])))) if len(order) else order
-        times = np.diff(new, append=len(order))
-        k, m = len(context), len(times)
-        block_id = block.column("block")[0].as_py()
-        size = rows + k + m
-        columns = {
-            "kind": np.concatenate((docs_part[0], np.full(k, 1, np.int8), np.full(m, 2, np.int8))),
-            "block": np.full(size, block_id),
-            "row": np.concatenate((docs_part[2], np.zeros(k, np.int64), of_doc[new])),
-            "doc_id": np.concatenate((docs_part[4], context.view(np.int64), of_context[new].view(np.int64))),
-            "held_out": np.concatenate((docs_part[5], np.zeros(k + m, bool))),
-            "n_tokens": np.concatenate((docs_part[6], np.zeros(k, np.int64), times)),
-            "n_known": np.concatenate((docs_part[7], np.zeros(k, np.int64), of_count[new])),
-            "a": np.concatenate((docs_part[8], lost, np.zeros(m))),
-            "b": np.concatenate((docs_part[9], covered, np.zeros(m))),
-        }
-        null = np.concatenate((docs_part[3], np.zeros(k + m, bool)))
-        return pa.table([pa.array(x, mask=null if name == "doc_id" else None) for name, x in columns.items()], names=list(columns))
-
-    counts = word_counts.select("of_block", F.lit(0).alias("kind"), "part", "counts").unionByName(pair_counts.select("of_block", F.lit(1).alias("kind"), "part", "counts"))
-    both = blocks.groupBy("block").cogroup(counts.groupBy("of_block"))
-    out = materialise(both.applyInArrow(score, "kind byte, block long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, a double, b double"), "lm-scores")
-    del both
-    for written in (blocks, word_counts, pair_counts):
-        discard(written)
-    _free(docs)
-    # kind 1 and 2 are keyed by the context's hash, in doc_id; kind 2 has the context's count in n_known
-    contexts = out.filter("kind = 1").groupBy(F.col("doc_id").alias("context")).agg(F.sum("a").alias("kept"), F.sum("b").alias("covered"))
-    unseen = out.filter("kind = 2").select("block", "row", F.col("doc_id").alias("context"), F.col("n_tokens").alias("times"), F.col("n_known").alias("c"))
-    alpha = (1 - F.coalesce("kept", F.lit(0.0)) / F.col("c")) / (1 - F.coalesce("covered", F.lit(0.0)))
-    weights = unseen.join(contexts, "context", "left").groupBy("block", "row").agg(F.sum(F.col("times") * F.log10(alpha)).alias("backoff"))
-    whole = out.filter("kind = 0").join(weights, ["block", "row"], "left")
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("a").alias("base_score"), (F.col("b") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
+        """Rows of two kinds: a document's sums; a context that the block's documents back off from, with these and how often."""
+        state = _State(block, counted, model)
+        log, backs = _evaluated(model, state)
+        words = state.orders[0]
+        c, length = words["count"][words["at"]], np.diff(state.ends, prepend=0)
+        doc = np.repeat(np.arange(len(length)), length)
+        sums = lambda x: np.bincount(doc, x, len(length))
+        base = sums(np.log10((c + 1) / (model.train_tokens + model.vocabulary + 1)))
+        number, n_docs, empty = block.column("block")[0].as_py(), len(length), pa.nulls
+        head = [pa.array(np.full(n_docs, number)), pa.array(np.arange(n_docs)), block.column("docs").combine_chunks().flatten(), pa.compute.invert(block.column("flags").combine_chunks().flatten())]
+        head += [pa.array(x) for x in (length, sums(c > 0).astype(np.int64), base, sums(log))]
+        tables = [pa.table([*head, empty(n_docs, pa.int32()), empty(n_docs, pa.int64()), empty(n_docs, pa.list_(pa.int64())), empty(n_docs, pa.list_(pa.int64()))], names=_SCORE)]
+        for n, at, context in backs:
+            if not len(at):
+                continue
+            sort = np.lexsort((doc[at], context))
+            of, where = context[sort], doc[at][sort]
+            new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (where[1:] != where[:-1]))))
+            times, of, where = np.diff(new, append=len(sort)), of[new], where[new]
+            cuts = cuts_of(of)
+            k = len(cuts) - 1
+            offsets = pa.array(cuts, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (where, times)]
+            none = [empty(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            tables.append(pa.table([pa.array(np.full(k, number)), *none, pa.array(np.full(k, n, np.int32)), pa.array(of[cuts[:-1]].view(np.int64)), *lists], names=_SCORE))
+        return pa.concat_tables(tables)
+
+    both = _block_rows(rows).groupBy("block").cogroup(counts.groupBy("of_block"))
+    schema = "block long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, order int, context long, rows array<long>, times array<long>"
+    out = materialise(both.applyInArrow(score, schema), "lm-scores")
+    discard(counts)
+    asked = out.filter("order is not null").select("block", "order", "context", "rows", "times")
+    found = asked.join(model.contexts(spark).select("order", "context", "alpha"), ["order", "context"])
+    each = found.select("block", F.log10("alpha").alias("log_alpha"), F.explode(F.arrays_zip("rows", "times")).alias("x"))
+    weights = each.groupBy("block", F.col("x.rows").alias("row")).agg(F.sum(F.col("x.times") * F.col("log_alpha")).alias("backoff"))
+    whole = out.filter("order is null").join(weights, ["block", "row"], "left")
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("log") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
+
+
+_SCORE = ["block", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "log", "order", "context", "rows", "times"]
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, score) per row of any docs, by the tables of a stored model.
+
+    A row for each document and distinct n-gram is joined with grams by context and word, from the highest order
+    down, and with contexts where it backs off. Frequent n-grams are skewed keys of these joins, which adaptive
+    execution splits.
+    """
+    spark, n = docs.sparkSession, model.order
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = materialise(picked, "lm-asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches, 1, BLOCK_BYTES):
+            codes, ends, hashes = number_words(b.column(1))
+            keys = gram_keys(codes, ends, hashes, n)
+            doc = np.repeat(b.column(0).to_numpy(), np.diff(ends, prepend=0))
+            order = np.lexsort((keys[-1][0], doc))
+            same = (doc[order][1:] == doc[order][:-1]) & (keys[-1][0][order][1:] == keys[-1][0][order][:-1])
+            new = np.flatnonzero(np.concatenate(([True], ~same)))
+            first, times = order[new], np.diff(new, append=len(order))
+            values = [doc[first], times, hashes[codes[first]].view(np.int64), *[c[first].view(np.int64) for _, c in keys]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names)
+
+    names = ["row", "times", "word", *[f"context_{k}" for k in range(1, n + 1)]]
+    asked = map_batches(picked.select("row", "text"), run, ", ".join(f"{c} long" for c in names))
+    for k in range(1, n + 1):
+        grams = model.grams(spark).filter(F.col("order") == k).select(F.col("context").alias(f"context_{k}"), "word", F.col("p").alias(f"p_{k}"))
+        asked = asked.join(grams, [f"context_{k}", "word"], "left")
+        if k > 1:
+            known = model.contexts(spark).filter(F.col("order") == k).select(F.col("context").alias(f"context_{k}"), F.col("alpha").alias(f"alpha_{k}"))
+            asked = asked.join(known, f"context_{k}", "left")
+    log = F.log10(F.greatest(F.coalesce("p_1", F.lit(model.unknown)), F.lit(1e-300)))
+    for k in range(2, n + 1):
+        log = F.when(F.col(f"p_{k}").isNotNull(), F.log10(f"p_{k}")).otherwise(F.coalesce(F.log10(f"alpha_{k}"), F.lit(0.0)) + log)
+    sums = asked.groupBy("row").agg(F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("p_1").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * log).alias("score"))
+    return picked.select("row", "doc_id").join(sums, "row").drop("row")

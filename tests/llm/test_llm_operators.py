@@ -1,6 +1,7 @@
 """Each corpus operator against a plain version of itself, on small tables with awkward rows."""
 
 import base64
+import functools
 import hashlib
 import itertools
 import math
@@ -299,32 +300,84 @@ def test_decoding_fails_on_unknown_ids_and_keeps_nulls(spark):
 # op6
 
 
-def test_katz_scores_and_normalisation(docs, rows, empty):
+class PlainKatz:
+    """Counts, discounts and probabilities by dictionaries."""
+
+    def __init__(self, train, order):
+        self.order, self.n = order, sum(map(len, train))
+        self.counts = [Counter(g for t in train for g in self.grams(t, k)) for k in range(1, order + 1)]
+        self.starts = len(train)
+        self.d = [lm.discounts(Counter(x.values())) for x in self.counts]
+        self.unknown = 1 - sum(self.less(c, 0) for c in self.counts[0].values()) / self.n if self.n else 1.0
+        self.after = {}
+        for k, x in enumerate(self.counts):
+            for g in x:
+                self.after.setdefault(g[:-1], []).append(g)
+        self.total, self.alpha, self.p = map(functools.cache, (self.total, self.alpha, self.p))
+
+    def grams(self, tokens, k):
+        padded = ["<s>"] * (k - 1) + tokens
+        return [tuple(padded[i : i + k]) for i in range(len(tokens))]
+
+    def less(self, c, k):
+        return c * self.d[k][c - 1] if c <= lm.MAX_DISCOUNTED else c - lm.TOP_LOSS
+
+    def total(self, context):
+        return sum(self.counts[len(context)][g] for g in self.after.get(context, []))
+
+    def p(self, gram):
+        k = len(gram) - 1
+        c = self.counts[k][gram]
+        if c:
+            return self.less(c, k) / (self.total(gram[:-1]) if k else self.n)
+        return self.alpha(gram[:-1]) * self.p(gram[1:]) if k else self.unknown
+
+    def alpha(self, context):
+        grams = self.after.get(context)
+        return (1 - sum(map(self.p, grams))) / (1 - sum(self.p(g[1:]) for g in grams)) if grams else 1.0
+
+    def score(self, tokens):
+        return sum(math.log10(self.p(g)) for g in self.grams(tokens, self.order))
+
+
+def _out_of(i):
     import zlib
 
-    out_of = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    tokens = [[*words_of(ascii_lower(r[1] or "")), lm.END] for r in rows]
-    train = [t for r, t in zip(rows, tokens) if not out_of(r[0])]
-    uni, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>", *t], t))
-    before = Counter(v for (v, _), c in bi.items() for _ in range(c))
-    n, v = sum(uni.values()), len(uni)
-    d1, d2 = (lm.discounts(Counter(x.values())) for x in (uni, bi))
-    less = lambda c, d: c * d[c - 1] if c <= lm.MAX_DISCOUNTED else c - lm.TOP_LOSS
-    unknown = 1 - sum(less(c, d1) for c in uni.values()) / n
-    p1 = lambda w: less(uni[w], d1) / n if uni[w] else unknown
-    after = {}
-    for (a, b), c in bi.items():
-        after.setdefault(a, {})[b] = c
-    alpha = {a: (1 - sum(less(c, d2) for c in x.values()) / before[a]) / (1 - sum(map(p1, x))) for a, x in after.items()}
-    p2 = lambda a, w: less(bi[a, w], d2) / before[a] if bi[a, w] else alpha.get(a, 1.0) * p1(w)
-    for a in [*list(after)[:30], "never seen"]:
-        assert sum(p2(a, w) for w in uni) + p2(a, "never seen") == pytest.approx(1)
-    want = Counter((r[0], len(t), round(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), 6), round(sum(math.log10(p2(a, w)) for a, w in zip(["<s>", *t], t)), 6)) for r, t in zip(rows, tokens))
-    got = lm.scores(docs, id_remainder("doc_id", 7) == 2).collect()
-    assert Counter((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
-    assert all(r.held_out == out_of(r.doc_id) and r.train_tokens == n for r in got)
-    assert lm.scores(empty, id_remainder("doc_id", 7) == 2).collect() == []
-    assert {r.score for r in lm.scores(docs, F.lit(True)).collect()} == {0.0}
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_scores_and_normalisation(docs, rows, empty, order, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm, "PART_BYTES", 60000)
+    tokens = [[*words_of(ascii_lower(r[1] or ""))[:200 if order == 3 else None], lm.END] for r in rows]
+    cut = [(*r[:1], None if r[1] is None else " ".join(t[:-1]), *r[2:]) for r, t in zip(rows, tokens)]
+    frame = docs.sparkSession.createDataFrame(cut, DOCS).repartition(3).cache()
+    plain = PlainKatz([t for r, t in zip(rows, tokens) if not _out_of(r[0])], order)
+    n, v, uni = plain.n, len(plain.counts[0]), plain.counts[0]
+    for context in [c for c in plain.after if len(c) == order - 1][:25]:
+        assert sum(plain.p((*context, *w)) for w in uni) + plain.p((*context, "never seen")) == pytest.approx(1)
+    want = Counter((r[0], len(t), sum(uni[w,] > 0 for w in t), round(sum(math.log10((uni[w,] + 1) / (n + v + 1)) for w in t), 6), round(plain.score(t), 6)) for r, t in zip(rows, tokens))
+    got = lm.scores(frame, id_remainder("doc_id", 7) == 2, order=order).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    assert all(r.held_out == _out_of(r.doc_id) and r.train_tokens == n for r in got)
+    frame.unpersist()
+
+
+def test_katz_model_is_stored_and_scores_other_tables(spark, docs, rows, empty):
+    learned = [(r[0], " ".join(words_of(r[1])[:60])) for r in rows]
+    model = lm.train(spark.createDataFrame(learned, "doc_id long, text string").repartition(2), order=3)
+    plain = PlainKatz([[*words_of(ascii_lower(t)), lm.END] for _, t in learned], 3)
+    grams, contexts = model.grams(spark).collect(), model.contexts(spark).collect()
+    assert Counter((r.order, r["count"]) for r in grams) == Counter((k, c) for k, x in enumerate(plain.counts, 1) for c in x.values())
+    assert sorted(round(r.p, 9) for r in grams) == sorted(round(plain.p(g), 9) for x in plain.counts for g in x)
+    assert sorted(round(r.alpha, 6) for r in contexts) == sorted(round(plain.alpha(c), 6) for c in plain.after if c)
+    other = [(1, learned[3][1] + " Zzz zzz the of"), (1, "the of the of"), (2, None), (3, "unknown words only"), (None, "The " * 500)]
+    want = Counter((i, round(plain.score([*words_of(ascii_lower(t or "")), lm.END]), 6)) for i, t in other)
+    assert Counter((r.doc_id, round(r.score, 6)) for r in lm.score(spark.createDataFrame(other, "doc_id long, text string"), model).collect()) == want
+    held = id_remainder("doc_id", 7) == 2
+    assert lm.scores(empty, held).collect() == [] and {r.score for r in lm.scores(docs, F.lit(True)).collect()} == {0.0}
+    assert lm.score(empty, model).collect() == []
 
 
 # op7
