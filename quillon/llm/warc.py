@@ -2,7 +2,8 @@
 
 Null payloads count as empty. Equal payloads, empty ones too, are stored once: the record of the smallest page id
 is the response, others are revisits of it; rows that share the smallest id are all responses. A null page id
-counts as larger than any. A null or odd URL has the text itself as its key. An empty table gives an empty
+counts as larger than any. A null or odd URL has the text itself as its key. A page whose id is null or beyond the
+calendar has an empty capture time, which sorts first, and no date in its record. An empty table gives an empty
 result; other columns are dropped.
 """
 
@@ -13,13 +14,15 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import broadcast_if_small, map_batches, materialise, scratch_path
@@ -28,11 +31,19 @@ from quillon.llm.shared import broadcast_if_small, map_batches, materialise, scr
 FILE_BYTES = 16 << 20
 #: Distinct repeated payloads that are broadcast; more are joined by shuffle.
 BROADCAST_PAYLOADS = 50_000
-#: Captures that a merge holds at once, on average of the key ranges.
-RANGE_ROWS = 50_000
+#: Captures that a task sorts in memory; of a run's row group, the unit of reading; of a range of the merged index.
+RUN_ROWS, GROUP_ROWS, RANGE_ROWS = 200_000, 4096, 50_000
+#: Runs that are merged at once, each with a row group in memory, and places among which the ranges' bounds are chosen.
+FAN_IN, BOUNDS = 128, 100_000
+#: Captures, and bytes of records, that are read together, and archives that a task keeps open.
+WINDOW_ROWS, WINDOW_BYTES, OPEN_FILES = 1024, 8 << 20, 64
 _EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 _URL = re.compile(r"(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]*)(?::\d+)?([^#]*)", re.I)
-INDEX = "url_key string, captured_at string, page_id long, file string, offset long, length long, run int"
+#: A capture; captures are ordered by the first four.
+CAPTURE = pa.schema([("url_key", pa.string()), ("captured_at", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64())])
+HISTORY = pa.schema([("position", pa.int64()), ("capture_no", pa.int64()), ("previous_page_id", pa.int64())])
+#: A sorted run: its file, its captures, and the first place of each row group.
+RUNS = "run string, rows long, firsts array<struct<url_key:string,captured_at:string,file:string,offset:long>>"
 
 
 def url_key(url: str | None) -> str:
@@ -44,11 +55,11 @@ def url_key(url: str | None) -> str:
 
 
 def captured_at(page_id: int | None) -> str:
-    """The tables have no capture time: page n is taken as captured n seconds after 2020-01-01."""
+    """The tables have no capture time: page n is taken as captured n seconds after 2020-01-01; empty for a null id or one beyond the calendar."""
     try:
-        return (_EPOCH + timedelta(seconds=page_id or 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
+        return "" if page_id is None else (_EPOCH + timedelta(seconds=page_id)).strftime("%Y-%m-%dT%H:%M:%SZ")
     except OverflowError:
-        return _EPOCH.strftime("%Y-%m-%dT%H:%M:%SZ")
+        return ""
 
 
 def record_id(page_id: int | None) -> str:
@@ -65,7 +76,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     body = b"" if revisit else payload
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {captured_at(page_id)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", *([f"WARC-Date: {at}"] if (at := captured_at(page_id)) else []),
         f"WARC-Target-URI: {re.sub(r'\s', '', url or '')}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if revisit:
@@ -92,10 +103,11 @@ def parse(member: bytes) -> dict:
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Write pages (page_id, url, html) as WARC files in folder; the index has INDEX's columns, one sorted run for each task.
+    """Write pages (page_id, url, html) as WARC files in folder, and their captures as sorted runs; returned are the runs (RUNS).
 
-    A task that is run again writes files of new names; only files that the index names are ever read. folder is
-    any URI that pyarrow's file systems and Spark both reach.
+    A task sorts RUN_ROWS captures at a time into a run, a Parquet file of CAPTURE beside the archives. A task that is
+    run again writes files of new names; only files that the result names are ever read. folder is any URI that
+    pyarrow's file systems reach.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("sha"))
@@ -109,6 +121,11 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         entries, out, name, at, number = [], None, "", 0, 0
+
+        def sorted_run() -> pa.RecordBatch:
+            run_name = f"run-{task:06d}-{uuid.uuid4().hex}.parquet"
+            return _described([(run_name, *_write_run(fs, f"{root}/{run_name}", iter(sorted(entries, key=_sorted_key))))])
+
         for b in batches:
             for page_id, url, body, first in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
@@ -116,20 +133,21 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 member = record(page_id, url, body, first, digest(body))
                 out.write(member)
-                entries.append((url_key(url), captured_at(page_id), page_id, name, at, len(member), task))
+                entries.append((url_key(url), captured_at(page_id), name, at, len(member), page_id))
+                if len(entries) == RUN_ROWS:
+                    yield sorted_run()
+                    entries = []
                 at += len(member)
                 if at >= FILE_BYTES:
                     out.close()
                     out, number = None, number + 1
         if out is not None:
             out.close()
-        entries.sort(key=lambda e: (e[0], e[1], e[3], e[4]))
-        for i in range(0, len(entries), 10_000):
-            types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries[i : i + 10_000]), types)], ["url_key", "captured_at", "page_id", "file", "offset", "length", "run"])
+        if entries:
+            yield sorted_run()
 
     written = placed.select("page_id", "url", "payload", refers.alias("first"))
-    return materialise(map_batches(written, run, INDEX), "captures")
+    return materialise(map_batches(written, run, RUNS), "runs")
 
 
 class LoserTree:
@@ -164,87 +182,188 @@ class LoserTree:
             self._replay(at)
 
 
-def merged_index(index: DataFrame) -> DataFrame:
-    """The captures in global order of URL key, time and place. Each task gets a key range of every run and merges these with a loser tree.
+def _sorted_key(row: tuple) -> tuple:
+    return row[:4]
+
+
+def _write_run(fs: pyarrow.fs.FileSystem, path: str, rows: Iterator[tuple]) -> tuple[int, list[tuple]]:
+    """Write rows of CAPTURE, which come in order, as one Parquet file; their number and the first place of every GROUP_ROWS."""
+    n, firsts, held = 0, [], []
+    with fs.open_output_stream(path, compression=None) as sink, pq.ParquetWriter(sink, CAPTURE, compression="zstd") as out:
+
+        def flush() -> None:
+            out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), CAPTURE)], schema=CAPTURE))
+            firsts.append(_sorted_key(held[0]))
+
+        for row in rows:
+            held.append(row)
+            n += 1
+            if len(held) == GROUP_ROWS:
+                flush()
+                held.clear()
+        if held:
+            flush()
+    return n, firsts
+
+
+def _read_run(fs: pyarrow.fs.FileSystem, path: str, low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
+    """The rows of a run from low on and below high, one row group in memory; groups outside are not read."""
+    with fs.open_input_file(path) as source:
+        run = pq.ParquetFile(source)
+        for g in range(run.metadata.num_row_groups):
+            keys = run.metadata.row_group(g).column(0).statistics
+            if keys is not None and keys.has_min_max and (low and keys.max < low[0] or high and keys.min > high[0]):
+                continue
+            for row in zip(*(c.to_pylist() for c in run.read_row_group(g).columns)):
+                if (low is None or row[:4] >= low) and (high is None or row[:4] < high):
+                    yield row
+
+
+def _described(rows: list[tuple]) -> pa.RecordBatch:
+    place = pa.struct([("url_key", pa.string()), ("captured_at", pa.string()), ("file", pa.string()), ("offset", pa.int64())])
+    named = [(name, n, [dict(zip(("url_key", "captured_at", "file", "offset"), f)) for f in firsts]) for name, n, firsts in rows]
+    types = [pa.string(), pa.int64(), pa.list_(place)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*named), types)] if named else [pa.array([], t) for t in types], ["run", "rows", "firsts"])
+
+
+def _fewer_runs(runs: DataFrame, folder: str) -> DataFrame:
+    """runs, merged in groups until there are at most FAN_IN."""
+    while (n := runs.count()) > FAN_IN:
+        groups = -(-n // FAN_IN)
+        grouped = runs.groupBy(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("group")).agg(F.sort_array(F.collect_list("run")).alias("names"))  # about FAN_IN names
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+            for b in batches:
+                for names in b.column(0).to_pylist():
+                    name = f"run-{uuid.uuid4().hex}.parquet"
+                    yield _described([(name, *_write_run(fs, f"{root}/{name}", iter(LoserTree([_read_run(fs, f"{root}/{x}") for x in names]))))])
+
+        runs = materialise(grouped.select("names").mapInArrow(merge, RUNS), "runs")
+    return runs
 
-    Ranges are over key, time and place together, so that a URL with very many captures spans several tasks; there
-    is one for every RANGE_ROWS captures. range_no and place give the order, numbered from 0; capture_no counts the URL's
-    captures within the range from 1, previous_page_id is that of the one before in the range.
+
+def merged_index(runs: DataFrame, folder: str) -> list[tuple]:
+    """Merge the sorted runs into index files in folder, one for each range of url key, time and place, in global order.
+
+    Each range is one task's: it streams its slice of every run, a row group of each in memory, through a loser tree
+    into its file. More than FAN_IN runs are merged in groups first. A range has about RANGE_ROWS captures by a
+    sample of BOUNDS places, and no more memory if it has more. Returned is a row for each range: file name, number of
+    captures, first key, last key, number of captures of the last key in the range, last page id.
     """
-    names = ["url_key", "captured_at", "file", "offset", "length", "page_id", "run"]
-    added = ["range_no", "place", "capture_no", "previous_page_id"]
-    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    runs = materialise(_fewer_runs(runs, folder), "few-runs")
+    n = runs.agg(F.sum("rows")).first()[0] or 0
+    names = sorted(r.run for r in runs.select("run").collect())
+    firsts = runs.select(F.explode("firsts").alias("f")).orderBy(F.xxhash64("f"), "f").limit(BOUNDS).collect()
+    places = sorted(tuple(r.f) for r in firsts)
+    ranges = max(1, min(len(places), -(-n // RANGE_ROWS)))
+    bounds = sorted({places[len(places) * k // ranges] for k in range(1, ranges)})
+    ranges = len(bounds) + 1
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[tuple]] = {}
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                runs.setdefault(row[-1], []).append(row)
-        # the pieces of a run that a shuffle hands over come in any order of map tasks, but a run is one map task's
-        tree, chunk = LoserTree([iter(sorted(r, key=lambda x: x[:4])) for _, r in sorted(runs.items())]), []
-        task, key, number, page_id = TaskContext.get().partitionId(), None, 0, None
-        for place, row in enumerate(tree):
-            number, before = (number + 1, page_id) if row[0] == key else (1, None)
-            key, page_id = row[0], row[5]
-            chunk.append((*row, task, place, number, before))
-            if len(chunk) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names + added)
-                chunk = []
-        if chunk:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), types)], names + added)
-
-    ranges = max(1, -(-index.count() // RANGE_ROWS))
-    ranged = index.select(*names).repartitionByRange(ranges, "url_key", "captured_at", "file", "offset")
-    return ranged.mapInArrow(merge, "url_key string, captured_at string, file string, offset long, length long, page_id long, run int, range_no int, place long, capture_no long, previous_page_id long")
-
-
-def capture_history(index: DataFrame) -> DataFrame:
-    """The merged index, written, with each capture's position in the global order, its number among its URL's captures and the page id of the one before.
-
-    Positions and numbers are carried on over the ranges' ends by a row for each range, which the driver adds up.
+            for k in b.column(0).to_pylist():
+                low, high = bounds[k - 1] if k else None, bounds[k] if k < len(bounds) else None
+                seen = [None, None, 0, None]
+
+                def watched(rows: Iterator[tuple]) -> Iterator[tuple]:
+                    for row in rows:
+                        seen[0] = row[0] if seen[0] is None else seen[0]
+                        seen[2] = seen[2] + 1 if row[0] == seen[1] else 1
+                        seen[1], seen[3] = row[0], row[5]
+                        yield row
+
+                name = f"index-{k:07d}-{uuid.uuid4().hex}.parquet"
+                size, _ = _write_run(fs, f"{root}/{name}", watched(iter(LoserTree([_read_run(fs, f"{root}/{x}", low, high) for x in names]))))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) if x is not None else pa.nulls(1, t) for x, t in zip((k, name, size, *seen), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["range_no", "name", "n", "first", "last", "last_count", "last_page"])
+
+    spark = runs.sparkSession
+    done = materialise(spark.range(ranges, numPartitions=ranges).mapInArrow(merge, "range_no long, name string, n long, first string, last string, last_count long, last_page long"), "ranges")
+    return [tuple(r)[1:] for r in done.orderBy("range_no").collect()]
+
+
+def _ordered(spark: SparkSession, ranges: list[tuple], folder: str, rows_of: Callable[[pyarrow.fs.FileSystem, str, Iterator[tuple]], Iterator[tuple]], schema: pa.Schema) -> DataFrame:
+    """rows_of the captures of each range, in global order; a capture is its row of CAPTURE, position, capture_no and previous_page_id.
+
+    Positions and numbers are carried on over the ends of ranges by a tuple for each range.
     """
-    merged = materialise(merged_index(index), "merged")
-    last = F.max(F.struct("place", "url_key", "capture_no", "page_id")).alias("last")
-    ends = merged.groupBy("range_no").agg(F.count("*").alias("n"), F.min(F.struct("place", "url_key")).alias("first"), last).orderBy("range_no").collect()
     carried, start, key, number, page_id = [], 0, None, 0, None
-    for r in ends:
-        goes_on = r["first"].url_key == key
-        carried.append((r.range_no, start, key if goes_on else None, number, page_id))
-        number = r["last"].capture_no + (number if goes_on and r["last"].url_key == key else 0)
-        start, key, page_id = start + r.n, r["last"].url_key, r["last"].page_id
-    table = index.sparkSession.createDataFrame(carried, "range_no int, start long, key string, number long, before long")
-    seam = F.col("url_key").eqNullSafe(F.col("key"))
-    placed = merged.join(F.broadcast(table), "range_no")
-    return placed.select(
-        "url_key", "captured_at", "file", "offset", "length", "page_id", (F.col("start") + F.col("place")).alias("position"),
-        (F.col("capture_no") + F.when(seam, F.col("number")).otherwise(0)).alias("capture_no"),
-        F.when(seam & (F.col("capture_no") == 1), F.col("before")).otherwise(F.col("previous_page_id")).alias("previous_page_id"),
-    )
-
-
-def read(index: DataFrame, folder: str) -> DataFrame:
-    """Read the records that the index names, each file once: (file, offset, page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    spark = index.sparkSession
-    if index.isEmpty():
-        return spark.createDataFrame([], "file string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    places = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))  # as many as a file holds
+    for _, n, first, last, last_count, last_page in ranges:
+        carried.append((start, key, number, page_id))
+        if n:
+            number = last_count + (number if first == key and last == key else 0)
+            start, key, page_id = start + n, last, last_page
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                file, content = b.column(0)[k].as_py(), memoryview(b.column(1)[k].as_buffer())
-                rows = [(file, p["offset"], *parse(content[p["offset"] : p["offset"] + p["length"]]).values()) for p in b.column(2)[k].as_py()]
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["file", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+
+        def numbered(k: int) -> Iterator[tuple]:
+            at, key, number, page_id = carried[k]
+            for row in _read_run(fs, f"{root}/{ranges[k][0]}"):
+                number, before = (number + 1, page_id) if row[0] == key else (1, None)
+                key, page_id = row[0], row[5]
+                yield (*row, at, number, before)
+                at += 1
 
-    schema = "file string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return map_batches(files.join(places, "file").select("file", "content", "places"), run, schema)
+        held: list[tuple] = []
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                for row in rows_of(fs, root, numbered(k)):
+                    held.append(row)
+                    if len(held) == WINDOW_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema)
+    return spark.range(len(ranges), numPartitions=len(ranges)).mapInArrow(run, ddl)
+
+
+def capture_history(runs: DataFrame, folder: str) -> DataFrame:
+    """All captures in global order of URL key, time and place, with position (from 0), capture_no among the URL's captures (from 1) and the page id of the one before."""
+    return _ordered(runs.sparkSession, merged_index(runs, folder), folder, lambda fs, root, rows: rows, pa.schema([*CAPTURE, *HISTORY]))
+
+
+def _with_records(fs: pyarrow.fs.FileSystem, root: str, captures: Iterator[tuple]) -> Iterator[tuple]:
+    """Captures with their records' fields, read from the archives that they name: some at a time, in the order of the files."""
+    opened: OrderedDict[str, pa.NativeFile] = OrderedDict()
+
+    def member(file: str, offset: int, length: int) -> bytes:
+        if file not in opened:
+            if len(opened) == OPEN_FILES:
+                opened.popitem(last=False)[1].close()
+            opened[file] = fs.open_input_file(f"{root}/{file}")
+        opened.move_to_end(file)
+        opened[file].seek(offset)
+        return opened[file].read(length)
+
+    def finished(window: list[tuple]) -> Iterator[tuple]:
+        fields = {i: tuple(parse(member(*window[i][2:5])).values()) for i in sorted(range(len(window)), key=lambda i: window[i][2:4])}
+        return ((*row, *fields[i]) for i, row in enumerate(window))
+
+    window, size = [], 0
+    for row in captures:
+        window.append(row)
+        size += row[4]
+        if len(window) == WINDOW_ROWS or size >= WINDOW_BYTES:
+            yield from finished(window)
+            window, size = [], 0
+    yield from finished(window)
+    for f in opened.values():
+        f.close()
+
+
+def read(runs: DataFrame, folder: str) -> DataFrame:
+    """The archives' records in the order of capture_history(), whose columns they have, with what each record says: payload_bytes, payload_digest, record_type, refers_to."""
+    fields = [("record_page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    return _ordered(runs.sparkSession, merged_index(runs, folder), folder, _with_records, pa.schema([*CAPTURE, *HISTORY, *fields]))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages as archives, merge their index and read everything back; position is the place in the merged index."""
+    """Write pages as archives, merge their capture runs and read every record back, in the order of the merged index."""
     folder = scratch_path(pages.sparkSession, "warc")
-    index = write(pages, folder)
-    ordered = capture_history(index).select("file", "offset", "url_key", "captured_at", "position", "capture_no", "previous_page_id")
-    return read(index, folder).join(ordered, ["file", "offset"])
+    back = read(write(pages, folder), folder)
+    return back.withColumn("page_id", F.col("record_page_id")).drop("record_page_id")

@@ -402,31 +402,39 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
-def test_merged_index_is_in_order(spark):
+def test_loser_tree_merges():
     rng = random.Random(7)
-    rows = [(f"com,h{rng.randint(0, 9)})/", f"t{rng.randint(0, 99):03d}", i, f"f{i % 7}", i, 1, i % 7) for i in range(3000)]
-    ordered = warc.merged_index(spark.createDataFrame(rows, warc.INDEX).repartition(5)).collect()
-    keys = [(r.url_key, r.captured_at, r.file, r.offset) for r in ordered]
-    assert keys == sorted((a, b, f, o) for a, b, _, f, o, _, _ in rows)
     for k in range(6):
         runs = [sorted(rng.choices(range(50), k=rng.randint(0, 9))) for _ in range(k)]
         assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
-def test_capture_history_is_one_order_over_all_ranges(spark, monkeypatch):
-    monkeypatch.setattr(warc, "RANGE_ROWS", 100)
+@pytest.mark.parametrize("fan_in", [3, 128])
+def test_capture_history_is_one_order_over_all_ranges(spark, monkeypatch, tmp_path, fan_in):
+    for name, value in (("RANGE_ROWS", 100), ("RUN_ROWS", 90), ("GROUP_ROWS", 16), ("FAN_IN", fan_in), ("WINDOW_ROWS", 7), ("OPEN_FILES", 2), ("FILE_BYTES", 2000)):
+        monkeypatch.setattr(warc, name, value)
     rng = random.Random(8)
-    rows = [(f"com,h{rng.choice([0, 0, 0, 0, 1, 2, 3])})/", f"t{rng.randint(0, 99):03d}", i if i % 50 else None, f"f{i % 7}", i, 1, i % 7) for i in range(1500)]
-    got = sorted(warc.capture_history(spark.createDataFrame(rows, warc.INDEX).repartition(5)).collect(), key=lambda r: r.position)
-    want, number, before = [], Counter(), {}
-    for at, (key, time, page_id, file, offset, *_) in enumerate(sorted(rows, key=lambda r: (r[0], r[1], r[3], r[4]))):
-        number[key] += 1
-        want.append((at, key, time, file, offset, number[key], before.get(key)))
-        before[key] = page_id
-    assert [(r.position, r.url_key, r.captured_at, r.file, r.offset, r.capture_no, r.previous_page_id) for r in got] == want
+    rows = [(i if i % 50 else None, f"http://h{rng.choice([0, 0, 0, 0, 1, 2, 3])}.example/", f"p{i % 40}" if i % 3 else text(rng, 5)) for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    runs = warc.write(pages, f"file://{tmp_path}")
+    assert runs.count() >= 10
+    got = warc.read(runs, f"file://{tmp_path}").collect()
+    keys = [(r.url_key, r.captured_at, r.file, r.offset) for r in got]
+    assert keys == sorted(keys) and len(set(keys)) == len(rows) and [r.position for r in got] == list(range(len(rows)))
+    assert [tuple(r)[:9] for r in warc.capture_history(runs, f"file://{tmp_path}").collect()] == [tuple(r)[:9] for r in got]
+    number, before = Counter(), {}
+    for r in got:
+        number[r.url_key] += 1
+        assert (r.capture_no, r.previous_page_id, r.record_page_id) == (number[r.url_key], before.get(r.url_key), r.page_id)
+        before[r.url_key] = r.page_id
+    assert Counter((r.page_id, r.url_key) for r in got) == Counter((i, warc.url_key(u)) for i, u, _ in rows)
+
+
+def test_captures_come_back_in_the_merged_order(spark):
     pages = spark.createDataFrame([(i, f"http://h{i % 3}.example/", f"p{i}") for i in range(30)], "page_id long, url string, html string").repartition(3)
-    back = sorted(warc.round_trip(pages).collect(), key=lambda r: r.position)
+    back = warc.round_trip(pages).collect()
     assert [(r.position, r.page_id, r.capture_no, r.previous_page_id) for r in back] == [(k, i, i // 3 + 1, i - 3 if i > 2 else None) for k, i in enumerate(sorted(range(30), key=lambda i: (i % 3, i)))]
+    assert warc.captured_at(10**15) == warc.captured_at(None) == "" and warc.parse(warc.record(10**15, "u", b"x", None, warc.digest(b"x")))["page_id"] == 10**15
 
 
 # op10
