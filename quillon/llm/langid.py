@@ -1,8 +1,11 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams, FTRL-proximal, calibrated.
 
-Rows with a null language are not learned from. A null text, or one without a letter, is `und` with score 0.
-Repeated rows count as often as they occur. With no labelled row at all every text is `und`. Columns other than
-the named ones are dropped by predict() except those asked for.
+Rows with a null language are not learned from, nor are those whose language is not among the MAX_LANGS most
+frequent ones (ties by name). A null text, or one without a letter, is `und` with score 0. Repeated rows count as
+often as they occur. With no labelled row at all every text is `und`. Equal probabilities go to the language that
+is first by name. Texts are read SLAB code points at a time, each lower-cased by itself, so that very long ones take
+no more memory. With few fitted rows the temperature comes from cross-validation, and with one row it is 1. Columns
+other than the named ones are dropped by predict() except those asked for, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,19 +18,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillon.llm.shared import id_remainder, map_batches
+from quillon.llm.shared import id_remainder, map_batches, unused
 
 #: Hashed n-gram buckets, n-gram lengths 1 to 3.
 DIMS = 1 << 15
 #: Most labelled rows that the classifier is fitted on; document frequencies cover all labelled rows.
 FIT_ROWS = 8000
-#: More languages than this are an error in the input.
-MAX_LANGS = 1000
+#: Languages that are learned, which bounds the model: DIMS x MAX_LANGS weights of 4 bytes.
+MAX_LANGS = 200
 EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.02, 0.02
 #: One fitted row in so many only calibrates.
 CALIBRATE_EVERY = 8
-_SLAB = 1 << 20
+#: Parts of a cross-validation, where fewer than CALIBRATE_EVERY x 10 rows are fitted.
+FOLDS = 4
+SLAB = 1 << 20
 
 
 def _letters() -> np.ndarray:
@@ -45,27 +51,42 @@ def features(text: str | None, dims: int = DIMS) -> np.ndarray | None:
     global _table
     if _table is None:
         _table = _letters()
-    if not text:
-        return None
     counts = np.zeros(dims, np.int64)
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = _table[code]
-    blank = code == 0
-    code = code[~(blank & np.concatenate(([False], blank[:-1])))]
-    if not code.any():
-        return None
-    code = np.concatenate((np.zeros(1, np.uint32), code, np.zeros(1, np.uint32)))
     shift = np.uint32(32 - (dims.bit_length() - 1))
-    for at in range(0, len(code), _SLAB):
-        c = code[at : at + _SLAB + 2]
+
+    def count(c: np.ndarray, full: int) -> None:
+        """Count the n-grams that begin at the first `full` of these letters and blanks."""
         one = c * np.uint32(2654435761)
         two = (one[:-1] + c[1:] + np.uint32(0x9E37)) * np.uint32(2246822519)
         three = (two[:-1] + c[2:] + np.uint32(0x79B9)) * np.uint32(3266489917)
-        grams = np.concatenate((one[:_SLAB], two[:_SLAB], three[:_SLAB])) >> shift
-        counts += np.bincount(grams, minlength=dims)
+        counts[:] += np.bincount(np.concatenate((one[:full], two[:full], three[:full])) >> shift, minlength=dims)
+
+    # what is left to count begins with a blank, and gets a blank at the end
+    left, lettered = np.zeros(1, np.uint32), False
+    for at in range(0, len(text or ""), SLAB):
+        code = np.concatenate((left, _table[np.frombuffer(text[at : at + SLAB].lower().encode("utf-32-le", "surrogatepass"), np.uint32)]))
+        blank = code == 0
+        code = code[~(blank & np.concatenate(([False], blank[:-1])))]
+        lettered = lettered or bool(code.any())
+        if len(code) > 2:
+            count(code, len(code) - 2)
+        left = code[-2:]
+    if not lettered:
+        return None
+    left = left if left[-1] == 0 else np.append(left, np.uint32(0))
+    for k in range(len(left)):
+        tail = left[k:]
+        count(np.concatenate((tail, np.zeros(3 - len(tail), np.uint32))), 1) if len(tail) >= 3 else _count_short(counts, tail, shift, dims)
     return counts
 
 
+def _count_short(counts: np.ndarray, tail: np.ndarray, shift: np.uint32, dims: int) -> None:
+    """The one-gram and, of two, the two-gram at the end of a text."""
+    one = tail * np.uint32(2654435761)
+    grams = np.concatenate((one[:1], (one[:-1] + tail[1:] + np.uint32(0x9E37)) * np.uint32(2246822519)))
+    counts += np.bincount(grams >> shift, minlength=dims)
+
+
 @dataclass
 class Model:
     """Weights by bucket and language; probabilities are softmax(logits / temperature)."""
@@ -141,17 +162,36 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def fit_calibrated(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, dims: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, biases and temperature: of many rows one in CALIBRATE_EVERY only calibrates; of few, each does by a model of the other folds."""
+
+    def held(fitted: tuple[np.ndarray, np.ndarray], aside: list) -> list[np.ndarray]:
+        return [x @ fitted[0][at] + fitted[1] for at, x, _ in aside]
+
+    if len(rows) >= 10 * CALIBRATE_EVERY:
+        aside = rows[::CALIBRATE_EVERY]
+        model = fit_ftrl([r for i, r in enumerate(rows) if i % CALIBRATE_EVERY], n_langs, dims)
+        logits = held(model, aside)
+    else:
+        model, aside, logits = fit_ftrl(rows, n_langs, dims), [], []
+        for k in range(min(FOLDS, len(rows)) if len(rows) > 1 else 0):
+            fold = rows[k::FOLDS]
+            logits += held(fit_ftrl([r for i, r in enumerate(rows) if i % FOLDS != k], n_langs, dims), fold)
+            aside += fold
+    return *model, best_temperature(np.array(logits), np.array([y for _, _, y in aside])) if aside else 1.0
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, dims: int = DIMS) -> Model:
     """Learn from the rows of docs with a language.
 
     Document frequencies are summed over all of them, at most dims numbers from each task. The fitted rows are
-    those with the lowest hash of their id, an even share for each language, fit_rows at most; their sparse counts
-    go to the one task that fits. The driver gets the model: dims x languages numbers.
+    drawn by a hash of their id, an even share for each language, fit_rows at most, and ordered by that hash over the
+    language's odds, so that languages alternate in proportion; their sparse counts go to the one task that fits.
+    The driver gets the model: dims x languages numbers.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    per_lang = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(per_lang) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counted = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    per_lang = {r["lang"]: r["count"] for r in counted.collect()}
     langs = sorted(per_lang)
     if not langs:
         return Model([], np.zeros((dims, 0), np.float32), np.zeros(0, np.float32), np.ones(dims))
@@ -178,7 +218,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     odds = F.lit(0.0)
     for lang in langs:
         odds = F.when(F.col("lang") == lang, min(1.0, share / per_lang[lang])).otherwise(odds)
-    drawn = labelled.select("text", "lang", ticket).filter(F.col("ticket") < odds * (1 << 30))
+    drawn = labelled.select("text", "lang", ticket, odds.alias("odds")).filter(F.col("ticket") < F.col("odds") * (1 << 30))
+    drawn = drawn.select("text", "lang", F.floor(F.col("ticket") / F.col("odds")).alias("ticket"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,10 +239,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 rows.append((at.astype(np.int64), x / max(np.sqrt(x @ x), 1e-12), langs.index(lang)))
         if not rows:
             return
-        aside = rows[::CALIBRATE_EVERY] if len(rows) >= 10 * CALIBRATE_EVERY else []
-        fitted = [r for i, r in enumerate(rows) if not aside or i % CALIBRATE_EVERY]
-        weights, bias = fit_ftrl(fitted, len(langs), dims)
-        temperature = best_temperature(np.array([x @ weights[at] + bias for at, x, _ in aside]), np.array([y for _, _, y in aside])) if aside else 1.0
+        weights, bias, temperature = fit_calibrated(rows, len(langs), dims)
         columns = [pa.array([x.tobytes()], pa.binary()) for x in (weights, bias)] + [pa.array([temperature])]
         yield pa.RecordBatch.from_arrays(columns, ["weights", "bias", "temperature"])
 
@@ -212,8 +250,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(langs, weights, np.frombuffer(bytes(model.bias), np.float32), idf, model.temperature)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, then lang_pred and score. The model is at most MAX_LANGS x dims numbers."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep, then language and score under the given names. The model, DIMS x MAX_LANGS weights at most, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 
@@ -221,20 +259,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
         for b in batches:
             found = [shared.value.predict(t.as_py()) for t in b.column(0)]
             columns = b.columns[1:] + [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    return map_batches(docs.select(F.col(text_col).alias("__text"), *keep), run, schema)
+    schema = StructType([*fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return map_batches(docs.select(F.col(text_col).alias(unused("__text", list(keep))), *[F.col(f"`{c}`") for c in keep]), run, schema)
 
 
-def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Predictions for all rows of docs by a model learned from those whose id's crc32 modulo 5 is not 0; held_out marks the others."""
-    model = train(docs.filter(id_remainder("doc_id", 5) != 0))
-    return predict(docs, model, keep=keep).withColumn("held_out", id_remainder("doc_id", 5) == 0)
+def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Predictions for all rows of docs by a model learned from those whose id's crc32 modulo 5 is not 0."""
+    return predict(docs, train(docs.filter(id_remainder("doc_id", 5) != 0)), keep=keep, names=names)
 
 
 def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language is predicted with a calibrated score of at least `least`, with their own columns."""
-    names = tuple(docs.columns)
-    found = identify(docs, keep=names)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    lang, score = unused("lang_pred", docs.columns), unused("score", docs.columns)
+    found = identify(docs, keep=tuple(docs.columns), names=(lang, score))
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
