@@ -1,8 +1,8 @@
 """Quality rules: per-document counts, then host verdicts from shrunken failure rates. SQL functions only.
 
 Null texts have no words and fail. A null host belongs to no host: its documents are judged alone. Repeated rows
-count as often as they occur; an empty table gives an empty result. Columns of docs that clash with the names of
-the counts are replaced by them.
+count as often as they occur; an empty table gives an empty result. with_counts() and judged() replace columns of
+docs that are called like theirs; keep_good() returns the columns of docs as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from quillon.llm.shared import WORD, broadcast_if_small, materialise
 WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host goes where its shrunken failure rate is above this.
+#: Further rules by which hosts are judged: symbols and repeated lines by words, mean length of words.
+MAX_SYMBOL_PERCENT, MAX_DUP_LINES_PERCENT, MAX_WORD_CHARS = 50, 20, 40
+#: A host goes where its shrunken failure rate of a rule is above this.
 MAX_HOST_RATE = 0.5
+#: The greatest strength of a prior.
+MAX_STRENGTH = 1e6
 #: Hosts that go are few; up to so many are broadcast, more are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -71,35 +75,70 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
 
 
+def rules() -> dict[str, Column]:
+    """Whether a document breaks each rule, by its counts. The first two are the base rules; the others only count against its host."""
+    n = F.col("n_words")
+    return {
+        "few_words": n < MIN_WORDS,
+        "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n,
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * n,
+        "dup_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINES_PERCENT * n,
+        "long_words": F.col("word_chars") > MAX_WORD_CHARS * n,
+    }
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return rules()["few_words"] | rules()["repeats"]
+
+
+def prior(hosts: DataFrame, failed: str) -> tuple[float, float]:
+    """Mean m and strength s of a beta prior, by the moments of beta-binomial counts of `failed` among n a host.
+
+    The spread of the hosts' rates f/n about the mean m = sum f / sum n, weighted by n, has the expected value
+    m(1-m) ((K-1) + rho (N - K - sum n(n-1)/N)) for K hosts and N documents; that gives rho = 1 / (s+1), from which
+    the spread that counts have by chance is taken off. s is kept within 1 and 1e6; where the counts say nothing
+    (hosts of one document, or all alike) it is 1e6, so that every host gets the mean.
+    """
+    f, n = F.col(failed), F.col("n")
+    r = hosts.agg(F.sum(f).alias("f"), F.sum(n).alias("n"), F.count("*").alias("k"), F.sum(f * f / n).alias("q"), F.sum(n.cast("double") * (n - 1)).alias("pairs")).first()
+    if not r.n:
+        return 0.0, MAX_STRENGTH
+    m = r.f / r.n
+    room = r.n - r.k - r.pairs / r.n
+    if not 0 < m < 1 or room <= 0:
+        return m, MAX_STRENGTH
+    rho = ((r.q - r.n * m * m) / (m * (1 - m)) - (r.k - 1)) / room
+    return m, MAX_STRENGTH if rho <= 0 else min(MAX_STRENGTH, max(1.0, 1 / rho - 1))
 
 
 def host_rates(scored: DataFrame, host_col: str) -> DataFrame:
-    """(host, n, failed, rate): rate is the posterior mean under a beta prior fitted to all hosts by moments.
+    """(host, n, and for base_failed and each rule the failures and rate_<rule>): rates are posterior means under a beta prior fitted to all hosts.
 
-    The prior has the hosts' mean rate m and, by its strength s, their variance: s = m(1-m)/v - 1, kept within 1
-    and 1e6; where the variance says nothing (one host, or all alike) the strength is the top of that range.
+    The driver gets the sums over hosts by which the priors are fitted.
     """
-    hosts = scored.filter(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
-    hosts = materialise(hosts, "hosts")
-    raw = F.col("failed") / F.col("n")
-    m, v = F.col("m"), F.col("v")
-    strength = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1))).otherwise(1e6)
-    prior = hosts.agg(F.coalesce(F.avg(raw), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop(raw), F.lit(0.0)).alias("v")).select("m", strength.alias("s"))
-    rate = (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", rate.alias("rate"))
+    judged_by = {"base_failed": F.col("base_failed"), **rules()}
+    counted = scored.filter(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host"))
+    hosts = materialise(counted.agg(F.count("*").alias("n"), *[F.count_if(test).alias(name) for name, test in judged_by.items()]), "hosts")
+    out = hosts
+    for name in judged_by:
+        m, s = prior(hosts, name)
+        out = out.withColumn(f"rate_{name}", (F.col(name) + F.lit(m * s)) / (F.col("n") + F.lit(s)))
+    return out
 
 
 def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep_text: bool = True, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """docs with COUNTS, base_failed and kept. The counts are made once and written with what is kept of docs."""
+    """docs with COUNTS, base_failed and kept: false too where the host's rate of any rule is above max_host_rate. The counts are made once and written with what is kept of docs."""
     scored = with_counts(docs, text_col).withColumn("base_failed", base_failed())
     scored = materialise(scored if keep_text else scored.drop(text_col), "quality")
-    bad = materialise(host_rates(scored, host_col).filter(F.col("rate") > max_host_rate).select(F.col("host").alias("__host"), F.lit(True).alias("__bad")), "bad-hosts")
+    rates = host_rates(scored, host_col)
+    over = F.greatest(*[F.col(c) for c in rates.columns if c.startswith("rate_")]) > max_host_rate
+    bad = materialise(rates.filter(over).select(F.col("host").alias("__host"), F.lit(True).alias("__bad")), "bad-hosts")
     joined = scored.join(broadcast_if_small(bad, BROADCAST_HOSTS), F.col(host_col) == F.col("__host"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judged(docs).filter("kept").select(*docs.columns)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(own, F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    return judged(rows, "host", keep_text=False).filter("kept").select("doc.*")
