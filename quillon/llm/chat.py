@@ -7,10 +7,17 @@ turn before or insert an empty turn ahead of it, at the least total cost.
 Null or unknown roles match no role and so are relabelled at least; null texts are rendered empty; turns of equal
 number are ordered by role and text, null numbers come first; repeated rows are turns of their own. Rows with a
 null conversation form one conversation. An empty table gives an empty result; other columns are dropped.
+
+Of equally cheap repairs the one is taken whose states (nothing, system, user, assistant, in this order) come first,
+compared turn by turn from the start; between two states the cheapest step, and of equal ones the first in _STEPS.
+So the choice does not depend on how turns are spread over tasks. Markers in a text are escaped, so that no text can
+open or close a turn: `<|`, and `<\\|` with any number of backslashes, gets one backslash more, and unescaped()
+takes it off again.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,46 +58,77 @@ def _steps(role: str | None) -> list[tuple[int, int, int, str, str, str]]:
 _STEPS = {r: _steps(r) for r in (*ROLES, None)}
 
 
-def _matrix(role: str | None) -> np.ndarray:
-    m = np.full((4, 4), _FAR)
+def _matrix(role: str | None) -> list[list[int]]:
+    m = [[_FAR] * 4 for _ in STATES]
     for s, t, cost, *_ in _STEPS[role]:
-        m[s, t] = min(m[s, t], cost)
+        m[s][t] = min(m[s][t], cost)
     return m
 
 
 _MATRIX = {r: _matrix(r) for r in (*ROLES, None)}
 
 
-def costs(roles: list[str | None]) -> np.ndarray:
-    """Least cost from each state to each state over these turns; such matrices combine by min-plus products."""
-    total = np.where(np.eye(4, dtype=bool), 0, _FAR)
-    for r in roles:
-        total = product(total, _MATRIX[r if r in ROLES else None])
-    return total
+def _known(role: str | None) -> str | None:
+    return role if role in ROLES else None
+
+
+def _advance(best: list[tuple[int, int]], role: str | None) -> tuple[list[tuple[int, int]], list[int]]:
+    """From (cost, rank) of the best path to each state those after one more turn, and the state before; ranks order the paths by their states."""
+    m = _MATRIX[_known(role)]
+    before = [min(range(4), key=lambda s: (min(best[s][0] + m[s][t], _FAR), best[s][1])) for t in range(4)]
+    places = sorted(range(4), key=lambda t: (best[before[t]][1], t))
+    return [(min(best[before[t]][0] + m[before[t]][t], _FAR), places.index(t)) for t in range(4)], before
+
+
+def _from(start: int) -> list[tuple[int, int]]:
+    return [(0 if s == start else _FAR, s) for s in range(4)]
+
 
+def costs(roles: list[str | None]) -> list[int]:
+    """From each state to each state the least cost over these turns, then the ranks of these paths among those from the same state: 32 numbers.
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum((a[:, :, None] + b[None, :, :]).min(axis=1), _FAR)
+    Costs combine by min-plus products; of equal ones the path with the lower ranks, compared piece by piece, has the
+    earlier states.
+    """
+    ends = []
+    for start in range(4):
+        best = _from(start)
+        for r in roles:
+            best, _ = _advance(best, r)
+        ends.append(best)
+    return [c for best in ends for c, _ in best] + [k for best in ends for _, k in best]
 
 
 def repair(roles: list[str | None], start: int = 0, end: int | None = None) -> list[tuple[str, str, str]]:
-    """(action, role, role inserted before) of each turn on a cheapest path from start to end, or to the cheapest ending."""
-    best = [np.where(np.arange(4) == start, 0, _FAR)]
+    """(action, role, role inserted before) of each turn on the first cheapest path from start to end, or to the cheapest ending."""
+    best, befores = _from(start), []
     for r in roles:
-        best.append(np.minimum((best[-1][:, None] + _MATRIX[r if r in ROLES else None]).min(axis=0), _FAR))
-    state = int((best[-1] + FINAL).argmin()) if end is None else end
+        best, before = _advance(best, r)
+        befores.append(before)
+    state = min(range(4), key=lambda s: (best[s][0] + int(FINAL[s]), best[s][1])) if end is None else end
     out = []
-    for k in range(len(roles) - 1, -1, -1):
-        step = next(x for x in _STEPS[roles[k] if roles[k] in ROLES else None] if x[1] == state and best[k][x[0]] + x[2] == best[k + 1][state])
-        out.append(step[3:])
-        state = step[0]
+    for r, before in zip(roles[::-1], befores[::-1]):
+        out.append(next(x for x in _STEPS[_known(r)] if x[:2] == (before[state], state))[3:])
+        state = before[state]
     return out[::-1]
 
 
+_MARKER, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+
+
+def escaped(text: str) -> str:
+    """text without markers."""
+    return _MARKER.sub(r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
+
+
 def opened(action: str, role: str, filler: str, text: str) -> str:
     """A turn's text and what opens it; a merged turn goes on with the one before."""
     before = _HEAD.format(filler) + _TAIL if filler else ""
-    return before + ("\n" if "merge" in action else _HEAD.format(role)) + text
+    return before + ("\n" if "merge" in action else _HEAD.format(role)) + escaped(text)
 
 
 #: What closes a conversation after its last turn.
@@ -108,8 +146,9 @@ def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     """A row for each turn: its order seq (by which parts of a conversation sort), repaired role, action, cost and rendered part.
 
     Turns are range-partitioned in order, so a conversation of any size is spread over tasks. Conversations within
-    a partition are repaired there. Of one that crosses partitions each piece is reduced to its 4 x 4 matrix of
-    least costs; their min-plus products give the states at the seams, between which the pieces are repaired.
+    a partition are repaired there. Of one that crosses partitions each piece is reduced to its 4 x 4 matrices of
+    least costs and ranks; their min-plus products give the states at the seams, between which the pieces are
+    repaired.
     """
     order = ["conv_id", "turn", "role", "text"]
     rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
@@ -166,20 +205,23 @@ def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 
     def reduce(key: tuple, table: pa.Table) -> pa.Table:
         roles = table.sort_by("seq").column("raw_role").to_pylist()
-        return pa.table([[key[0].as_py()], [key[1].as_py()], [costs(roles).ravel().tolist()]], schema=pa.schema([("conv_id", pa.int64()), ("pid", pa.int32()), ("m", pa.list_(pa.int64()))]))
+        return pa.table([[key[0].as_py()], [key[1].as_py()], [costs(roles)]], schema=pa.schema([("conv_id", pa.int64()), ("pid", pa.int32()), ("m", pa.list_(pa.int64()))]))
 
     def connect(table: pa.Table) -> pa.Table:
         """The states before and after each piece of one conversation; one row comes in for each partition that it touches."""
         table = table.sort_by("pid")
-        pieces = [np.array(m).reshape(4, 4) for m in table.column("m").to_pylist()]
-        best = [np.array([0, _FAR, _FAR, _FAR])]
+        pieces = table.column("m").to_pylist()
+        # of each state the best way there: cost, then the ranks of its pieces
+        best: list[tuple[int, tuple[int, ...]]] = [(0 if s == 0 else _FAR, (s,)) for s in range(4)]
+        befores = []
         for m in pieces:
-            best.append(np.minimum((best[-1][:, None] + m).min(axis=0), _FAR))
-        state, ends = int((best[-1] + FINAL).argmin()), []
-        for k in range(len(pieces) - 1, -1, -1):
-            before = int((best[k] + pieces[k][:, state]).argmin())
-            ends.append((before, state))
-            state = before
+            ways = [[(min(best[s][0] + m[4 * s + t], _FAR), (*best[s][1], m[16 + 4 * s + t])) for s in range(4)] for t in range(4)]
+            befores.append([min(range(4), key=lambda s: w[s]) for w in ways])  # noqa: B023
+            best = [w[s] for w, s in zip(ways, befores[-1])]
+        state, ends = min(range(4), key=lambda s: (best[s][0] + int(FINAL[s]), best[s][1])), []
+        for before in befores[::-1]:
+            ends.append((before[state], state))
+            state = before[state]
         ends = ends[::-1]
         first = [i == 0 for i in range(len(pieces))]
         last = [i == len(pieces) - 1 for i in range(len(pieces))]

@@ -39,7 +39,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    found = langid.identify(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +111,21 @@ with words as (
   from words left join lines using (doc_id) left join (select doc_id, count(*) as r from repeated group by doc_id) using (doc_id)
 ), failed as (
   select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from counts
+), ruled as (
+  select source, unnest([{{'r': 'base_failed', 'x': base_failed}}, {{'r': 'few_words', 'x': n_words < {quality.MIN_WORDS}}},
+    {{'r': 'repeats', 'x': 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words}}, {{'r': 'symbols', 'x': 100 * n_symbols > {quality.MAX_SYMBOL_PERCENT} * n_words}},
+    {{'r': 'dup_lines', 'x': 100 * n_dup_lines > {quality.MAX_DUP_LINES_PERCENT} * n_words}}, {{'r': 'long_words', 'x': word_chars > {quality.MAX_WORD_CHARS} * n_words}}]) as t
+  from failed where source is not null
 ), hosts as (
-  select source, count(*) as n, cast(sum(base_failed::int) as double) as f from failed where source is not null group by source
+  select t.r as r, source, count(*)::double as n, sum(t.x::int)::double as f from ruled group by t.r, source
+), sums as (
+  select r, sum(f) / sum(n) as m, sum(n) as n, count(*) as k, sum(f * f / n) as q, sum(n * (n - 1)) as pairs from hosts group by r
+), fitted as (
+  select r, m, case when m > 0 and m < 1 and n - k - pairs / n > 0 then ((q - n * m * m) / (m * (1 - m)) - (k - 1)) / (n - k - pairs / n) end as rho from sums
 ), prior as (
-  select coalesce(m, 0) as m, case when v > 0 then greatest(1.0, least(1e6, m * (1 - m) / v - 1)) else 1e6 end as s
-  from (select avg(f / n) as m, var_pop(f / n) as v from hosts)
+  select r, m, case when rho > 0 then least({quality.MAX_STRENGTH}, greatest(1.0, 1 / rho - 1)) else {quality.MAX_STRENGTH} end as s from fitted
 ), bad as (
-  select source from hosts, prior where (f + m * s) / (n + s) > {quality.MAX_HOST_RATE}
+  select distinct source from hosts join prior using (r) where (f + m * s) / (hosts.n + s) > {quality.MAX_HOST_RATE}
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and (source is null or source not in (select source from bad)) as kept
