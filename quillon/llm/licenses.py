@@ -1,42 +1,118 @@
-"""Licence scan: TF-IDF cosine of header lines and licence files to templates, then inheritance from directories.
+"""Licence scan: TF-IDF cosine of headers and whole files to licence notices and texts, then inheritance from directories.
 
-SQL functions only. Null texts have no header. A null path has no directory and inherits nothing. Repeated rows
-are scanned each. Ties between templates go to the first in alphabetical order, between licence files of one
-directory to the higher cosine, then the first template. An empty table gives an empty result; other columns than
-the three named ones are dropped.
+SQL functions only. Null texts have no licence. A null path has no directory and inherits nothing. Every row is
+scanned by itself, whatever its key: null and repeated keys keep their own licences. Ties go to the first licence
+in alphabetical order, between licence files of one directory to the higher cosine, then the first licence. Very
+long texts are scanned whole; only those of their lines, paragraphs and sentences that can match are compared. An
+empty table gives an empty result; other columns than the three named ones are dropped.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import broadcast_if_small, materialise
 
-#: The notices by which works declare these licences.
+_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_GNU = (
+    " is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, "
+    "either version {} of the License, or (at your option) any later version."
+)
+_GNU_MORE = (
+    " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along "
+    "with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+_CC_MORE = " To view a copy of this license, visit http://creativecommons.org/licenses/{}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+
+
+def _gnu(name: str, version: str) -> tuple[str, ...]:
+    return ("This program" + _GNU.format(name, version), "This program" + _GNU.format(name, version) + _GNU_MORE.format(name))
+
+
+def _cc(code: str, title: str) -> tuple[str, ...]:
+    return (f"Licensed under CC {code.upper()} 4.0.", _CC.format(title), _CC.format(title) + _CC_MORE.format(code))
+
+
+#: The notices by which works declare these licences, and the texts of the short ones.
 TEMPLATES = {
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
-    "Proprietary": "All rights reserved.",
-}
-#: A line without any of these terms is no header.
-ANCHOR = r"(?i)licen[sc]|rights reserved|public domain|copyright|\bcc[ -]?(by|0)|redistribution"
+    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", *_gnu("Affero General Public License", "3")),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "BSD-2-Clause": ("SPDX-License-Identifier: BSD-2-Clause", "Released under the BSD 2-Clause License.", _BSD + _BSD_WARRANTY),
+    "BSD-3-Clause": (
+        "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License.",
+        _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_WARRANTY,
+    ),
+    "CC-BY-4.0": _cc("by", "Attribution"),
+    "CC-BY-NC-4.0": _cc("by-nc", "Attribution-NonCommercial"),
+    "CC-BY-SA-4.0": _cc("by-sa", "Attribution-ShareAlike"),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal public domain dedication."),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0", *_gnu("General Public License", "2")),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", *_gnu("General Public License", "3")),
+    "ISC": (
+        "SPDX-License-Identifier: ISC", "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, '
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+        "USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0", *_gnu("Lesser General Public License", "3")),
+    "MIT": (
+        "Released under the MIT License.", "Released under MIT.", "SPDX-License-Identifier: MIT", "Licensed under the MIT license.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY,
+    ),
+    "MPL-2.0": (
+        "Subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "Proprietary": ("All rights reserved.", "Copyright, all rights reserved."),
+    "Unlicense": (
+        "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
+}
 TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
+#: Words that are no terms, as they say nothing about a licence.
+STOP = frozenset("a an and any are as at be by but can do even for from has have if in is it its no not of on or other out see so such than that the their there these this to under was were what which who will with without you your".split())
 MIN_COSINE = 0.6
-#: A file is a licence file if so named, or if its text has at most so many words and a matching line.
+#: Stems that headers have and prose seldom has; anchor() adds what is wanting.
+STEMS = ("licen", "copyright", "reserved", "redistribut", "unencumbered", "warrant", "cc0", "creative", "sublicense")
+#: A file is a licence file if its whole text matches, or if so named and any part of it matches.
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
-FILE_WORDS = 40
 #: Directories with a licence that are broadcast; more are joined by shuffle.
 BROADCAST_DIRS = 20_000
 
@@ -45,32 +121,78 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
-def template_weights(spark: SparkSession) -> tuple[DataFrame, float]:
-    """(licence, term, weight) of unit length by licence, idf over the templates: ln((1 + T) / (1 + df)) + 1; and the idf of other terms."""
-    table = spark.createDataFrame(list(TEMPLATES.items()), "licence string, text string").select("licence", F.explode(_terms(F.col("text"))).alias("term"))
-    df = table.groupBy("term").agg(F.count_distinct("licence").alias("df"))
-    idf = F.log((1 + F.lit(len(TEMPLATES))) / (1 + F.col("df"))) + 1
-    counted = table.groupBy("licence", "term").agg(F.count("*").alias("tf")).join(F.broadcast(df.select("term", idf.alias("idf"))), "term")
-    norm = counted.groupBy("licence").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    return counted.join(F.broadcast(norm), "licence").select("licence", "term", "idf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight")), math.log(1 + len(TEMPLATES)) + 1
+def template_weights() -> tuple[list[tuple[str, dict[str, float]]], dict[str, float], float]:
+    """(licence, weights of unit length by term) of each template, idf over the templates, ln((1 + T) / (1 + df)) + 1, and that of other terms.
+
+    A term that occurs n times weighs (1 + ln n) idf.
+    """
+    terms_of = lambda text: Counter(t for t in re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower()) if t not in STOP)
+    found = [(name, terms_of(text)) for name, texts in TEMPLATES.items() for text in texts]
+    df = Counter(term for _, terms in found for term in terms)
+    idf = {term: math.log((1 + len(found)) / (1 + n)) + 1 for term, n in df.items()}
+    out = []
+    for name, terms in found:
+        x = {t: (1 + math.log(tf)) * idf[t] for t, tf in terms.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        out.append((name, {t: v / norm for t, v in x.items()}))
+    return out, idf, math.log(1 + len(found)) + 1
+
+
+def anchor(min_cosine: float = MIN_COSINE) -> str:
+    """A pattern that every text within min_cosine of a template matches in lower case.
+
+    A text's cosine to a template is at most the norm of the template's weights on the terms that both have. So it
+    must have one of the terms without which the rest of the template's norm is less than min_cosine: terms with one of
+    STEMS, and where these don't suffice the template's heaviest other terms.
+    """
+    words: list[str] = []
+    for _, weights in template_weights()[0]:
+        rest = sorted((-w, t) for t, w in weights.items() if t not in words and not any(s in t for s in STEMS))
+        while sum(w * w for w, _ in rest) >= min_cosine**2:
+            words.append(rest.pop(0)[1])
+    return "|".join(STEMS) + r"|(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}])"
+
+
+def segments(text: Column, pattern: str) -> Column:
+    """The whole text, its paragraphs, lines, sentences and runs of two or three sentences, those that match the pattern; null for a text that doesn't. The whole text comes first."""
+    lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    sentences = F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?;]) ")
+
+    def runs(s: Column) -> Column:
+        numbered = F.transform(s, lambda x, i: F.array(x, F.concat_ws(" ", x, F.get(s, i + 1)), F.concat_ws(" ", x, F.get(s, i + 1), F.get(s, i + 2))))
+        return F.flatten(numbered)
+
+    pieces = F.concat(paragraphs, lines, F.element_at(F.transform(F.array(sentences), runs), 1))
+    matching = F.filter(pieces, lambda x: F.lower(x).rlike(pattern) & (x != text))
+    return F.when(F.lower(text).rlike(pattern), F.concat(F.array(text), F.array_distinct(matching)))
 
 
 def headers(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(key, licence, cosine): the best matching line of each file, over all lines of the whole text.
+    """(row, licence, cosine, whole): of files (row, segments) the best matching segment, and whether the whole text matches.
 
-    files has key and text. The templates' weights are a row for each term of TEMPLATES, which bounds the broadcast.
+    Each segment's term counts are made once; its norm and its products with all templates are sums of one
+    aggregate. The templates' weights are a row for each of their terms, which bounds the broadcast.
     """
-    weights, other_idf = template_weights(files.sparkSession)
-    lines = files.filter(F.col("text").rlike(ANCHOR)).select("key", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.col("text").rlike(ANCHOR))
-    terms = lines.select("key", "line", F.explode(_terms(F.col("text"))).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("tf"))
-    idf = F.broadcast(weights.select("term", "idf").distinct())
-    terms = terms.join(idf, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other_idf)))
-    norms = terms.groupBy("key", "line").agg(F.sqrt(F.sum(F.pow("x", F.lit(2)))).alias("norm"))
-    dots = terms.filter("idf is not null").join(F.broadcast(weights.select("term", "licence", "weight")), "term").groupBy("key", "line", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    scored = dots.join(norms, ["key", "line"]).select("key", "licence", cosine.alias("cosine")).filter(F.col("cosine") >= min_cosine)
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("licence"))).alias("b"))
-    return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+    spark = files.sparkSession
+    templates, idf, other_idf = template_weights()
+    entries: dict[str, list[tuple[int, float]]] = {}
+    for i, (_, weights) in enumerate(templates):
+        for term, w in weights.items():
+            entries.setdefault(term, []).append((i, w))
+    vocabulary = spark.createDataFrame([(t, idf[t], e) for t, e in entries.items()], "term string, idf double, entries array<struct<t:int,w:double>>")
+    names = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(templates)], "t int, licence string")
+    parts = files.filter("segments is not null").select("row", F.posexplode("segments").alias("part", "text"))
+    tf = parts.select("row", "part", F.explode(_terms(F.col("text"))).alias("term")).filter(~F.col("term").isin(*sorted(STOP))).groupBy("row", "part", "term").agg(F.count("*").alias("tf"))
+    weighed = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("x", (1 + F.log("tf")) * F.coalesce("idf", F.lit(other_idf)))
+    own = F.array(F.struct(F.lit(-1).alias("t"), (F.col("x") * F.col("x")).alias("v")))
+    shared = F.transform(F.coalesce("entries", F.array().cast("array<struct<t:int,w:double>>")), lambda e: F.struct(e["t"].alias("t"), (F.col("x") * e["w"]).alias("v")))
+    sums = weighed.select("row", "part", F.explode(F.concat(own, shared)).alias("e")).groupBy("row", "part", "e.t").agg(F.sum("e.v").alias("v"))
+    sums = sums.join(F.broadcast(names), "t", "left")
+    best = F.min(F.when(F.col("t") >= 0, F.struct((-F.round("v", 9)).alias("v"), "licence")))
+    each = sums.groupBy("row", "part").agg(F.max(F.when(F.col("t") < 0, F.col("v"))).alias("norm"), best.alias("b"))
+    scored = each.select("row", "part", "b.licence", F.round(-F.col("b.v") / F.sqrt("norm"), 6).alias("cosine")).filter(F.col("cosine") >= min_cosine)
+    found = scored.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"), F.max(F.col("part") == 0).alias("whole"))
+    return found.select("row", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), "whole")
 
 
 def parent(path: Column) -> Column:
@@ -81,15 +203,19 @@ def parent(path: Column) -> Column:
 def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFrame:
     """(key, path, licence, cosine, origin, inherited_from): origin is header, inherited or none.
 
-    Licence files give their directory its licence. Every distinct directory of files looks up its ancestors,
-    itself first, by an equal join on their paths; files then join their directory.
+    The texts are read once; what is stored of them are the segments that may match. Licence files give their
+    directory its licence. Every distinct directory of files looks up its ancestors, itself first, by an equal join
+    on their paths; files then join their directory.
     """
-    rows = files.select(F.col(key_col).alias("key"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = materialise(headers(rows.select("key", "text")), "headers")
-    short = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) <= FILE_WORDS
-    narrow = rows.select("key", "path", parent(F.col("path")).alias("dir"), (F.col("path").rlike(FILE_NAME) | short).alias("is_file"))
-    scanned = materialise(narrow.join(own, "key", "left"), "scanned")
-    given = scanned.filter("is_file and licence is not null and dir is not null")
+    text, path = F.coalesce(F.col(text_col), F.lit("")), F.col(path_col)
+    rows = files.select(
+        F.monotonically_increasing_id().alias("row"), F.col(key_col).alias("key"), path.alias("path"), parent(path).alias("dir"),
+        F.coalesce(path.rlike(FILE_NAME), F.lit(False)).alias("named"), segments(text, anchor()).alias("segments"),
+    )
+    rows = materialise(rows, "segments")
+    own = materialise(headers(rows.select("row", "segments")), "headers")
+    scanned = materialise(rows.drop("segments").join(own, "row", "left"), "scanned")
+    given = scanned.filter("(named or whole) and licence is not null and dir is not null")
     dirs = given.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("licence"))).alias("b"))
     dirs = materialise(dirs.select(F.col("dir").alias("ancestor"), F.col("b.licence").alias("dir_licence"), (-F.col("b.c")).alias("dir_cosine")), "licensed-dirs")
     steps = F.split("dir", "/")

@@ -650,10 +650,54 @@ def test_licences_are_found_and_inherited(spark, empty):
     assert licenses.scan(empty.withColumn("path", F.lit("p")), "doc_id", "path", "text").collect() == []
 
 
-def test_every_template_matches_itself(spark):
-    frame = spark.createDataFrame([(k, t) for k, t in licenses.TEMPLATES.items()], "key string, text string")
-    got = {r.key: r for r in licenses.headers(frame).collect()}
-    assert {k: r.licence for k, r in got.items()} == {k: k for k in licenses.TEMPLATES} and all(r.cosine == 1 for r in got.values())
+def plain_cosine(text, template, df, total):
+    import regex
+
+    idf = lambda t: math.log((1 + total) / (1 + df[t])) + 1
+    vectors = [{t: (1 + math.log(n)) * idf(t) for t, n in Counter(regex.findall(licenses.TERM, x.lower())).items() if t not in licenses.STOP} for x in (text, template)]
+    norms = [math.sqrt(sum(v * v for v in x.values())) for x in vectors]
+    return sum(v * vectors[1].get(t, 0.0) for t, v in vectors[0].items()) / (norms[0] * norms[1]) if all(norms) else 0.0
+
+
+def test_header_cosines_match_brute_force(spark):
+    import regex
+
+    rng = random.Random(13)
+    templates = [(k, t) for k, texts in licenses.TEMPLATES.items() for t in texts]
+    df = Counter(t for _, x in templates for t in set(regex.findall(licenses.TERM, x.lower())))
+    texts = [t for _, t in templates]
+    for _ in range(80):
+        words = rng.choice(texts).split() + rng.choice(texts).split()[: rng.randint(0, 6)]
+        texts.append(" ".join(w for w in words if rng.random() < 0.8) + rng.choice(["", "\n\nMore prose of no use here. And more", " trailing words on the line " * 3]))
+    texts += ["", None, "/*\n * Copyright (c) 2020 Jane Doe. All rights reserved.\n */\ncode", "prose. " * 40 + "Released under MIT. " + "and seventeen more words " * 5, "Ein Satz ohne alles\n" * 50]
+    frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    cut = frame.select("row", licenses.segments(F.coalesce("text", F.lit("")), licenses.anchor()).alias("segments"))
+    got = {r.row: (r.licence, r.cosine, r.whole) for r in licenses.headers(cut).collect()}
+
+    def parts(t):
+        s = regex.split(r"(?<=[.!?;]) ", regex.sub(r"[ \t\n\x0b\f\r]+", " ", t))
+        runs = [" ".join(s[i : i + k]) for i in range(len(s)) for k in (1, 2, 3)]
+        return [t, *regex.split(r"\n(?:[^\p{L}\p{N}\n]*\n)+", t), *t.split("\n"), *runs]
+
+    want = {}
+    for i, t in enumerate(texts):  # all parts are compared, without the anchor
+        each = [max(((round(plain_cosine(p, x, df, len(templates)), 6), k) for k, x in templates), key=lambda v: (v[0], [-ord(c) for c in v[1]])) for p in parts(t or "")]
+        if max(each)[0] >= licenses.MIN_COSINE:
+            top = max(c for c, _ in each)
+            want[i] = (min(k for c, k in each if c == top), top, each[0][0] >= licenses.MIN_COSINE)
+    assert {i: (k, pytest.approx(c, abs=2e-6), w) for i, (k, c, w) in want.items()} == got
+    assert all(got[i][0] == k for i, (k, _) in enumerate(templates) if "GPL" not in k and "Proprietary" not in k) and got[len(texts) - 2][0] == "MIT"
+
+
+def test_rows_keep_their_own_licences(spark):
+    mit = next(t for t in licenses.TEMPLATES["MIT"] if t.startswith("Permission"))
+    files = [(None, "p/a.txt", "Released under the MIT License."), (None, "q/b.txt", "nothing"), (1, "r/c.txt", "nothing here at all"), (1, "s/d.txt", "Released under the MIT License. " + "more words " * 200), (2, "t/LEGAL", "The MIT License\n\nCopyright 2021 X\n\n" + mit), (3, "t/u/e.txt", ""), (4, "s/f.txt", "plain"), (5, "v/g.txt", "w " * 300_000 + "\nAll rights reserved.")]
+    frame = spark.createDataFrame(files, "id long, path string, text string").repartition(2)
+    got = {r.path: (r.key, r.licence, r.origin, r.inherited_from) for r in licenses.scan(frame, "id", "path", "text").collect()}
+    assert got == {
+        "p/a.txt": (None, "MIT", "header", None), "q/b.txt": (None, None, "none", None), "r/c.txt": (1, None, "none", None), "s/d.txt": (1, "MIT", "header", None),
+        "t/LEGAL": (2, "MIT", "header", None), "t/u/e.txt": (3, "MIT", "inherited", "t"), "s/f.txt": (4, None, "none", None), "v/g.txt": (5, "Proprietary", "header", None),
+    }
 
 
 def test_licence_query_inherits_from_true_ancestors(spark):
