@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text of a block, whose distinct words travel once.
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 14 << 20
 #: Text behind the distinct words of one part.
 PART_BYTES = 2 << 20
 
@@ -46,8 +46,10 @@ def part_count(docs: DataFrame, text_col: str = "text", part_bytes: int = PART_B
 def expand(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of the entries of each code, where code c has sizes[c] entries from starts[c] on."""
     n = sizes[codes]
-    ends = np.cumsum(n)
-    return np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(n, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(starts[-1] + sizes[-1]) if len(starts) else 0) < 1 << 31 else np.int64
+    return np.repeat((starts[codes] - ends + n).astype(kind), n) + np.arange(total, dtype=kind)
 
 
 def cuts_of(part: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ Columns other than the two named ones are dropped. There are no special tokens:
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,7 +27,7 @@ _encoders: dict[str, object] = {}
 #: Marks that are a pre-token of their own after letters.
 MARKS = frozenset(".,;:!?")
 #: Pre-tokens whose ids are put in place at a time.
-SLICE_CODES = 500_000
+SLICE_CODES = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,24 +50,28 @@ def number_pretokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndar
     known = pieces.flatten().dictionary_encode()
     bodies = known.dictionary.to_pylist()
     # a text's first chunk is numbered apart, as no blank goes before it
-    codes = known.indices.to_numpy().astype(np.int64)
+    codes = known.indices.to_numpy().copy()
     codes[ends - n_pieces] += len(bodies)
     used = np.bincount(codes, minlength=2 * len(bodies)) > 0
-    parts: list[list[int]] = [[] for _ in range(2 * len(bodies))]
-    whole = np.zeros(2 * len(bodies), bool)
+    flat, sizes, whole = array("i"), np.zeros(2 * len(bodies), np.int32), np.zeros(2 * len(bodies), bool)
     for i in np.flatnonzero(used).tolist():
         body = bodies[i % len(bodies)]
         chunk = body if i >= len(bodies) else " " + body
         if body.isalpha():  # one run of letters
-            parts[i].append(words.setdefault(chunk, len(words)))
+            flat.append(words.setdefault(chunk, len(words)))
+            sizes[i] = 1
         elif body[:-1].isalpha() and body[-1] in MARKS:
-            parts[i] += words.setdefault(chunk[:-1], len(words)), words.setdefault(chunk[-1], len(words))
+            flat.append(words.setdefault(chunk[:-1], len(words)))
+            flat.append(words.setdefault(chunk[-1], len(words)))
+            sizes[i] = 2
         elif not body or body[0].isspace() or body[-1].isspace():
             whole[i] = True
         else:
-            parts[i] += [words.setdefault(p, len(words)) for p in find(chunk)]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat, starts = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+            found = find(chunk)
+            flat.extend([words.setdefault(p, len(words)) for p in found])
+            sizes[i] = len(found)
+    del bodies, known, pieces
+    flat, starts = np.array(flat, np.int32), np.cumsum(sizes, dtype=np.int64) - sizes
     if not whole.any():
         text_ends = np.concatenate(([0], np.cumsum(sizes[codes])))[ends]
         return flat[expand(codes, starts, sizes)], text_ends, list(words)
@@ -74,7 +79,7 @@ def number_pretokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndar
     for i, (a, b) in enumerate(zip((ends - n_pieces).tolist(), ends.tolist())):
         if odd[i]:
             found = find(texts[i].as_py())
-            out.append(np.fromiter((words.setdefault(p, len(words)) for p in found), np.int64, len(found)))
+            out.append(np.fromiter((words.setdefault(p, len(words)) for p in found), np.int32, len(found)))
         else:
             out.append(flat[expand(codes[a:b], starts, sizes)])
     return np.concatenate(out), np.cumsum([len(x) for x in out]), list(words)
@@ -87,10 +92,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, parts: int) -> Iter
         codes, ends, words = number_pretokens(b.column(1), pattern)
         keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         order = np.argsort(keys % np.uint64(parts), kind="stable")
-        renumbered = np.empty(len(words), np.int64)
-        renumbered[order] = np.arange(len(words))
+        renumbered = np.empty(len(words), np.int32)
+        renumbered[order] = np.arange(len(words), dtype=np.int32)
         check = xxhash.xxh64_intdigest(keys[order].tobytes()) >> 1
         yield block, b.column(0), renumbered[codes], ends, [words[i] for i in order.tolist()], (keys[order] % np.uint64(parts)).astype(np.int64), check
+        del codes, ends, words, keys, order, renumbered
+        pa.default_memory_pool().release_unused()
         block += 1
 
 
