@@ -107,7 +107,7 @@ TEMPLATES = {
 }
 TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 #: Words that are no terms, as they say nothing about a licence.
-STOP = frozenset("a an and any are as at be by but can do even for from has have if in is it its no not of on or other out see so such than that the their there these this to under was were what which who will with without you your".split())
+STOP = frozenset("all also above agreed along been each had he her his how however i into list made many may me more most must my name names one part people said she some then they time use way we when word words would a an and any are as at be by but can do even for from has have if in is it its no not of on or other out see so such than that the their there these this to under was were what which who will with without you your".split())
 MIN_COSINE = 0.6
 #: Stems that headers have and prose seldom has; anchor() adds what is wanting.
 STEMS = ("licen", "copyright", "reserved", "redistribut", "unencumbered", "warrant", "cc0", "creative", "sublicense")
@@ -143,18 +143,38 @@ def anchor(min_cosine: float = MIN_COSINE) -> str:
 
     A text's cosine to a template is at most the norm of the template's weights on the terms that both have. So it
     must have one of the terms without which the rest of the template's norm is less than min_cosine: terms with one of
-    STEMS, and where these don't suffice the template's heaviest other terms.
+    STEMS, and where these don't suffice the template's heaviest other terms, those of one or two characters last.
     """
     words: list[str] = []
     for _, weights in template_weights()[0]:
-        rest = sorted((-w, t) for t, w in weights.items() if t not in words and not any(s in t for s in STEMS))
-        while sum(w * w for w, _ in rest) >= min_cosine**2:
-            words.append(rest.pop(0)[1])
+        rest = sorted((len(t) < 3, -w, t) for t, w in weights.items() if t not in words and not any(s in t for s in STEMS))
+        while sum(w * w for _, w, _ in rest) >= min_cosine**2:
+            words.append(rest.pop(0)[2])
     return "|".join(STEMS) + r"|(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, words)) + r")(?![\p{L}\p{N}])"
 
 
+def reachable(text: Column, min_cosine: float = MIN_COSINE) -> Column:
+    """False only if no template can be within min_cosine of the text.
+
+    With k distinct terms that no template has, and n occurrences of terms that some have, the text's norm is at least
+    sqrt(v + k other_idf^2), v being the squared norm of the latter; a cosine is at most sqrt(v) over that. And
+    v <= 1.5 n max_idf^2, as (1 + ln t)^2 <= 1.5 t.
+    """
+    _, idf, other_idf = template_weights()
+    factor = (1 / min_cosine**2 - 1) * 1.5 * max(idf.values()) ** 2 / other_idf**2
+    known, plain = F.lit(sorted(idf)), F.lit(sorted({*idf, *STOP}))
+
+    def test(terms: Column) -> Column:
+        distinct = F.array_distinct(terms)
+        shared = F.filter(F.array(F.array_intersect(distinct, known)), lambda s: F.size(s) > 0)
+        n = F.transform(shared, lambda s: F.size(F.filter(terms, lambda t: F.array_contains(s, t))))
+        return F.size(F.array_except(distinct, plain)) <= factor * F.coalesce(F.get(n, F.lit(0)), F.lit(0))
+
+    return F.element_at(F.transform(F.array(_terms(text)), test), 1)
+
+
 def segments(text: Column, pattern: str) -> Column:
-    """The whole text, its paragraphs, lines, sentences and runs of two or three sentences, those that match the pattern; null for a text that doesn't. The whole text comes first."""
+    """The whole text, empty if it can't match, its paragraphs, lines, sentences and runs of two or three sentences, those that can match; null for a text without the pattern."""
     lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+")
     sentences = F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?;]) ")
 
@@ -163,8 +183,8 @@ def segments(text: Column, pattern: str) -> Column:
         return F.flatten(numbered)
 
     pieces = F.concat(paragraphs, lines, F.element_at(F.transform(F.array(sentences), runs), 1))
-    matching = F.filter(pieces, lambda x: F.lower(x).rlike(pattern) & (x != text))
-    return F.when(F.lower(text).rlike(pattern), F.concat(F.array(text), F.array_distinct(matching)))
+    matching = F.filter(F.array_distinct(F.filter(pieces, lambda x: F.lower(x).rlike(pattern) & (x != text))), lambda x: reachable(x))
+    return F.when(F.lower(text).rlike(pattern), F.concat(F.array(F.when(reachable(text), text).otherwise("")), matching))
 
 
 def headers(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:

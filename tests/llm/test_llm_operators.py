@@ -691,7 +691,7 @@ def test_header_cosines_match_brute_force(spark):
 
 def test_rows_keep_their_own_licences(spark):
     mit = next(t for t in licenses.TEMPLATES["MIT"] if t.startswith("Permission"))
-    files = [(None, "p/a.txt", "Released under the MIT License."), (None, "q/b.txt", "nothing"), (1, "r/c.txt", "nothing here at all"), (1, "s/d.txt", "Released under the MIT License. " + "more words " * 200), (2, "t/LEGAL", "The MIT License\n\nCopyright 2021 X\n\n" + mit), (3, "t/u/e.txt", ""), (4, "s/f.txt", "plain"), (5, "v/g.txt", "w " * 300_000 + "\nAll rights reserved.")]
+    files = [(None, "p/a.txt", "Released under the MIT License."), (None, "q/b.txt", "nothing"), (1, "r/c.txt", "nothing here at all"), (1, "s/d.txt", "Released under the MIT License. " + "zebra quagga okapi " * 200), (2, "t/LEGAL", "The MIT License\n\nCopyright 2021 X\n\n" + mit), (3, "t/u/e.txt", ""), (4, "s/f.txt", "plain"), (5, "v/g.txt", "w " * 300_000 + "\nAll rights reserved.")]
     frame = spark.createDataFrame(files, "id long, path string, text string").repartition(2)
     got = {r.path: (r.key, r.licence, r.origin, r.inherited_from) for r in licenses.scan(frame, "id", "path", "text").collect()}
     assert got == {
