@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.blocks import cuts_of, list_column, pack_codes, pack_keys, part_count, unpack_codes, unpack_keys
-from quillon.llm.shared import discard, gathered, map_batches, materialise, scratch_path
+from quillon.llm.shared import discard, gathered, map_batches, materialise, scratch_path, setting, shuffles_removed
 
 #: The end token; no word contains white space.
 END = "\n"
@@ -34,7 +34,9 @@ MAX_DISCOUNTED = 5
 #: frequent would leave no mass at all to others.
 TOP_LOSS = 0.1
 #: Text of a block, and behind the n-grams of one part and of one folder of the stored tables.
-BLOCK_BYTES, PART_BYTES, TABLE_BYTES = 10 << 20, 2 << 20, 1 << 30
+BLOCK_BYTES, PART_BYTES, TABLE_BYTES = 8 << 20, 2 << 20, 64 << 20
+#: Most folders of a stored table for each order; they grow beyond that, which costs no memory.
+MAX_TABLE_PARTS = 10_000
 _START = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,7 +102,7 @@ def number_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     distinct, number = np.unique(hashes[is_word], return_inverse=True)
     of = np.zeros(len(hashes), np.int64)
     of[is_word] = number
-    return of[out], ends, distinct
+    return of[out].astype(np.int32), ends, distinct
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,6 +148,8 @@ def _deal(docs: DataFrame, n: int, parts: int) -> DataFrame:
             runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
             columns = [pa.array(part[cuts[:-1]], pa.int32()), pa.array([block] * len(runs), pa.int64()), pa.array([pack_keys(keys[i:j]) for i, j in runs], pa.binary()), pa.array([pack_codes(counts[i:j]) for i, j in runs], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "of_block", "keys", "counts"])
+            del codes, ends, hashes, keys, at, learned, counts, part, columns
+            pa.default_memory_pool().release_unused()
             block += 1
 
     return map_batches(docs, run, "part int, of_block long, keys binary, counts binary")
@@ -171,21 +175,24 @@ class _State:
     """A block with the global counts of its n-grams: for each order n keys, at (the n-gram of each token), count, own, context, context_count and p by n-gram."""
 
     def __init__(self, block: pa.Table, counted: pa.Table, model: Model) -> None:
-        self.codes, self.ends = unpack_codes(block.column("codes")[0].as_py()), np.array(block.column("ends")[0].as_py(), np.int64)
+        self.codes, self.ends = unpack_codes(block.column("codes")[0].as_py()).astype(np.int32), np.array(block.column("ends")[0].as_py(), np.int64)
         self.hashes = unpack_keys(block.column("hashes")[0].as_py())
         self.begins = np.concatenate(([0], self.ends[:-1]))
         counted = counted.sort_by([("kind", "ascending"), ("part", "ascending")])
         kinds = counted.column("kind").to_numpy()
-        answers = [unpack_codes(x, 8).astype(np.int64) for x in counted.column("answers").to_pylist()]
+        answers = counted.column("answers").to_pylist()
         self.orders, before = [], None
         for n, (gram, context) in enumerate(gram_keys(self.codes, self.ends, self.hashes, model.order), 1):
             keys, at = _distinct(self.codes, self.hashes, gram, n)
-            both = np.concatenate([a for a, k in zip(answers, kinds) if k == n])
+            both = np.concatenate([unpack_codes(a, 8).astype(np.int64) for a, k in zip(answers, kinds) if k == n])
             count, own = both >> 1, (both & 1).astype(bool)
-            place = np.empty(len(keys), np.int64)
-            place[at] = np.arange(len(at))
+            del both
+            at = at.astype(np.int32)
+            place = np.empty(len(keys), np.int32)
+            place[at] = np.arange(len(at), dtype=np.int32)
+            del keys
             if n == 1:
-                context_count = np.full(len(keys), max(model.train_tokens, 1))
+                context_count = np.full(len(place), max(model.train_tokens, 1))
                 p = np.where(count > 0, discounted(count, model.discounts[0]) / context_count, model.unknown)
             else:
                 follows = np.concatenate(([0], before["count"][before["at"][:-1]]))
@@ -227,45 +234,58 @@ def _fit(docs: DataFrame, order: int, path: str) -> tuple[Model, DataFrame]:
     tokens = sum(r * words[r] for r in range(1, top + 1)) + words[top + 2]
     d = tuple(tuple(discounts(dict(enumerate(x[: top + 1])))) for x in seen)
     mass = sum(r * f * words[r] for r, f in enumerate(d[0], 1)) + words[top] * (top - TOP_LOSS) + words[top + 2] - TOP_LOSS * words[top + 1]
-    table_parts = part_count(docs, part_bytes=TABLE_BYTES)
+    table_parts = min(MAX_TABLE_PARTS, part_count(docs, part_bytes=TABLE_BYTES))
     model = Model(path, order, table_parts, tokens, sum(words[1 : top + 2]), starts, 1 - mass / tokens if tokens else 1.0, d)
 
     def grams(block: pa.Table, counted: pa.Table) -> pa.Table:
-        """Of the n-grams that this block stands for, a row for each order and part, by context."""
+        """Of the n-grams that this block stands for, a row for each order and part, by context: what their probabilities are made of."""
         state, rows, lower = _State(block, counted, model), [], None
         for o in state.orders:
             pick = np.flatnonzero(o["own"] & (o["count"] > 0))
             part = (o["context"][pick] % np.uint64(table_parts)).astype(np.int64)
             sort = np.lexsort((o["context"][pick], part))
             pick, part = pick[sort], part[sort]
-            word = state.hashes[state.codes[o["place"][pick]]]
-            below = lower["p"][lower["at"][o["place"][pick]]] if lower else np.zeros(len(pick))
+            at = o["place"][pick]
+            numbers = [o["count"][pick], o["context_count"][pick]] + [lower[x][lower["at"][at]] if lower else np.zeros(len(pick), np.int64) for x in ("count", "context_count")]
             cuts = cuts_of(part)
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                at = pick[i:j]
-                rows.append((o["n"], int(part[i]), pack_codes(np.diff(o["context"][at], prepend=np.uint64(0)), 8), word[i:j].tobytes(), pack_codes(o["count"][at], 8), pack_codes(o["p"][at].view(np.uint64), 8), pack_codes(below[i:j].copy().view(np.uint64), 8)))
+                words, of = np.unique(state.codes[at[i:j]], return_inverse=True)  # numbered in the order of their hashes
+                rows.append((o["n"], int(part[i]), pack_keys(o["context"][pick[i:j]]), pack_keys(state.hashes[words]), pack_codes(of), *[pack_codes(x[i:j], 8) for x in numbers]))
             lower = o
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["order", "part", "context", "word", "count", "p", "lower"])
+        del state, o, lower
+        pa.default_memory_pool().release_unused()
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["order", "part", *_PACKED])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for order_no, part, context, word, count, p, below in zip(*(c.to_pylist() for c in b.columns)):
-                contexts = unpack_keys(context).view(np.int64)
-                values = [contexts, np.frombuffer(word, np.int64), unpack_codes(count, 8).astype(np.int64), unpack_codes(p, 8).view(np.float64), unpack_codes(below, 8).view(np.float64), np.full(len(contexts), order_no, np.int32), np.full(len(contexts), part, np.int32)]
+            for n, part, contexts, words, of, *numbers in zip(*(c.to_pylist() for c in b.columns)):
+                contexts = unpack_keys(contexts).view(np.int64)
+                count, total, count_below, total_below = (unpack_codes(x, 8).astype(np.int64) for x in numbers)
+                p = discounted(count, d[n - 1]) / total
+                below = discounted(count_below, d[n - 2]) / total_below if n > 1 else np.zeros(len(p))
+                values = [contexts, unpack_keys(words).view(np.int64)[unpack_codes(of)], count, p, below, np.full(len(p), n, np.int32), np.full(len(p), part, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["context", "word", "count", "p", "lower", "order", "part"])
 
     both = _block_rows(docs).groupBy("block").cogroup(counts.groupBy("of_block"))
-    packed = both.applyInArrow(grams, "order int, part int, context binary, word binary, count binary, p binary, lower binary").repartition("order", "part")
+    packed = both.applyInArrow(grams, "order int, part int, " + ", ".join(f"{c} binary" for c in _PACKED)).repartition("order", "part")
     rows = map_batches(packed, unpack, "context long, word long, count long, p double, lower double, order int, part int")
-    rows.write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{path}/grams")
+    # a task has few folders to write and need not sort, and spill, its rows by them
+    with shuffles_removed(spark), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
+        rows.write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{path}/grams")
     # what a context's n-grams leave over, by what their last words have one order down
     left = model.grams(spark).filter("order > 1").groupBy("order", "part", "context").agg(F.sum("p").alias("kept"), F.sum("lower").alias("covered"))
     alpha = (1 - F.col("kept")) / (1 - F.col("covered"))
-    left.select("context", alpha.alias("alpha"), "order", "part").write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{path}/contexts")
+    with shuffles_removed(spark), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
+        left.select("context", alpha.alias("alpha"), "order", "part").write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{path}/contexts")
     return model, counts
 
 
+#: What grams() packs: contexts, the distinct words and which one each n-gram has, then counts of the n-gram, its
+#: context, the n-gram one order down and that one's context.
+_PACKED = ("contexts", "words", "of", "count", "total", "count_below", "total_below")
+
+
 def _picked(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), learn.alias("flag"))
 
@@ -334,6 +354,8 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (where, times)]
             none = [empty(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             tables.append(pa.table([pa.array(np.full(k, number)), *none, pa.array(np.full(k, n, np.int32)), pa.array(of[cuts[:-1]].view(np.int64)), *lists], names=_SCORE))
+        del state, log, backs, words, c, doc
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(tables)
 
     both = _block_rows(rows).groupBy("block").cogroup(counts.groupBy("of_block"))
