@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import doc_ids_match
+
 
 def keyword_groups_hit(content: Column, groups: Column) -> Column:
     """How many groups of other names have one in the content."""
@@ -22,6 +24,68 @@ def keyword_match(content: Column, groups: Column, mode: str = "all", min_hits:
     return keyword_groups_hit(content, groups) >= need
 
 
+#: Other names of metrics that count as a keyword's hit in evaluation.
+KEYWORD_ALIASES = {
+    "研发费用": ("研发费用", "研发投入", "研发投入金额"),
+    "研发投入": ("研发投入", "研发费用", "研发投入金额"),
+    "研发投入占营业收入比例": ("研发投入占营业收入比例", "研发投入比例", "研发投入占比"),
+    "营业收入": ("营业收入", "主营业务收入", "收入"),
+    "主营业务收入": ("主营业务收入", "营业收入", "收入"),
+    "归母净利润": ("归母净利润", "归属于上市公司股东的净利润"),
+    "归属于上市公司股东的净利润": ("归属于上市公司股东的净利润", "归母净利润"),
+    "总资产": ("总资产", "资产总计", "资产总额"),
+    "资产总计": ("资产总计", "总资产", "资产总额"),
+    "资产负债率": ("资产负债率",),
+    "经营活动现金流入": ("经营活动现金流入", "经营活动现金流入小计"),
+    "经营活动产生的现金流量净额": ("经营活动产生的现金流量净额", "经营活动现金流量净额", "经营活动产生的现金流量"),
+    "毛利率": ("毛利率",),
+    "基本每股收益": ("基本每股收益",),
+    "保证借款": ("保证借款",),
+    "动力电池销量": ("动力电池销量", "动力电池", "销量"),
+    "储能电池销量": ("储能电池销量", "储能电池", "销量"),
+    "正极材料": ("正极材料",),
+    "销量": ("销量",),
+    "组件": ("组件",),
+    "出货量": ("出货量", "发货量"),
+    "风电": ("风电", "风力发电"),
+}
+
+
+def keyword_groups(keywords: Column, use_alias: bool = True) -> Column:
+    """For each keyword that is not blank the array of its other names, or itself."""
+    shown = F.filter(F.transform(keywords, lambda k: F.trim(k)), lambda k: k != "")
+    if not use_alias:
+        return F.transform(shown, lambda k: F.array(k))
+    known = F.create_map(*[x for k, v in KEYWORD_ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.transform(shown, lambda k: F.coalesce(F.try_element_at(known, k), F.array(k)))
+
+
+def any_doc_matches(predicted: Column, truths: Column) -> Column:
+    return F.exists(truths, lambda t: doc_ids_match(predicted, t))
+
+
+def item_ranks(items: DataFrame, hits: DataFrame, summary_hits: int = 1, use_alias: bool = True) -> DataFrame:
+    """(qid, question_type, method, doc_rank, evidence_rank), -1 for a miss, of items (qid, question_type, truths, keywords) by hits (qid, method, doc_id, content, rank).
+
+    A document hit is of one of the truths; an evidence hit has the keywords as well: all of them, of a summary
+    summary_hits at least. Without keywords it is the document hit.
+    """
+    groups = keyword_groups(F.col("keywords"), use_alias)
+    methods = hits.select("method").distinct()
+    rows = items.withColumn("groups", groups).join(F.broadcast(methods)).join(hits, ["qid", "method"], "left")
+    doc = F.coalesce(any_doc_matches(F.col("doc_id"), F.col("truths")), F.lit(False))
+    said = F.when(F.col("question_type") == "summary", keyword_match(F.col("content"), F.col("groups"), "at_least", summary_hits)).otherwise(keyword_match(F.col("content"), F.col("groups")))
+    low = lambda test: F.coalesce(F.min(F.when(test, F.col("rank"))), F.lit(-1))
+    return rows.groupBy("qid", "question_type", "method").agg(low(doc).alias("doc_rank"), low(doc & F.coalesce(said, F.lit(False))).alias("evidence_rank"))
+
+
+def experiment_sizes(name: Column) -> Column:
+    """struct(experiment, chunk_size, overlap) from a chunk file's name such as all_cs1024_ov50.jsonl; null sizes for other names."""
+    stem = F.regexp_replace(F.regexp_replace(name, "^.*/", ""), r"\.[^.]*$", "")
+    size = lambda i: F.nullif(F.regexp_extract(stem, r"cs(\d+)_ov(\d+)", i), F.lit("")).cast("int")
+    return F.struct(stem.alias("experiment"), size(1).alias("chunk_size"), size(2).alias("overlap"))
+
+
 def first_ranks(hits: DataFrame, hit: Column, by: Sequence[str] = ("qid", "method")) -> DataFrame:
     """The lowest rank of a hit in each group, else -1."""
     return hits.groupBy(*by).agg(F.coalesce(F.min(F.when(hit, F.col("rank"))), F.lit(-1)).alias("rank"))

@@ -12,11 +12,16 @@ from quillon.operators.ranking import relaxed
 
 FIELDS = ("doc_title", "doc_type", "source_type", "company", "company_short", "year", "period")
 HEAD_CHARS = 5000
-#: Report names with their document type and period, the more specific first.
-REPORTS = {"半年度报告": ("semi_annual_report", "semi_annual"), "第一季度报告": ("quarterly_report", "q1"), "第三季度报告": ("quarterly_report", "q3"), "季度报告": ("quarterly_report", ""), "年度报告": ("annual_report", "annual")}
+#: Report names with their document type and period.
+REPORT_TYPES = {
+    "年度报告": ("annual_report", "annual"), "年报": ("annual_report", "annual"), "半年度报告": ("semi_annual_report", "semi_annual"), "中期报告": ("semi_annual_report", "semi_annual"),
+    "第一季度报告": ("quarterly_report", "q1"), "第二季度报告": ("quarterly_report", "q2"), "第三季度报告": ("quarterly_report", "q3"), "第四季度报告": ("quarterly_report", "q4"), "季度报告": ("quarterly_report", "quarterly"),
+}
+#: Names that are looked for in file names and titles, the more specific first; periods are in the queries' vocabulary.
+REPORTS = {name: REPORT_TYPES[name] for name in ("半年度报告", "第一季度报告", "第三季度报告", "季度报告", "年度报告")}
 #: Words of policy and research papers' names, and endings of company names, the longest first.
-POLICY = "政策|规划|意见|通知|办法|条例|公告|决定|方案|指导|白皮书|纲要|规定|措施|报告书"
-RESEARCH = "研究|行业|深度|分析|展望|策略|点评"
+POLICY = "规划|通知|意见|指导意见|办法|管理办法|实施方案|方案|政策|条例|细则|决定|公告|蓝皮书|白皮书"
+RESEARCH = "行业研究|深度报告|证券研究|研报|研究报告|点评|策略"
 COMPANY_ENDS = ("股份有限公司", "集团有限公司", "有限责任公司", "控股集团", "有限公司", "股份公司", "集团", "公司")
 REPORT_TITLE = r"(20\d{2})\s*年\s*(年度报告|半年度报告|第一季度报告|第三季度报告|季度报告)"
 
@@ -87,6 +92,18 @@ def document_metadata(docs: DataFrame, overrides: DataFrame | None = None) -> Da
     return rows.select(*docs.columns, *[value(f).alias(f) for f in FIELDS])
 
 
+def report_label(doc_type: Column, period: Column) -> Column:
+    """The report's name by document type or period."""
+    by_period = F.when(period == "q1", "第一季度报告").when(period == "q3", "第三季度报告")
+    return F.when((doc_type == "annual_report") | (period == "annual"), "年度报告").when((doc_type == "semi_annual_report") | (period == "semi_annual"), "半年度报告").otherwise(F.coalesce(by_period, F.when(doc_type == "quarterly_report", "季度报告").otherwise("报告")))
+
+
+def document_title(company: Column, year: Column, period: Column, doc_type: Column, doc_title: Column, source_file: Column, doc_id: Column) -> Column:
+    """Company, year and report name where all three are known; else the title, the file's stem or the id."""
+    whole = F.when((company != "") & (year != "") & (period != ""), F.concat(company, year, F.lit("年"), report_label(doc_type, period)))
+    return first_present(whole, doc_title, F.regexp_replace(F.regexp_replace(source_file, "^.*/", ""), r"\.[^.]*$", ""), doc_id)
+
+
 def display_id(doc_id: Column, doc_title: Column, source_file: Column) -> Column:
     return first_present(doc_id, doc_title, source_file)
 

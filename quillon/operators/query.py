@@ -12,8 +12,29 @@ from quillon.operators.metadata import apply_aliases
 
 #: Metrics that queries ask for; the longest that occurs wins.
 METRICS = ("归属于上市公司股东的净利润", "经营活动产生的现金流量净额", "研发投入占营业收入比例", "经营活动现金流入", "主营业务收入", "基本每股收益", "动力电池销量", "储能电池销量", "正极材料销量", "归母净利润", "资产负债率", "风电发电量", "组件出货量", "营业收入", "研发费用", "研发投入", "资产总计", "保证借款", "汽车销量", "毛利率", "总资产", "销量", "出货量", "收入", "利润")
-#: Other names of metrics.
-METRIC_ALIASES = {"归母净利润": ("归属于上市公司股东的净利润", "净利润"), "资产总计": ("总资产",), "总资产": ("资产总计",), "研发投入": ("研发费用",)}
+#: Other names of metrics, by which evidence is ordered.
+METRIC_ALIASES = {
+    "归母净利润": ("归母净利润", "归属于上市公司股东的净利润"),
+    "归属于上市公司股东的净利润": ("归属于上市公司股东的净利润", "归母净利润"),
+    "研发投入": ("研发投入", "研发费用"),
+    "研发费用": ("研发费用", "研发投入"),
+    "总资产": ("总资产", "资产总计", "资产总额"),
+    "资产总计": ("资产总计", "总资产", "资产总额"),
+    "主营业务收入": ("主营业务收入", "营业收入"),
+    "营业收入": ("营业收入", "主营业务收入", "收入"),
+    "经营活动现金流入": ("经营活动现金流入", "经营活动现金流量流入"),
+    "经营活动产生的现金流量净额": ("经营活动产生的现金流量净额", "经营活动现金流量净额", "经营活动产生的现金流量"),
+    "保证借款": ("保证借款",),
+    "毛利率": ("毛利率",),
+    "资产负债率": ("资产负债率",),
+    "基本每股收益": ("基本每股收益",),
+    "风电发电量": ("风电", "发电量"),
+    "动力电池销量": ("动力电池销量", "动力电池", "销量"),
+    "储能电池销量": ("储能电池销量", "储能电池", "销量"),
+    "组件出货量": ("组件", "出货量"),
+    "正极材料销量": ("正极材料", "销量"),
+}
+#: Marks of comparisons and summaries.
 COMPARE = "谁更高|哪个高|谁的|相比|对比|vs|VS|和"
 SUMMARY = "总结|概括|如何描述|怎么看待|有哪些|主要|判断|趋势|支持方向"
 
@@ -43,7 +64,7 @@ def metric_keywords(metric: Column) -> Column:
     """The metric and its other names; none for an empty one."""
     out = F.when(F.coalesce(metric, F.lit("")) == "", F.array().cast("array<string>"))
     for name, others in METRIC_ALIASES.items():
-        out = out.when(metric == name, F.array(*map(F.lit, (name, *others))))
+        out = out.when(metric == name, F.array(*map(F.lit, others)))
     return out.otherwise(F.array(metric))
 
 

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import answer, chunking, dense, evaluate, layout, metadata, query, ranking
+from quillon.operators import answer, chunking, dense, evaluate, layout, metadata, query, ranking, retriever
 from quillon.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["bm25_topk", "dense_topk", "hybrid_topk", "truncate_text", "chunk_windows", "route_relaxed", "file_name_metadata", "citation_check", "metrics_by_type", "table_to_markdown"]
+FAST = ["bm25_topk", "dense_topk", "hybrid_topk", "truncate_text", "chunk_windows", "route_relaxed", "file_name_metadata", "citation_check", "metrics_by_type", "table_to_markdown", "route_chunks", "bm25_routed", "retrieve_fact"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -109,3 +109,25 @@ def test_segments_grow_with_lines(spark):
 def test_routing_meets_counts_of_documents(spark):
     plan = QUERIES["route_relaxed"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_compare_and_summary_questions_are_retrieved(spark):
+    chunks = spark.createDataFrame(
+        [(1, "A 2023 营业收入 10 亿元", ["A"], "2023", "annual"), (2, "A 2023 毛利率", ["A"], "2023", "annual"), (3, "B 2023 主营业务收入 9 亿元", ["B"], "2023", "annual"), (4, "unrelated", ["C"], "2022", "")],
+        "key int, text string, companies array<string>, year string, period string",
+    )
+    rows = [(1, "甲公司和乙公司2023年营业收入谁更高"), (2, "甲公司2023年主要趋势"), (3, "no company here")]
+    parsed = query.parse_queries(spark.createDataFrame(rows, "qid int, query string"), {"甲公司": "A", "乙公司": "B"})
+    dense_hits = spark.createDataFrame([(q, k, 1.0 / (q + k)) for q in (1, 2, 3) for k in (1, 2, 3, 4)], "qid int, key int, score double")
+    got = retriever.retrieve_by_type(parsed, chunks, dense_hits).collect()
+    compared = {r.sub_idx: [x.key for x in sorted(got, key=lambda x: x["rank"]) if x.qid == 1 and x.sub_idx == r.sub_idx] for r in got if r.qid == 1}
+    assert compared == {0: [1], 1: [3]}  # what scores nothing is left out
+    assert {1} <= {r.key for r in got if r.qid == 2} <= {1, 2} and {1} <= {r.key for r in got if r.qid == 3}
+
+
+def test_items_are_evaluated(spark):
+    items = spark.createDataFrame([(1, "fact", ["某某2023年年报"], ["营业收入", "毛利率"]), (2, "summary", ["x"], ["风电", "组件"]), (3, "fact", ["missing"], [])], "qid int, question_type string, truths array<string>, keywords array<string>")
+    hits = spark.createDataFrame([(1, "m", "某某：2023年年报.pdf", "无", 1), (1, "m", "某某：2023年年报.pdf", "收入 毛利率", 2), (2, "m", "y", "风力发电", 1), (2, "m", "x", "风力发电", 2)], "qid int, method string, doc_id string, content string, rank int")
+    assert {r.qid: (r.doc_rank, r.evidence_rank) for r in evaluate.item_ranks(items, hits).collect()} == {1: (1, 2), 2: (2, 2), 3: (-1, -1)}
+    row = spark.range(1).select(evaluate.experiment_sizes(F.lit("a/all_cs1024_ov50.jsonl")).alias("e"), metadata.document_title(*map(F.lit, ("甲", "2023", "q1", "", "t", "f.pdf", "d"))).alias("a"), metadata.document_title(*map(F.lit, ("甲", "", "q1", "", "", "x/f.pdf", "d"))).alias("b")).first()
+    assert tuple(row.e) == ("all_cs1024_ov50", 1024, 50) and (row.a, row.b) == ("甲2023年第一季度报告", "f")
