@@ -34,7 +34,7 @@ MAX_DISCOUNTED = 5
 #: frequent would leave no mass at all to others.
 TOP_LOSS = 0.1
 #: Text of a block, and behind the n-grams of one part and of one folder of the stored tables.
-BLOCK_BYTES, PART_BYTES, TABLE_BYTES = 8 << 20, 2 << 20, 64 << 20
+BLOCK_BYTES, PART_BYTES, TABLE_BYTES = 5 << 20, 2 << 20, 64 << 20
 #: Most folders of a stored table for each order; they grow beyond that, which costs no memory.
 MAX_TABLE_PARTS = 10_000
 _START = np.uint64(0x9E3779B97F4A7C15)
