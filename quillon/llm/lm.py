@@ -11,7 +11,7 @@ count, of 10^12 some 27,000 pairs do.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import cuts_of, list_column, pack_codes, pack_keys, part_count, unpack_codes, unpack_keys
+from quillon.llm.blocks import cuts_of, pack_codes, pack_keys, part_count, unpack_codes, unpack_keys
 from quillon.llm.shared import discard, gathered, map_batches, materialise, scratch_path, setting, shuffles_removed
 
 #: The end token; no word contains white space.
@@ -34,7 +34,7 @@ MAX_DISCOUNTED = 5
 #: frequent would leave no mass at all to others.
 TOP_LOSS = 0.1
 #: Text of a block, and behind the n-grams of one part and of one folder of the stored tables.
-BLOCK_BYTES, PART_BYTES, TABLE_BYTES = 5 << 20, 2 << 20, 64 << 20
+BLOCK_BYTES, PART_BYTES, TABLE_BYTES = 5 << 20, 2 << 20, 48 << 20
 #: Most folders of a stored table for each order; they grow beyond that, which costs no memory.
 MAX_TABLE_PARTS = 10_000
 _START = np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +46,8 @@ class Model:
 
     grams has a row for each n-gram, by hash of its context and of its last word: its count, its discounted
     probability p, and that of the n-gram without its first word. contexts has the backoff weight of each context.
-    Both are in folders by order and, part, context hash modulo parts.
+    Both are in folders by order and part: the context's hash modulo parts, for single words, whose context is
+    one, their own hash's.
     """
 
     path: str
@@ -134,25 +135,28 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _deal(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """(part, of_block, keys, counts): for each block and part the distinct n-grams and how often the training texts have them."""
+def _deal(docs: DataFrame, order: int, parts: int) -> DataFrame:
+    """(kind, part, of_block, keys, counts): for each block, order (kind) and part the distinct n-grams and how often the training texts have them; order n has n * parts parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for b in gathered(batches, 1, BLOCK_BYTES):
             codes, ends, hashes = number_words(b.column(1))
-            keys, at = _distinct(codes, hashes, gram_keys(codes, ends, hashes, n)[-1][0], n)
             learned = np.repeat(b.column(2).to_numpy(zero_copy_only=False), np.diff(ends, prepend=0))
-            counts, part = np.bincount(at, learned, len(keys)).astype(np.int64), _part(keys, parts)
-            cuts = cuts_of(part)
-            runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-            columns = [pa.array(part[cuts[:-1]], pa.int32()), pa.array([block] * len(runs), pa.int64()), pa.array([pack_keys(keys[i:j]) for i, j in runs], pa.binary()), pa.array([pack_codes(counts[i:j]) for i, j in runs], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "of_block", "keys", "counts"])
-            del codes, ends, hashes, keys, at, learned, counts, part, columns
+            for n, (gram, _) in enumerate(gram_keys(codes, ends, hashes, order), 1):
+                keys, at = _distinct(codes, hashes, gram, n)
+                counts, part = np.bincount(at, learned, len(keys)).astype(np.int64), _part(keys, n * parts)
+                del at
+                cuts = cuts_of(part)
+                runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                columns = [pa.array(np.full(len(runs), n, np.int32)), pa.array(part[cuts[:-1]], pa.int32()), pa.array([block] * len(runs), pa.int64()), pa.array([pack_keys(keys[i:j]) for i, j in runs], pa.binary()), pa.array([pack_codes(counts[i:j]) for i, j in runs], pa.binary())]
+                del keys, counts, part
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "part", "of_block", "keys", "counts"])
+            del codes, ends, hashes, learned, gram, columns
             pa.default_memory_pool().release_unused()
             block += 1
 
-    return map_batches(docs, run, "part int, of_block long, keys binary, counts binary")
+    return map_batches(docs, run, "kind int, part int, of_block long, keys binary, counts binary")
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -168,7 +172,7 @@ def _count(table: pa.Table) -> pa.Table:
     summary = [*np.bincount(total[~great], minlength=top + 1).tolist(), int(great.sum()), int(total[great].sum())]
     ends = np.cumsum([len(r) for r in runs])
     packed = [pack_codes(answers[e - len(r) : e], 8) for r, e in zip(runs, ends)]
-    return pa.table([table.column("of_block"), table.column("part"), pa.array(packed, pa.binary()), pa.array([summary] + [None] * (len(runs) - 1), pa.list_(pa.int64()))], names=["of_block", "part", "answers", "summary"])
+    return pa.table([table.column("of_block"), table.column("kind"), table.column("part"), pa.array(packed, pa.binary()), pa.array([summary] + [None] * (len(runs) - 1), pa.list_(pa.int64()))], names=["of_block", "kind", "part", "answers", "summary"])
 
 
 class _State:
@@ -218,44 +222,46 @@ def _block_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "block long, docs array<long>, flags array<boolean>, ends array<long>, codes binary, hashes binary")
 
 
-def _fit(docs: DataFrame, order: int, path: str) -> tuple[Model, DataFrame]:
-    """The model's tables and the counts by block, of docs (doc_id, text, flag: learn from it)."""
-    spark = docs.sparkSession
+def _counted(docs: DataFrame, order: int, path: str) -> tuple[Model, DataFrame]:
+    """The model, its tables still to be written, and the counts by block, of docs (doc_id, text, flag: learn from it)."""
     parts = part_count(docs, part_bytes=PART_BYTES)
     starts = docs.filter("flag").count()
-    counts, seen = None, []
-    for n in range(1, order + 1):
-        counted = materialise(_deal(docs, n, n * parts).groupBy("part").applyInArrow(_count, "of_block long, part int, answers binary, summary array<long>"), f"lm-counts-{n}")
-        sums = counted.filter("summary is not null").agg(*[F.sum(F.element_at("summary", i + 1)) for i in range(MAX_DISCOUNTED + 4)]).first()
-        seen.append([x or 0 for x in sums])
-        counted = counted.select("of_block", F.lit(n).alias("kind"), "part", "answers")
-        counts = counted if counts is None else counts.unionByName(counted)
+    counted = materialise(_deal(docs, order, parts).groupBy("kind", "part").applyInArrow(_count, "of_block long, kind int, part int, answers binary, summary array<long>"), "lm-counts")
+    sums = counted.filter("summary is not null").groupBy("kind").agg(*[F.sum(F.element_at("summary", i + 1)) for i in range(MAX_DISCOUNTED + 4)]).collect()
+    by_order = {r[0]: list(r[1:]) for r in sums}
+    seen = [by_order.get(n, [0] * (MAX_DISCOUNTED + 4)) for n in range(1, order + 1)]
     top, words = MAX_DISCOUNTED + 1, seen[0]
     tokens = sum(r * words[r] for r in range(1, top + 1)) + words[top + 2]
     d = tuple(tuple(discounts(dict(enumerate(x[: top + 1])))) for x in seen)
     mass = sum(r * f * words[r] for r, f in enumerate(d[0], 1)) + words[top] * (top - TOP_LOSS) + words[top + 2] - TOP_LOSS * words[top + 1]
     table_parts = min(MAX_TABLE_PARTS, part_count(docs, part_bytes=TABLE_BYTES))
     model = Model(path, order, table_parts, tokens, sum(words[1 : top + 2]), starts, 1 - mass / tokens if tokens else 1.0, d)
-
-    def grams(block: pa.Table, counted: pa.Table) -> pa.Table:
-        """Of the n-grams that this block stands for, a row for each order and part, by context: what their probabilities are made of."""
-        state, rows, lower = _State(block, counted, model), [], None
-        for o in state.orders:
-            pick = np.flatnonzero(o["own"] & (o["count"] > 0))
-            part = (o["context"][pick] % np.uint64(table_parts)).astype(np.int64)
-            sort = np.lexsort((o["context"][pick], part))
-            pick, part = pick[sort], part[sort]
-            at = o["place"][pick]
-            numbers = [o["count"][pick], o["context_count"][pick]] + [lower[x][lower["at"][at]] if lower else np.zeros(len(pick), np.int64) for x in ("count", "context_count")]
-            cuts = cuts_of(part)
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                words, of = np.unique(state.codes[at[i:j]], return_inverse=True)  # numbered in the order of their hashes
-                rows.append((o["n"], int(part[i]), pack_keys(o["context"][pick[i:j]]), pack_keys(state.hashes[words]), pack_codes(of), *[pack_codes(x[i:j], 8) for x in numbers]))
-            lower = o
-        del state, o, lower
-        pa.default_memory_pool().release_unused()
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["order", "part", *_PACKED])
+    return model, counted.select("of_block", "kind", "part", "answers")
+
+
+def _packed_grams(state: _State, model: Model) -> pa.Table:
+    """Of the n-grams that a block stands for, a row for each order and part, by context: what their probabilities are made of."""
+    rows, lower = [], None
+    for o in state.orders:
+        pick = np.flatnonzero(o["own"] & (o["count"] > 0))
+        by = o["context"][pick] if o["n"] > 1 else state.hashes[state.codes[o["place"][pick]]]
+        part = (by % np.uint64(model.parts)).astype(np.int64)
+        sort = np.lexsort((o["context"][pick], part))
+        pick, part = pick[sort], part[sort]
+        at = o["place"][pick]
+        numbers = [o["count"][pick], o["context_count"][pick]] + [lower[x][lower["at"][at]] if lower else np.zeros(len(pick), np.int64) for x in ("count", "context_count")]
+        cuts = cuts_of(part)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            words, of = np.unique(state.codes[at[i:j]], return_inverse=True)  # numbered in the order of their hashes
+            rows.append((o["n"], int(part[i]), pack_keys(o["context"][pick[i:j]]), pack_keys(state.hashes[words]), pack_codes(of), *[pack_codes(x[i:j], 8) for x in numbers]))
+        lower = o
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["order", "part", *_PACKED])
+
+
+def _store(model: Model, packed: DataFrame) -> None:
+    """Write the model's tables from the packed rows of all blocks."""
+    spark, d = packed.sparkSession, model.discounts
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,23 +273,23 @@ def _fit(docs: DataFrame, order: int, path: str) -> tuple[Model, DataFrame]:
                 values = [contexts, unpack_keys(words).view(np.int64)[unpack_codes(of)], count, p, below, np.full(len(p), n, np.int32), np.full(len(p), part, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["context", "word", "count", "p", "lower", "order", "part"])
 
-    both = _block_rows(docs).groupBy("block").cogroup(counts.groupBy("of_block"))
-    packed = both.applyInArrow(grams, "order int, part int, " + ", ".join(f"{c} binary" for c in _PACKED)).repartition("order", "part")
-    rows = map_batches(packed, unpack, "context long, word long, count long, p double, lower double, order int, part int")
+    # four tasks for each folder, so that few folders meet in one
+    spread = packed.repartition(4 * model.order * model.parts, "order", "part")
+    rows = map_batches(spread, unpack, "context long, word long, count long, p double, lower double, order int, part int")
     # a task has few folders to write and need not sort, and spill, its rows by them
     with shuffles_removed(spark), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
-        rows.write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{path}/grams")
+        rows.write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{model.path}/grams")
     # what a context's n-grams leave over, by what their last words have one order down
     left = model.grams(spark).filter("order > 1").groupBy("order", "part", "context").agg(F.sum("p").alias("kept"), F.sum("lower").alias("covered"))
     alpha = (1 - F.col("kept")) / (1 - F.col("covered"))
     with shuffles_removed(spark), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
-        left.select("context", alpha.alias("alpha"), "order", "part").write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{path}/contexts")
-    return model, counts
+        left.select("context", alpha.alias("alpha"), "order", "part").write.option("compression", "zstd").partitionBy("order", "part").parquet(f"{model.path}/contexts")
 
 
-#: What grams() packs: contexts, the distinct words and which one each n-gram has, then counts of the n-gram, its
+#: What _packed_grams() packs: contexts, the distinct words and which one each n-gram has, then counts of the n-gram, its
 #: context, the n-gram one order down and that one's context.
 _PACKED = ("contexts", "words", "of", "count", "total", "count_below", "total_below")
+_GRAM_SCHEMA = "order int, part int, " + ", ".join(f"{c} binary" for c in _PACKED)
 
 
 def _picked(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
@@ -295,11 +301,23 @@ def train(docs: DataFrame, order: int = ORDER, path: str | None = None, text_col
     if order < 1:
         raise ValueError("the order is at least 1")
     rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(True).alias("flag"))
-    model, counts = _fit(rows, order, path or scratch_path(docs.sparkSession, "lm-model"))
+    model, counts = _counted(rows, order, path or scratch_path(docs.sparkSession, "lm-model"))
+
+    def grams(block: pa.Table, counted: pa.Table) -> pa.Table:
+        return _packed_grams(_State(block, counted, model), model)
+
+    packed = materialise(_with_counts(rows, counts, grams, _GRAM_SCHEMA), "lm-grams")
     discard(counts)
+    _store(model, packed)
+    discard(packed)
     return model
 
 
+def _with_counts(docs: DataFrame, counts: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run over each block of docs and the global counts of its n-grams."""
+    return _block_rows(docs).groupBy("block").cogroup(counts.groupBy("of_block")).applyInArrow(run, schema)
+
+
 def _evaluated(model: Model, state: _State) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
     """log10 of the probability of each token at the highest order that has it, and by order the tokens that back off there with their known contexts.
 
@@ -320,17 +338,18 @@ def _evaluated(model: Model, state: _State) -> tuple[np.ndarray, list[tuple[int,
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row, by a model of the rows not held out.
 
-    The model is stored; its rows come from one pass with the scores', in which each block of texts asks for the
-    global counts of its own n-grams. Backoff weights are read from the stored table: a block asks for each of its
+    The model is stored; its rows come from one pass with the scores' sums, in which each block of texts asks for
+    the global counts of its own n-grams. Backoff weights are read from the stored table: a block asks for each of its
     contexts once, so that a frequent context has a row for each block, not for each document.
     """
     spark = docs.sparkSession
     rows = _picked(docs, ~held_out, id_col, text_col)
-    model, counts = _fit(rows, order, scratch_path(spark, "lm-model"))
+    model, counts = _counted(rows, order, scratch_path(spark, "lm-model"))
 
     def score(block: pa.Table, counted: pa.Table) -> pa.Table:
-        """Rows of two kinds: a document's sums; a context that the block's documents back off from, with these and how often."""
+        """Rows of three kinds: the model's n-grams that the block stands for, packed; a document's sums; a context that the block's documents back off from, with these and how often."""
         state = _State(block, counted, model)
+        grams = _packed_grams(state, model)
         log, backs = _evaluated(model, state)
         words = state.orders[0]
         c, length = words["count"][words["at"]], np.diff(state.ends, prepend=0)
@@ -356,17 +375,18 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             tables.append(pa.table([pa.array(np.full(k, number)), *none, pa.array(np.full(k, n, np.int32)), pa.array(of[cuts[:-1]].view(np.int64)), *lists], names=_SCORE))
         del state, log, backs, words, c, doc
         pa.default_memory_pool().release_unused()
-        return pa.concat_tables(tables)
+        # in the schema's order of columns, the others null
+        return pa.concat_tables([*tables, grams], promote_options="default").select([*_SCORE, "part", *_PACKED])
 
-    both = _block_rows(rows).groupBy("block").cogroup(counts.groupBy("of_block"))
-    schema = "block long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, order int, context long, rows array<long>, times array<long>"
-    out = materialise(both.applyInArrow(score, schema), "lm-scores")
+    schema = "block long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, order int, context long, rows array<long>, times array<long>, part int, " + ", ".join(f"{c} binary" for c in _PACKED)
+    out = materialise(_with_counts(rows, counts, score, schema), "lm-scores")
     discard(counts)
-    asked = out.filter("order is not null").select("block", "order", "context", "rows", "times")
+    _store(model, out.filter("part is not null").select("order", "part", *_PACKED))
+    asked = out.filter("context is not null").select("block", "order", "context", "rows", "times")
     found = asked.join(model.contexts(spark).select("order", "context", "alpha"), ["order", "context"])
     each = found.select("block", F.log10("alpha").alias("log_alpha"), F.explode(F.arrays_zip("rows", "times")).alias("x"))
     weights = each.groupBy("block", F.col("x.rows").alias("row")).agg(F.sum(F.col("x.times") * F.col("log_alpha")).alias("backoff"))
-    whole = out.filter("order is null").join(weights, ["block", "row"], "left")
+    whole = out.filter("row is not null").join(weights, ["block", "row"], "left")
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("log") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
 
 
