@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.blocks import BLOCK_BYTES, cuts_of, expand, list_column, pack_codes, part_count, unpack_codes
-from quillon.llm.shared import gathered, map_batches, unused
+from quillon.llm.shared import gathered, give_back, map_batches, unused
 
 _encoders: dict[str, object] = {}
 #: Marks that are a pre-token of their own after letters.
@@ -97,7 +97,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, parts: int) -> Iter
         check = xxhash.xxh64_intdigest(keys[order].tobytes()) >> 1
         yield block, b.column(0), renumbered[codes], ends, [words[i] for i in order.tolist()], (keys[order] % np.uint64(parts)).astype(np.int64), check
         del codes, ends, words, keys, order, renumbered
-        pa.default_memory_pool().release_unused()
+        give_back()
         block += 1
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.blocks import cuts_of, pack_codes, pack_keys, part_count, unpack_codes, unpack_keys
-from quillon.llm.shared import discard, gathered, map_batches, materialise, scratch_path, setting, shuffles_removed
+from quillon.llm.shared import discard, gathered, give_back, map_batches, materialise, scratch_path, setting, shuffles_removed
 
 #: The end token; no word contains white space.
 END = "\n"
@@ -153,7 +153,7 @@ def _deal(docs: DataFrame, order: int, parts: int) -> DataFrame:
                 del keys, counts, part
                 yield pa.RecordBatch.from_arrays(columns, ["kind", "part", "of_block", "keys", "counts"])
             del codes, ends, hashes, learned, gram, columns
-            pa.default_memory_pool().release_unused()
+            give_back()
             block += 1
 
     return map_batches(docs, run, "kind int, part int, of_block long, keys binary, counts binary")
@@ -374,7 +374,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             none = [empty(k, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             tables.append(pa.table([pa.array(np.full(k, number)), *none, pa.array(np.full(k, n, np.int32)), pa.array(of[cuts[:-1]].view(np.int64)), *lists], names=_SCORE))
         del state, log, backs, words, c, doc
-        pa.default_memory_pool().release_unused()
+        give_back()
         # in the schema's order of columns, the others null
         return pa.concat_tables([*tables, grams], promote_options="default").select([*_SCORE, "part", *_PACKED])
 

@@ -28,9 +28,9 @@ SHARD_PIECES = 4096
 #: Sequences filled up to this share are packed a second time, across shards.
 OPEN_SHARE = 0.95
 #: Text whose distinct chunks are encoded once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 
 
 class WordTokenizer:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -84,10 +85,22 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
     The bound is a setting of the session, read when a plan runs; a smaller one stays.
     """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < byte_count(conf.get(name)) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark's Python workers outlive their tasks, and idle ones keep what they once took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
 
 
 def byte_count(size: str) -> int:
