@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.text import normalize_document
+from quillon.operators.metadata import FIELDS, document_metadata, document_title
 
 FENCED = r"(?is)\[TABLE_START\].*?\[TABLE_END\]"
 MIN_CHARS = 30
 #: A soft boundary must lie in the last 40 percent of a window.
 SOFT_FROM = 0.6
-#: Soft boundaries, best first: each pattern's group ends where a chunk may end.
-BOUNDARIES = (r"(?s)^(.*\n\n)", r"(?s)^(.*[。！？；])", r"(?s)^(.*[.!?;])", r"(?s)^(.*\n)", r"(?s)^(.*[，,])")
+#: Soft boundaries, best first: a chunk may end after the last of a kind's marks.
+BOUNDARIES = (("\n\n",), ("。", "！", "？", "；"), (".", "!", "?", ";"), ("\n",), ("，", ","))
+WINDOWS = pa.list_(pa.struct([("start", pa.int32()), ("content", pa.string())]))
 
 
 def check_sizes(size: int, overlap: int) -> None:
@@ -37,76 +40,88 @@ def segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.select(*docs.columns, (F.col("__i") + 1).alias("segment_index"), F.col("__s.type").alias("segment_type"), F.col("__s.content").alias("content"))
 
 
-def soft_length(window: Column, size: int) -> Column:
+def soft_length(window: str, size: int) -> int:
     """How much of a full window to take: up to its best boundary in the soft zone, else all."""
-    ends = F.array(*[F.length(F.regexp_extract(window, p, 1)) for p in BOUNDARIES])
-    return F.element_at(F.transform(F.array(ends), lambda e: F.coalesce(F.get(F.filter(e, lambda n: n >= int(SOFT_FROM * size)), F.lit(0)), F.length(window))), 1)
+    for marks in BOUNDARIES:
+        end = max(window.rfind(m) + len(m) if m in window else 0 for m in marks)
+        if end >= int(SOFT_FROM * size):
+            return end
+    return len(window)
 
 
-def windows(text: Column, size: int, overlap: int, soft: bool = True) -> Column:
-    """array<struct<start, content>>: overlapping windows, start from 0 in characters.
-
-    Each window starts `overlap` before the end of the last one, or at its end where that would not advance. The
-    loop is an aggregate over as many steps as windows can be: a step advances by what a soft end leaves at least.
-    """
-    check_sizes(size, overlap)
-    # the text is bound once: the lambdas below would compute it anew in every step
-    return F.element_at(F.transform(F.array(text), lambda t: _windows(t, size, overlap, soft)), 1)
+def cut(text: str, size: int, overlap: int, soft: bool) -> Iterator[tuple[int, str]]:
+    """The windows of a text, in time linear in their total length."""
+    start = 0
+    while start < len(text):
+        window = text[start : start + size]
+        last = start + size >= len(text)
+        taken = soft_length(window, size) if soft and not last else len(window)
+        yield start, window[:taken]
+        start = len(text) if last else start + taken - (overlap if taken > overlap else 0)
 
 
-def _windows(text: Column, size: int, overlap: int, soft: bool) -> Column:
-    least = max(1, int(SOFT_FROM * size) - overlap) if soft else size - overlap
-    steps = F.sequence(F.lit(1), F.ceil(F.length(text) / least).cast("int") + 1)
-    window_at = lambda start: F.substring(text, start + 1, F.lit(size))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start:int,content:string>>").alias("out"))
+def _windows(texts: pa.Array, sizes: pa.Array, overlaps: pa.Array, softs: pa.Array) -> pa.Array:
+    found = [None if t is None else [{"start": s, "content": c} for s, c in cut(t, *how)] for t, *how in zip(*(x.to_pylist() for x in (texts, sizes, overlaps, softs)))]
+    return pa.array(found, WINDOWS)
 
-    def step(state: Column, _: Column) -> Column:
-        w = window_at(state["next"])
-        last = state["next"] + size >= F.length(text)
-        taken = F.when(last, F.length(w)).otherwise(soft_length(w, size) if soft else F.lit(size))
 
-        def advance(n: Column) -> Column:
-            end = state["next"] + n
-            after = F.when(last, F.length(text)).when(end - overlap > state["next"], end - overlap).otherwise(end)
-            return F.struct(after.alias("next"), F.concat(state["out"], F.array(F.struct(state["next"].alias("start"), F.left(w, n).alias("content")))).alias("out"))
+def windows(text: Column, size: int | Column, overlap: int | Column, soft: bool = True) -> Column:
+    """array<struct<start, content>>: overlapping windows, start from 0 in characters; null for null.
 
-        return F.when(state["next"] >= F.length(text), state).otherwise(F.element_at(F.transform(F.array(taken), advance), 1))
-
-    return F.aggregate(steps, start, step, lambda s: s["out"])
+    Each window starts `overlap` before the end of the last one, or at its end where that would not advance. Where a
+    window ends depends on the one before, so this is a loop over the text, run on Arrow batches.
+    """
+    if isinstance(size, int) and isinstance(overlap, int):
+        check_sizes(size, overlap)
+        size, overlap = F.lit(size), F.lit(overlap)
+    return F.arrow_udf(_windows, "array<struct<start:int,content:string>>")(text, size, overlap, F.lit(soft))
 
 
-def chunk_documents(docs: DataFrame, size: int = 1024, overlap: int = 50, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk_id, chunk_type, content, char_len, source_segment_index, chunk_size, overlap).
+def chunk_documents(docs: DataFrame, size: int = 1024, overlap: int = 50, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, chunk_id, chunk_type, content, char_len, source_segment_index, chunk_size, overlap) and the columns `keep` of docs.
 
     Tables are chunks as they are. Text is normalised, cut by windows(), stripped, and kept from min_chars on;
     numbers in chunk_id count the kept chunks of each type of a document.
     """
     check_sizes(size, overlap)
-    parts = segments(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")))
-    clean = parts.withColumn("content", F.when(F.col("segment_type") == "table", F.regexp_replace("content", r"(?U)^\s+|\s+$", "")).otherwise(normalize_document(F.col("content"))))
-    tables = clean.filter("segment_type = 'table'").select("doc_id", "segment_index", "segment_type", F.lit(0).alias("at"), "content")
-    texts = clean.filter("segment_type = 'text'").select("doc_id", "segment_index", "segment_type", F.posexplode(windows(F.col("content"), size, overlap)).alias("at", "w"))
-    texts = texts.select("doc_id", "segment_index", "segment_type", "at", F.regexp_replace("w.content", r"(?U)^\s+|\s+$", "").alias("content")).filter(F.length("content") >= min_chars)
-    n = F.row_number().over(Window.partitionBy("doc_id", "segment_type").orderBy("segment_index", "at"))
-    both = tables.unionByName(texts).withColumn("n", n)
+    return _chunks(docs, [(size, overlap)], min_chars, id_col, text_col, keep)
+
+
+def _chunks(docs: DataFrame, pairs: Sequence[tuple[int, int]], min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """The chunks of every pair of size and overlap: documents are read and normalised once."""
+    parts = segments(docs.select(F.col(id_col).cast("string").alias("doc_id"), *keep, F.col(text_col).alias("text"))).drop("text")
+    clean = F.when(F.col("segment_type") == "table", F.regexp_replace("content", r"(?U)^\s+|\s+$", "")).otherwise(normalize_document(F.col("content")))
+    how = F.explode(F.array(*[F.struct(F.lit(s).alias("chunk_size"), F.lit(o).alias("overlap")) for s, o in pairs])).alias("how")
+    rows = parts.withColumn("content", clean).select("*", how).select(*parts.columns, "how.*")
+    whole = rows.filter("segment_type = 'table'").withColumn("at", F.lit(0))
+    texts = rows.filter("segment_type = 'text'").withColumn("windows", windows(F.col("content"), F.col("chunk_size"), F.col("overlap"))).drop("content")
+    texts = texts.select("*", F.posexplode("windows").alias("at", "w")).withColumn("content", F.regexp_replace("w.content", r"(?U)^\s+|\s+$", "")).filter(F.length("content") >= min_chars)
+    n = F.row_number().over(Window.partitionBy("doc_id", "segment_type", "chunk_size", "overlap").orderBy("segment_index", "at"))
+    both = whole.unionByName(texts.select(*whole.columns)).withColumn("n", n)
     return both.select(
-        "doc_id", F.format_string("%s_%s_%04d", "doc_id", "segment_type", "n").alias("chunk_id"), F.col("segment_type").alias("chunk_type"), "content",
-        F.length("content").alias("char_len"), F.col("segment_index").alias("source_segment_index"), F.lit(size).alias("chunk_size"), F.lit(overlap).alias("overlap"),
+        "doc_id", *keep, F.format_string("%s_%s_%04d", "doc_id", "segment_type", "n").alias("chunk_id"), F.col("segment_type").alias("chunk_type"), "content",
+        F.length("content").alias("char_len"), F.col("segment_index").alias("source_segment_index"), "chunk_size", "overlap",
     )
 
 
 def chunk_grid(docs: DataFrame, sizes: Iterable[int] = (256, 512, 1024), overlaps: Iterable[int] = (50, 100, 200), **names: str) -> DataFrame:
     """chunk_documents for every pair of size and overlap that is possible."""
-    out = None
     overlaps = list(overlaps)
-    for size in sizes:
-        for overlap in overlaps:
-            if overlap < size:
-                part = chunk_documents(docs, size, overlap, **names)
-                out = part if out is None else out.unionByName(part)
-    if out is None:
+    pairs = [(s, o) for s in sizes for o in overlaps if o < s]
+    if not pairs:
         raise ValueError("no pair of sizes is possible")
-    return out
+    for pair in pairs:
+        check_sizes(*pair)
+    return _chunks(docs, pairs, **names)
+
+
+def standard_chunks(docs: DataFrame, pairs: Sequence[tuple[int, int]] = ((1024, 50),), overrides: DataFrame | None = None) -> DataFrame:
+    """Chunks of docs (doc_id, source_file, text) with their documents' metadata, the columns of a chunk file."""
+    for pair in pairs:
+        check_sizes(*pair)
+    known = document_metadata(docs, overrides)
+    title = document_title(*map(F.col, ("company", "year", "period", "doc_type", "doc_title", "source_file", "doc_id")))
+    return _chunks(known.withColumn("doc_title", title), pairs, keep=(*FIELDS, "source_file"))
 
 
 def chunk_stats(chunks: DataFrame, *by: str) -> DataFrame:

@@ -86,6 +86,20 @@ def experiment_sizes(name: Column) -> Column:
     return F.struct(stem.alias("experiment"), size(1).alias("chunk_size"), size(2).alias("overlap"))
 
 
+def experiment_summary(ranks: DataFrame, ks: Sequence[int] = (3, 5, 10), methods: Sequence[str] = ("dense", "bm25", "hybrid")) -> DataFrame:
+    """A row for each experiment of ranks (experiment, qid, method, rank): its name's sizes, its questions, each method's recalls."""
+    sizes = experiment_sizes(F.col("experiment"))
+    columns = [recall_of(m, k).alias(f"{m}_recall_{k}") for m in methods for k in ks]
+    out = ranks.groupBy("experiment").agg(F.count_distinct("qid").alias("total_queries"), *columns)
+    return out.select("experiment", sizes["chunk_size"].alias("chunk_size"), sizes["overlap"].alias("overlap"), *out.columns[1:])
+
+
+def recall_of(method: str, k: int) -> Column:
+    """recall_at(k) of a method's rows alone; 0 without any."""
+    hit = F.when(F.col("rank").between(1, k), 1.0).otherwise(0.0)
+    return F.coalesce(F.avg(F.when(F.col("method") == method, hit)), F.lit(0.0))
+
+
 def first_ranks(hits: DataFrame, hit: Column, by: Sequence[str] = ("qid", "method")) -> DataFrame:
     """The lowest rank of a hit in each group, else -1."""
     return hits.groupBy(*by).agg(F.coalesce(F.min(F.when(hit, F.col("rank"))), F.lit(-1)).alias("rank"))

@@ -15,28 +15,33 @@ BROADCAST_WORDS = 100_000
 
 
 def tokens(text: Column, pattern: str = TOKEN) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
+    """The matches that are not empty, in order."""
+    return F.array_remove(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1)), "")
 
 
 def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int, pattern: str = TOKEN) -> DataFrame:
     """(qid, key, score, rank) of corpus (key, text) for queries (qid, text), Okapi weights.
 
     idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one being a quarter of the mean over the whole vocabulary;
-    a query word counts as often as it occurs. Only query words' postings are joined; the vocabulary is reduced
-    to two sums. Hits of no positive score are left out.
+    a query word counts as often as it occurs. Hits of no positive score are left out.
+
+    A document gives each of its words once and the empty word with its length, so that one aggregation, combined
+    before its shuffle, has the document frequencies and the total length. Only query words' postings are shuffled.
     """
     docs = corpus.select("key", tokens(F.col("text"), pattern).alias("words"))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_len"))
-    postings = docs.select("key", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("key", "len", "word").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("word").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(sizes)).select("word", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    n_words = F.size("words").alias("len")
+    once = docs.select(n_words, F.explode(F.concat(F.array_distinct("words"), F.array(F.lit("")))).alias("word")).filter("word is not null")
+    df = once.groupBy("word").agg(F.sum(F.when(F.col("word") == "", F.col("len")).otherwise(1)).alias("df"))
+    total = df.agg(F.max(F.when(F.col("word") == "", F.col("df"))).alias("total"))
+    sizes = total.join(corpus.agg(F.count("*").alias("n"))).select("n", (F.col("total") / F.col("n")).alias("avg_len"))  # a row each
+    raw = df.join(F.broadcast(sizes)).select("word", F.when(F.col("word") != "", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("mean"))
     idf = raw.join(F.broadcast(mean)).select("word", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("qid", F.explode(tokens(F.col("text"), pattern)).alias("word")).groupBy("qid", "word").agg(F.count("*").alias("times"))
     weighted = asked.join(idf, "word").select("qid", "word", (F.col("times") * F.col("idf")).alias("weight"))
     words = asked.select("word").distinct()
     few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    wanted = docs.select("key", F.size("words").alias("len"), F.explode("words").alias("word")).join(F.broadcast(words) if few else words, "word", "left_semi")
+    wanted = docs.select("key", n_words, F.explode("words").alias("word")).join(F.broadcast(words) if few else words, "word", "left_semi")
     wanted = wanted.groupBy("key", "len", "word").agg(F.count("*").alias("tf")).join(F.broadcast(sizes))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = wanted.join(weighted, "word").groupBy("qid", "key").agg(F.sum(part).alias("score")).filter("score > 0")

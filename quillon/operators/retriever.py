@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.functions.text import first_present
-from quillon.operators.answer import evidence_score
+from quillon.operators.answer import answer, evidence_score
 from quillon.operators.lexical import B, EPSILON, K1, TOKEN, bm25_top_k, tokens
 from quillon.operators.metadata import period_matches, year_matches
 from quillon.operators.query import compare_subqueries, metric_keywords
-from quillon.operators.ranking import fuse, top_k
+from quillon.operators.ranking import first_of, fuse, top_k
 
 
 def chunk_company(company_short: Column, company: Column, doc_title: Column, doc_id: Column, source_file: Column) -> Column:
@@ -114,3 +117,18 @@ def retrieve_by_type(parsed: DataFrame, chunks: DataFrame, dense: DataFrame, k:
     compared = retrieve_compare(parsed.filter("question_type = 'compare'"), chunks, dense, k_each, arm_k, pattern).withColumn("question_type", F.lit("compare"))
     names = ["qid", "question_type", "sub_idx", "key", "score", "rank"]
     return hits.select(*names).unionByName(compared.select(*names))
+
+
+def merged_evidence(hits: DataFrame, max_evidences: int = 6) -> DataFrame:
+    """retrieve_by_type's hits as one list for each question: sub-queries in turn, each chunk at its first place."""
+    at = F.coalesce("sub_idx", F.lit(0))
+    once = first_of(hits, ["qid", "key"], [at, F.col("rank")])
+    order = F.row_number().over(Window.partitionBy("qid").orderBy(at, "rank"))
+    return once.withColumn("rank", order).filter(F.col("rank") <= max_evidences).select("qid", "key", "score", "rank")
+
+
+def answer_questions(parsed: DataFrame, chunks: DataFrame, dense: DataFrame, generator: Callable[[Column, Column], Column] | None = None, k: int = 5, k_each: int = 3, max_evidences: int = 6, arm_k: int = 50, pattern: str = TOKEN) -> DataFrame:
+    """parsed questions answered from their own routed evidence; those without evidence are refused."""
+    merged = merged_evidence(retrieve_by_type(parsed, chunks, dense, k, k_each, arm_k, pattern), max_evidences)
+    rows = merged.join(chunks.select("key", chunk_text(F.col("text")).alias("content")), "key")
+    return answer(rows, parsed.select("qid", "question_type", "query"), generator)

@@ -1,5 +1,6 @@
 """The registered queries of the retrieval operators and their SQL."""
 
+from quillon.plans import composed  # noqa: F401  registers its queries
 from quillon.plans.retrieval import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -139,24 +139,35 @@ def garbled_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.garbled_ratio(F.col("text")), 6).alias("ratio"))
 
 
-SOFT_SQL = r"""recursive step as (
-  select doc_id, text, 0 as start from documents where length(text) > 0
+def _taken(size: str) -> str:
+    """How much a chunk takes of its window, win, which has `size` characters unless it is the last."""
+    marks = (r"\n\n", "[。！？；]", "[.!?;]", r"\n", "[，,]")
+    ends = [f"length(regexp_extract(win, '(?s)^(.*{m})', 1))" for m in marks]
+    return f"case when start + {size} >= length(text) then length(win) " + " ".join(f"when {e} >= cast(floor(0.6 * {size}) as int) then {e}" for e in ends) + " else length(win) end"
+
+
+def _soft_sql(source: str) -> str:
+    """step: the windows of a table (doc_id, text, size, overlap), each after the last."""
+    return f"""step as (
+  select doc_id, text, size, overlap, 0 as start from {source} where length(text) > 0
   union all
-  select doc_id, text, nxt from (
-    select doc_id, text, start, case when start + 1024 >= length(text) then length(text) when start + taken - 50 > start then start + taken - 50 else start + taken end as nxt
-    from (select *, case
-        when start + 1024 >= length(text) then length(win)
-        when length(regexp_extract(win, '(?s)^(.*\n\n)', 1)) >= 614 then length(regexp_extract(win, '(?s)^(.*\n\n)', 1))
-        when length(regexp_extract(win, '(?s)^(.*[。！？；])', 1)) >= 614 then length(regexp_extract(win, '(?s)^(.*[。！？；])', 1))
-        when length(regexp_extract(win, '(?s)^(.*[.!?;])', 1)) >= 614 then length(regexp_extract(win, '(?s)^(.*[.!?;])', 1))
-        when length(regexp_extract(win, '(?s)^(.*\n)', 1)) >= 614 then length(regexp_extract(win, '(?s)^(.*\n)', 1))
-        when length(regexp_extract(win, '(?s)^(.*[，,])', 1)) >= 614 then length(regexp_extract(win, '(?s)^(.*[，,])', 1))
-        else length(win) end as taken from (select *, substring(text, start + 1, 1024) as win from step))
+  select doc_id, text, size, overlap, nxt from (
+    select *, case when start + size >= length(text) then length(text) when start + taken - overlap > start then start + taken - overlap else start + taken end as nxt
+    from (select *, {_taken('size')} as taken from (select *, substring(text, start + 1, size) as win from step))
   ) where nxt < length(text)
 )"""
 
 
-@registered(f"with {SOFT_SQL} select doc_id, cast(start as int) as start from step")
+CHUNK_SQL = rf"""clean as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^[^\S\n]+|[^\S\n]+$', '', 'g'), '^\s+|\s+$', '', 'g') as text from documents),
+sized as (select *, unnest(sizes).size as size, unnest(sizes).overlap as overlap from clean, (select SIZES as sizes)),
+{_soft_sql('sized')},
+cuts as (select doc_id, size, overlap, start, regexp_replace(left(win, {_taken('size')}), '^\s+|\s+$', '', 'g') as content from (select *, substring(text, start + 1, size) as win from step)),
+chunks as (select *, row_number() over (partition by doc_id, size, overlap order by start) as n from cuts where length(content) >= 30)"""
+ONE_SIZE = CHUNK_SQL.replace("SIZES", "[{'size': 1024, 'overlap': 50}]")
+GRID = CHUNK_SQL.replace("SIZES", str([{"size": s, "overlap": o} for s in (256, 512, 1024) for o in (50, 100, 200)]))
+
+
+@registered(f"with recursive src as (select doc_id, text, 1024 as size, 50 as overlap from documents), {_soft_sql('src')} select doc_id, cast(start as int) as start from step")
 def chunk_windows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.explode(chunking.windows(F.coalesce("text", F.lit("")), 1024, 50)).alias("w")).select("doc_id", "w.start")
@@ -168,12 +179,12 @@ def chunk_fixed(spark, sf_dir):
     return docs.select("doc_id", F.explode(chunking.windows(F.coalesce("text", F.lit("")), 512, 100, soft=False)).alias("w")).select("doc_id", "w.start", "w.content")
 
 
-@registered()
+@registered(f"with recursive {ONE_SIZE} select cast(doc_id as varchar) as doc_id, printf('%d_text_%04d', doc_id, n) as chunk_id, 'text' as chunk_type, content, cast(length(content) as int) as char_len, cast(1 as int) as source_segment_index, cast(size as int) as chunk_size, cast(overlap as int) as overlap from chunks")
 def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents"))
 
 
-@registered()
+@registered(f"with recursive {GRID} select cast(size as int) as chunk_size, cast(overlap as int) as overlap, count(*) as total_chunks, count(*) as text_chunks, cast(0 as bigint) as table_chunks, round(avg(length(content)), 2) as avg_len, cast(min(length(content)) as int) as min_len, cast(max(length(content)) as int) as max_len from chunks group by all")
 def chunk_grid_stats(spark, sf_dir):
     return chunking.chunk_stats(chunking.chunk_grid(table(spark, sf_dir, "documents")), "chunk_size", "overlap")
 
@@ -225,8 +236,9 @@ def _routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(item.alias("qid"), F.col("text").alias("query"), company.alias("company_short"), year.alias("year"), period.alias("period"), F.lit("").alias("metric"))
 
 
-ROUTE_SQL = """
-q as (select item_id as qid, text as query, case when item_id % 100 = 40 then '' else 'src' || (item_id % 37) end as company, case when item_id % 60 = 0 then '' else cast(2020 + item_id % 3 as varchar) end as year, case when item_id % 40 = 0 then 'annual' else 'q3' end as period from benchmark where item_id % 20 = 0),
+ROUTED_SQL = """
+q as (select item_id as qid, text as query, case when item_id % 100 = 40 then '' else 'src' || (item_id % 37) end as company, case when item_id % 60 = 0 then '' else cast(2020 + item_id % 3 as varchar) end as year, case when item_id % 40 = 0 then 'annual' else 'q3' end as period from benchmark where item_id % 20 = 0),"""
+ROUTE_SQL = ROUTED_SQL + """
 c as (select doc_id as key, text, source, cast(2020 + doc_id % 3 as varchar) as year, case lang when 'en' then 'annual' when 'de' then 'q1' else '' end as period from documents),
 hits as (select qid, key, case when c.period = '' or c.period = q.period then 0 else 1 end as level from q join c on (q.company <> '' and c.source = q.company and (q.year = '' or c.year = q.year)) or (q.company = '' and q.year <> '' and c.year = q.year)),
 best as (select qid, min(level) as m from hits group by qid),
@@ -294,8 +306,17 @@ def file_name_metadata(spark, sf_dir):
     return found.select("c_custkey", "name", "m.year", "m.period", "m.doc_type", "m.company_short")
 
 
-@registered()
-def parse_query(spark, sf_dir):
+QUESTION_SQL = f"""
+named as (select n_nationkey as k, n_name || '公司' as alias, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as short from nation),
+o as (select o_orderkey as qid, (c_nationkey + 1 + o_orderkey % 24) % 25 as other, c_nationkey as own, cast(year(o_orderdate) + 20 as varchar) as year, quarter(o_orderdate) as q, {list(Q.METRICS)}[1 + o_orderkey % {len(Q.METRICS)}] as m from orders join customer on o_custkey = c_custkey),
+texts as (select qid, year, case q when 1 then 'q1' when 2 then 'semi_annual' when 3 then 'q3' else 'annual' end as period,
+  case when qid % 10 = 7 then '' when qid % 3 = 0 then a.short || '|' || b.short else a.short end as companies, case when qid % 3 = 1 then '' else m end as metric,
+  case when qid % 10 = 7 then '无名公司' when qid % 3 = 0 then a.alias || '和' || b.alias else a.alias end || year || '年' || ['第一季度', '半年度', '第三季度', '年度'][q] || case qid % 3 when 0 then m || '谁更高' when 1 then '主要趋势' else m || '是多少' end as query
+  from o join named a on a.k = own join named b on b.k = other),
+parsed as (select qid, query, companies, split_part(companies, '|', 1) as company_short, year, period, metric, case when contains(companies, '|') then 'compare' when qid % 3 = 1 then 'summary' else 'fact' end as question_type from texts)"""
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question for each order: year (20 years on) and period from its date, metric and wording by its key, its customer's nation as company.
 
     Of three orders one asks to compare with another nation and one for a summary; every tenth names no known company.
@@ -315,9 +336,14 @@ def parse_query(spark, sf_dir):
     return Q.parse_queries(asked, aliases)
 
 
-@registered()
+@registered(f"with {QUESTION_SQL} select * from parsed")
+def parse_query(spark, sf_dir):
+    return _questions(spark, sf_dir).withColumn("companies", F.array_join("companies", "|"))
+
+
+@registered(f"with {QUESTION_SQL} select qid, cast(i as int) as sub_idx, split_part(companies, '|', i + 1) as company, split_part(companies, '|', i + 1) || case when metric = '' then ' ' || query else year || '年' || metric || '是多少？' end as sub_query from parsed, (select unnest([0, 1]) as i) where question_type = 'compare'")
 def compare_subqueries(spark, sf_dir):
-    return Q.compare_subqueries(parse_query(spark, sf_dir))
+    return Q.compare_subqueries(_questions(spark, sf_dir))
 
 
 RERANK_SQL = FUSED_SQL + """,
@@ -338,11 +364,12 @@ def rerank_topk(spark, sf_dir):
     return _rounded(A.rerank(_with_text(spark, sf_dir), 5), "reranker_score").select("qid", "key", "hybrid_rank", "reranker_score", "rank")
 
 
-@registered()
+@registered(f"""with {RERANK_SQL}, flat as (select *, regexp_replace(regexp_replace(coalesce(d_content, ''), '\\s+', ' ', 'g'), '^ | $', '', 'g') as f from reranked where new_rank = 1)
+select item_id as qid, case when f is null then '{A.REFUSAL}' when length(f) <= 900 then f || ' [E1]' else rtrim(left(f, 900)) || '... [E1]' end as answer, f is null as refused, case when f is null then '' else 'E1' end as citations, true as passed from benchmark left join flat on qid = item_id where item_id % 20 = 0""")
 def answers(spark, sf_dir):
     """Evidence-bound answers of the template generator, guarded by their citations."""
     hits = A.rerank(_with_text(spark, sf_dir), 5).select("qid", "key", "content", F.col("reranker_score").alias("score"), "rank")
-    return A.answer(hits, _asked(spark, sf_dir).withColumnRenamed("text", "query")).select("qid", "answer", "refused", F.col("citation_check.citations").alias("citations"), F.col("citation_check.passed").alias("passed"))
+    return A.answer(hits, _asked(spark, sf_dir).withColumnRenamed("text", "query")).select("qid", "answer", "refused", F.array_join("citation_check.citations", "|").alias("citations"), F.col("citation_check.passed").alias("passed"))
 
 
 @registered("""with t as (select event_id, case event_id % 5 when 0 then 'So [E1] and [E3] [E1].' when 1 then 'None.' when 2 then 'The evidence at hand does not answer this question. ' when 3 then 'See [E1, E2] [E9].' else 'See [E2].' end as a, event_id % 5 as m from events)
