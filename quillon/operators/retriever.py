@@ -74,10 +74,12 @@ def bm25_in_candidates(corpus: DataFrame, queries: DataFrame, candidates: DataFr
 
 def dense_in_candidates(found: DataFrame, routed: DataFrame, others: DataFrame, k: int) -> DataFrame:
     """The k best of the dense hits (qid, key, score) of the whole corpus that are candidates; fewer where the hits hold fewer."""
-    kept = found.join(routed.select("qid", "key"), ["qid", "key"], "left_semi").unionByName(found.join(others, "qid", "left_semi"))
+    pairs, whole = routed.select("qid", "key", F.lit(True).alias("routed")).distinct(), others.select("qid", F.lit(True).alias("whole"))
+    kept = found.join(pairs, ["qid", "key"], "left").join(whole, "qid", "left").filter("routed or whole")
     return top_k(kept.select("qid", "key", "score"), k)
 
 
+
 def retrieve(asked: DataFrame, chunks: DataFrame, found: DataFrame, k: int = 10, arm_k: int = 50, pattern: str = TOKEN) -> DataFrame:
     """(qid, key, score, rank): the evidence of queries (qid, query, company_short, year, period, metric) among chunks (key, text, companies, year, period).
 
@@ -89,12 +91,15 @@ def retrieve(asked: DataFrame, chunks: DataFrame, found: DataFrame, k: int = 10,
     texts, corpus = asked.select("qid", F.col("query").alias("text")), chunks.select("key", "text")
     lexical = bm25_in_candidates(corpus, texts.join(others, "qid", "left_anti"), routed, arm_k, pattern).select("qid", "key", "score", "rank")
     lexical = lexical.unionByName(bm25_top_k(corpus, texts.join(others, "qid", "left_semi"), arm_k, pattern).select("qid", "key", "score", "rank"))
-    both = fuse(dense_in_candidates(found, routed, others, arm_k), lexical, arm_k).select("qid", "key", "score", F.col("rank").alias("hybrid_rank"))
+    both = fuse(dense_in_candidates(found, routed, others, arm_k), lexical, 2 * arm_k).select("qid", "key", "score", "bm25_score", "bm25_rank", F.col("rank").alias("hybrid_rank"))
     rows = both.join(corpus, "key").join(asked.select("qid", "query", metric_keywords(F.col("metric")).alias("keywords")), "qid")
-    scored = rows.withColumn("score", evidence_score(F.col("query"), chunk_text(F.col("text")), F.col("keywords"), F.col("score"))).filter("score > 0")
-    ranked = top_k(scored, k, tie=("hybrid_rank", "key")).select("qid", "key", "score", "rank")
-    instead = lexical.filter(F.col("rank") <= k).join(ranked.select("qid").distinct(), "qid", "left_anti")
-    return ranked.unionByName(instead)
+    signal = F.when(F.col("hybrid_rank") <= arm_k, evidence_score(F.col("query"), chunk_text(F.col("text")), F.col("keywords"), F.col("score")))
+    scored = rows.select("qid", "key", "bm25_score", "bm25_rank", "hybrid_rank", F.coalesce(signal, F.lit(0.0)).alias("signal"))
+    said = F.col("said")
+    scored = scored.withColumn("said", F.max(F.col("signal") > 0).over(Window.partitionBy("qid"))).filter(F.when(said, F.col("signal") > 0).otherwise(F.col("bm25_rank") <= k))
+    chosen = scored.withColumns({"score": F.when(said, F.col("signal")).otherwise(F.col("bm25_score")), "at": F.when(said, F.col("hybrid_rank")).otherwise(F.col("bm25_rank"))})
+    return top_k(chosen, k, tie=("at", "key")).select("qid", "key", "score", "rank")
+
 
 
 def retrieve_compare(parsed: DataFrame, chunks: DataFrame, dense: DataFrame, k_each: int = 5, arm_k: int = 50, pattern: str = TOKEN) -> DataFrame:
