@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,13 +102,13 @@ def index_size_mb(vectors: DataFrame) -> DataFrame:
 
 def embed(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], text_col: str = "content", batch: int = 32) -> DataFrame:
     """texts with vector, by an encoder that is called on batches in the workers and normalised after it."""
-    from quillon.functions.vectors import l2_normalize
 
     @F.pandas_udf("array<float>")
     def encode(column: pd.Series) -> pd.Series:
-        out: list[list[float]] = []
+        out: list[np.ndarray] = []
         for i in range(0, len(column), batch):
-            out += encoder(column.iloc[i : i + batch].fillna("").tolist())
+            x = np.asarray(encoder(column.iloc[i : i + batch].fillna("").tolist()), np.float64)
+            out.extend((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32))
         return pd.Series(out, index=column.index, dtype=object)
 
-    return texts.withColumn("vector", l2_normalize(encode(F.trim(text_col))))
+    return texts.withColumn("vector", encode(F.trim(text_col)))

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import answer, chunking, dense, evaluate, layout, metadata, query, ranking, retriever
 from quillon.plans.catalog import ORACLE_SQL, QUERIES
+from quillon.plans.retrieval import _questions
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["bm25_topk", "dense_topk", "hybrid_topk", "truncate_text", "chunk_windows", "route_relaxed", "file_name_metadata", "citation_check", "metrics_by_type", "table_to_markdown", "route_chunks", "bm25_routed", "retrieve_fact"]
+FAST = ["bm25_topk", "dense_topk", "hybrid_topk", "truncate_text", "chunk_windows", "route_relaxed", "file_name_metadata", "citation_check", "metrics_by_type", "table_to_markdown", "route_chunks", "bm25_routed", "retrieve_fact", "retrieve_compare", "answers_routed", "chunk_documents", "chunk_grid_stats", "standard_chunks", "parse_query", "compare_subqueries", "item_ranks", "experiment_summary", "index_reports"]
 
 
 @pytest.mark.parametrize("name", FAST)
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in "nation customer orders events documents embeddings benchmark".split():
+    for t in "nation customer orders lineitem events documents embeddings benchmark".split():
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
@@ -90,7 +91,7 @@ def test_pq_recall_is_registered(spark):
 
 
 def test_questions_grow_with_orders(spark):
-    parsed = QUERIES["parse_query"](spark, DATA).cache()
+    parsed = _questions(spark, DATA).cache()
     assert parsed.count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
     assert {r.question_type for r in parsed.select("question_type").distinct().collect()} == {"compare", "summary", "fact"}
     assert {r.period for r in parsed.select("period").distinct().collect()} == {"q1", "semi_annual", "q3", "annual"}
@@ -131,3 +132,37 @@ def test_items_are_evaluated(spark):
     assert {r.qid: (r.doc_rank, r.evidence_rank) for r in evaluate.item_ranks(items, hits).collect()} == {1: (1, 2), 2: (2, 2), 3: (-1, -1)}
     row = spark.range(1).select(evaluate.experiment_sizes(F.lit("a/all_cs1024_ov50.jsonl")).alias("e"), metadata.document_title(*map(F.lit, ("甲", "2023", "q1", "", "t", "f.pdf", "d"))).alias("a"), metadata.document_title(*map(F.lit, ("甲", "", "q1", "", "", "x/f.pdf", "d"))).alias("b")).first()
     assert tuple(row.e) == ("all_cs1024_ov50", 1024, 50) and (row.a, row.b) == ("甲2023年第一季度报告", "f")
+
+
+def test_windows_of_any_text(spark):
+    texts = [(0, None), (1, ""), (2, "a"), (3, "x" * 100), (4, "ab。" * 40), (5, "𝒳" * 50), (6, "\n\n" * 30)]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    for size, overlap, soft in ((10, 3, True), (10, 9, True), (10, 0, False), (7, 6, False)):
+        got = {r.id: r.w for r in rows.select("id", chunking.windows(F.col("text"), size, overlap, soft).alias("w")).collect()}
+        assert got[0] is None and got[1] == []
+        for i, text in texts[2:]:
+            starts, ends = [w.start for w in got[i]], [w.start + len(w.content) for w in got[i]]
+            assert all(text[w.start :].startswith(w.content) and 0 < len(w.content) <= size for w in got[i])
+            assert starts[0] == 0 and ends[-1] == len(text) and starts == sorted(set(starts))
+            assert all(b == (e - overlap if e - overlap > a else e) for a, e, b in zip(starts, ends, starts[1:]))
+    with pytest.raises(ValueError):
+        chunking.windows(F.col("text"), 5, 5)
+
+
+def test_bm25_of_empty_and_null_texts(spark):
+    from quillon.operators.lexical import bm25_top_k
+
+    corpus = spark.createDataFrame([(1, "red 红色 fox"), (2, None), (3, ""), (4, "blue fox"), (5, "green"), (6, "green")], "key int, text string")
+    asked = spark.createDataFrame([(1, "red"), (2, None), (3, "green green"), (4, "unknown")], "qid int, text string")
+    got = [(r.qid, r.key) for r in bm25_top_k(corpus, asked, 5).orderBy("qid", "rank").collect()]
+    assert got == [(1, 1), (3, 5), (3, 6)]
+    assert bm25_top_k(corpus.limit(0), asked, 5).count() == 0 and bm25_top_k(corpus, asked.limit(0), 5).count() == 0
+
+
+def test_comparisons_are_answered_from_both_companies(spark):
+    chunks = spark.createDataFrame([(1, "A 营业收入 10", ["A"], "2023", "annual"), (2, "B 营业收入 9", ["B"], "2023", "annual")], "key int, text string, companies array<string>, year string, period string")
+    rows = [(1, "甲公司和乙公司2023年营业收入谁更高"), (2, "甲公司2023年营业收入是多少")]
+    parsed = query.parse_queries(spark.createDataFrame(rows, "qid int, query string"), {"甲公司": "A", "乙公司": "B"})
+    hits = spark.createDataFrame([(q, k, 1.0) for q in (1, 2) for k in (1, 2)], "qid int, key int, score double")
+    got = {r.qid: ([e.chunk_id for e in r.evidences], r.refused, r.question_type) for r in retriever.answer_questions(parsed, chunks, hits).collect()}
+    assert got == {1: (["1", "2"], False, "compare"), 2: (["1"], False, "fact")}
