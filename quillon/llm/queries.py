@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, langid, licenses, lm, packing, quality, simhash, sketch, warc
+from quillon.llm import bpe, chat, langid, licenses, lm, merkle, packing, quality, simhash, sketch, trie, warc, windows
 from quillon.llm.shared import WORD, id_remainder
 
 
@@ -74,6 +74,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(_read(spark, sf_dir, "conversations"))
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.packed_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,9 +103,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_chat_format": op10_chat_format,
+    "op11_window_packing": op11_window_packing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 
+
+def _crc32_sql(number: str) -> str:
+    """The unsigned CRC-32 of a number's decimal text, bit by bit."""
+    octets = f"list_transform(range(1, length({number}::varchar) + 1), lambda i: ascii(substring({number}::varchar, i, 1))::bigint)"
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda a, b: {step}), 4294967295)"
+
+
+def _whole(number: str, by: int) -> str:
+    return f"cast(({number} - {number} % {by}) / {by} as bigint)"
+
+
+def _tree_sql(name: str, levels: int = 6) -> str:
+    """The levels over a table name0 (g, pos, n, d), each with children: a tree of at most 16 to the power of levels leaves a group."""
+    one = f"{{name}}{{i}} as (select g, {_whole('pos', 16)} as pos, {_whole('(n + 15)', 16)} as n, list(d order by pos) as kids, sha256(string_agg(d, '' order by pos)) as d from {{name}}{{j}} where n > 1 group by g, {_whole('pos', 16)}, n)"
+    tops = " union all ".join(f"select g, d from {name}{i} where n = 1" for i in range(levels + 1))
+    return ",\n".join([*[one.format(name=name, i=i, j=i - 1) for i in range(1, levels + 1)], f"{name}_top as ({tops})"])
+
+
+def _way_sql(name: str, rows: str, out: str, levels: int = 6) -> str:
+    """rows (g, pos, ...) with the siblings of each level, from the bottom up."""
+    digit = lambda i: f"({_whole('r.pos', 16 ** (i - 1))} % 16)"
+    sides = ", ".join(f"{{'l': array_to_string({name}{i}.kids[1:{digit(i)}], ''), 'r': array_to_string({name}{i}.kids[{digit(i)} + 2:], ''), 'k': {name}{i}.kids is not null}}" for i in range(1, levels + 1))
+    joins = " ".join(f"left join {name}{i} on {name}{i}.g is not distinct from r.g and {name}{i}.pos = {_whole('r.pos', 16**i)}" for i in range(1, levels + 1))
+    return f"{out} as (select r.*, list_filter([{sides}], lambda s: s.k) as way from {rows} r {joins})"
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda v: f"coalesce(strlen({v}::varchar) || ':' || {v}::varchar, '-')"
+    return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _fold_sql(start: str) -> str:
+    return f"list_reduce(list_concat([{{'l': '', 'r': '', 'k': {start}}}], list_transform(way, lambda s: {{'l': s.l, 'r': s.r, 'k': ''}})), lambda a, s: {{'l': '', 'r': '', 'k': sha256(s.l || a.k || s.r)}}).k"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": f"""
 with words as (
@@ -130,4 +181,25 @@ with words as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and (source is null or source not in (select source from bad)) as kept
 from failed""",
+    "op12_prefix_trie": f"""
+with t as (select conv_id as c, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} as m, turn from conversations where conv_id is not null),
+seq as (select c, list(m order by turn nulls first, m.r, m.x) as s, {_crc32_sql('c')} % 6 as h from t group by c),
+whole as (select a.c, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) as s from seq a left join seq b on b.c = a.c - a.c % 100),
+member as (select c, d, s[1:d] as k, len(s) = d as ends from (select c, s, unnest(range(0, len(s) + 1)) as d from whole)),
+node as (select k, d, min(c) as c, count(*) as n, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as e from member group by k, d),
+kid as (select k[1:d - 1] as k, count(*) as n from node where d > 0 group by all),
+held as (select node.k, d, node.c, node.n, e, coalesce(kid.n, 0) as kids, case when d = 0 then 0 else (node.n - 1) * length(node.k[d].x) end as w from node left join kid on node.k = kid.k),
+up as (select k[1:j] as k, sum((kids = 0)::bigint) as leaves, sum(w) as saved from (select *, unnest(range(0, d + 1)) as j from held) group by k[1:j])
+select h.c as conv_id, cast(h.d as bigint) as depth, p.c as parent_conv_id, h.n as n_convs, cast(h.kids as bigint) as n_children, cast(up.leaves as bigint) as n_leaves, cast(up.saved as bigint) as saved_tokens, h.e as ends_sha256
+from held h join up on h.k = up.k left join node p on h.d > 0 and p.k = h.k[1:h.d - 1]""",
+    "op13_merkle_manifest": f"""
+with leaf0 as (select source as g, row_number() over (partition by source order by doc_id nulls first, {_leaf_sql('text')}) - 1 as pos, count(*) over (partition by source) as n, {_leaf_sql('text')} as d, doc_id,
+  case when {_crc32_sql('doc_id')} % 5 = 0 then {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as altered from documents),
+{_tree_sql('leaf')},
+head0 as (select 0 as g, row_number() over (order by g nulls first) - 1 as pos, count(*) over () as n, d, g as source from leaf_top),
+{_tree_sql('head')},
+{_way_sql('leaf', 'leaf0', 'low')},
+{_way_sql('head', 'head0', 'high')},
+whole as (select low.doc_id, low.d as leaf, low.altered, high.d as subroot, head_top.d as root, list_concat(low.way, high.way) as way from low join high on low.g is not distinct from high.source, head_top)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s.l || s.r), '')) as proof_sha256, {_fold_sql('coalesce(altered, leaf)')} as folded_root, {_fold_sql('coalesce(altered, leaf)')} = root as verified from whole""",
 }
