@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.vectors import dot, l2_norm, l2_normalize
 from quillon.operators import answer as A
-from quillon.operators import chunking, dense, evaluate, layout, metadata, ranking, retriever
+from quillon.operators import chunking, dense, evaluate, graph, layout, metadata, ranking, retriever
 from quillon.operators import query as Q
 from quillon.operators.lexical import bm25_top_k
 from quillon.plans.session import table
@@ -479,6 +479,21 @@ def pq_recall(spark, sf_dir):
     return _recall(_dense(spark, sf_dir), pq_topk(spark, sf_dir))
 
 
+@registered()
+def hnsw_topk(spark, sf_dir):
+    """Hits of the layered graphs, with the number of products that each query took; a test holds them against the exact search."""
+    index = graph.graph_index(_vectors(spark, sf_dir).select("key", "vector"))
+    return _rounded(graph.graph_top_k(_vector_queries(spark, sf_dir).select("qid", "vector"), index, 10), "score")
+
+
+@registered()
+def hnsw_recall(spark, sf_dir):
+    """Recall of the graphs against the exact search, and the share of all products that they took."""
+    found = hnsw_topk(spark, sf_dir)
+    share = found.filter("rank = 1").agg(F.avg("products").alias("products")).join(_vectors(spark, sf_dir).agg(F.count("*").alias("n")))  # a row each
+    return _recall(_dense(spark, sf_dir), found).join(share.select(F.round(F.col("products") / F.col("n"), 6).alias("share_of_products")))
+
+
 @registered("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def windowed_events(spark, sf_dir):
     from quillon.streaming.incremental import windowed_counts
