@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from quillon.functions.text import clean_cell, looks_like_toc
 
+#: Margins of headers and footers, and the height of a low block; the share of a text that a table covers,
+#: and the overlap of one table found twice; the share of a page's width that is an indent, and the most columns.
 HEADER, FOOTER, LOW_BLOCK = 80.0, 80.0, 20.0
 OVERLAP, SAME_TABLE = 0.3, 0.7
 SNAP, MAX_COLUMNS = 0.12, 4
@@ -159,7 +161,7 @@ def table_to_markdown(rows: Column) -> Column:
     shown = clean_rows(rows)
     width = F.array_max(F.transform(shown, F.size))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
     lines = F.transform(shown, line)
     return F.when(F.size(shown) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))), "\n")).otherwise("")
 

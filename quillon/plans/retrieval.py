@@ -440,7 +440,7 @@ def reading_order(spark, sf_dir):
     return layout.reading_order(lines).select("doc_id", "line", "column_no", "block_seq")
 
 
-@registered("select o_custkey, '| order | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) order by o_orderkey) as markdown, count(*) >= 3 as valid from orders group by o_custkey")
+@registered("select o_custkey, '| order | status |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) order by o_orderkey) as markdown, count(*) >= 3 as valid from orders group by o_custkey")
 def table_to_markdown(spark, sf_dir):
     """A table for each customer, a row for each order: valid from three orders on, as a table needs three cells with digits."""
     row = F.struct("o_orderkey", F.array(F.col("o_orderkey").cast("string"), "o_orderstatus").alias("cells"))

@@ -60,7 +60,7 @@ def test_layout_pieces(spark):
     assert layout.column_labels(x, 600).tolist() == [0, 0, 1, 1, 0] and layout.column_labels(np.array([5.0]), 600).tolist() == [0]
     rows = spark.createDataFrame([([["h", "v|w"], [None, " "], ["a", "1"], ["b"], ["c", "2元"], ["d", "3"]],)], "rows array<array<string>>")
     r = rows.select(layout.table_to_markdown(F.col("rows")).alias("m"), layout.is_valid_table(F.col("rows")).alias("ok")).first()
-    assert r.m.split("\n")[:3] == ["| h | v\\|w |", "| --- | --- |", "| a | 1 |"] and r.ok
+    assert r.m.split("\n")[:3] == ["| h | v\\|w |", "|---|---|", "| a | 1 |"] and r.ok
 
 
 def test_overrides_win(spark):
