@@ -20,7 +20,7 @@ def tokens(text: Column, pattern: str = TOKEN) -> Column:
 
 
 def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int, pattern: str = TOKEN) -> DataFrame:
-    """(qid, key, score, rank) of corpus (key, text) for queries (qid, text), Okapi weights.
+    """(qid, key, score, rank) of corpus (key, text) for queries (qid, text), Okapi weights. Where a side has words, an array, they are its tokens.
 
     idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one being a quarter of the mean over the whole vocabulary;
     a query word counts as often as it occurs. Hits of no positive score are left out.
@@ -28,7 +28,8 @@ def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int, pattern: str = TOK
     A document gives each of its words once and the empty word with its length, so that one aggregation, combined
     before its shuffle, has the document frequencies and the total length. Only query words' postings are shuffled.
     """
-    docs = corpus.select("key", tokens(F.col("text"), pattern).alias("words"))
+    own = lambda side: F.col("words") if "words" in side.columns else tokens(F.col("text"), pattern)
+    docs = corpus.select("key", own(corpus).alias("words"))
     n_words = F.size("words").alias("len")
     once = docs.select(n_words, F.explode(F.concat(F.array_distinct("words"), F.array(F.lit("")))).alias("word")).filter("word is not null")
     df = once.groupBy("word").agg(F.sum(F.when(F.col("word") == "", F.col("len")).otherwise(1)).alias("df"))
@@ -37,7 +38,7 @@ def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int, pattern: str = TOK
     raw = df.join(F.broadcast(sizes)).select("word", F.when(F.col("word") != "", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("mean"))
     idf = raw.join(F.broadcast(mean)).select("word", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    asked = queries.select("qid", F.explode(tokens(F.col("text"), pattern)).alias("word")).groupBy("qid", "word").agg(F.count("*").alias("times"))
+    asked = queries.select("qid", F.explode(own(queries)).alias("word")).groupBy("qid", "word").agg(F.count("*").alias("times"))
     weighted = asked.join(idf, "word").select("qid", "word", (F.col("times") * F.col("idf")).alias("weight"))
     words = asked.select("word").distinct()
     few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS

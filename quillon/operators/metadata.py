@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import extract_period, extract_year, first_present, normalize_text, present
+from quillon.operators.aliases import find_aliases
 from quillon.operators.ranking import relaxed
 
 FIELDS = ("doc_title", "doc_type", "source_type", "company", "company_short", "year", "period")
@@ -19,10 +20,11 @@ REPORT_TYPES = {
 }
 #: Names that are looked for in file names and titles, the more specific first; periods are in the queries' vocabulary.
 REPORTS = {name: REPORT_TYPES[name] for name in ("半年度报告", "第一季度报告", "第三季度报告", "季度报告", "年度报告")}
-#: Words of policy and research papers' names, and endings of company names, the longest first.
+#: Words of policy and research papers' names; endings of company names, and what a short name goes without, the first that fits.
 POLICY = "规划|通知|意见|指导意见|办法|管理办法|实施方案|方案|政策|条例|细则|决定|公告|蓝皮书|白皮书"
 RESEARCH = "行业研究|深度报告|证券研究|研报|研究报告|点评|策略"
-COMPANY_ENDS = ("股份有限公司", "集团有限公司", "有限责任公司", "控股集团", "有限公司", "股份公司", "集团", "公司")
+COMPANY_ENDS = ("股份有限公司", "有限责任公司", "有限公司", "集团股份有限公司", "集团有限公司", "公司")
+SHORTENED = ("新能源科技股份有限公司", "汽车电子股份有限公司", "集团股份有限公司", "股份有限公司", "有限责任公司", "集团有限公司", "有限公司", "公司")
 REPORT_TITLE = r"(20\d{2})\s*年\s*(年度报告|半年度报告|第一季度报告|第三季度报告|季度报告)"
 
 
@@ -43,7 +45,10 @@ def _by_report(name: Column, item: int) -> Column:
 
 def short_company(company: Column) -> Column:
     """Without the first ending that fits."""
-    return F.regexp_replace(company, f"({'|'.join(COMPANY_ENDS)})$", "")
+    out = F.when(F.lit(False), "")
+    for end in SHORTENED:
+        out = out.when(F.endswith(company, F.lit(end)), F.left(company, F.char_length(company) - len(end)))
+    return F.trim(out.otherwise(company))
 
 
 def clean_stem(file_name: Column) -> Column:
@@ -138,14 +143,11 @@ def route(pairs: DataFrame, strict: Column, without_period: Column, fallback: bo
 def apply_aliases(rows: DataFrame, text_col: str, aliases: Mapping[str, str] | DataFrame, out: str = "companies") -> DataFrame:
     """rows with the short names of all aliases in the text, in order of first place, without repeats.
 
-    A table of aliases (alias, short) is joined as one row; it is a small dimension.
+    A table of aliases (alias, short) is searched by an automaton of all of them, a mapping by an expression for each.
     """
     if isinstance(aliases, DataFrame):
-        listed = aliases.filter("alias <> ''").agg(F.collect_list(F.struct("alias", "short")).alias("__aliases"))
-        found = F.transform("__aliases", lambda x: F.struct(F.position(x["alias"], F.col(text_col)).alias("at"), (-F.length(x["alias"])).alias("n"), x["short"].alias("short")))
-        rows = rows.crossJoin(F.broadcast(listed))
-    else:
-        items = list(aliases.items())
-        found = F.array(*[F.struct(F.locate(a, F.col(text_col)).alias("at"), F.lit(-len(a)).alias("n"), F.lit(s).alias("short")) for a, s in items]) if items else F.array().cast("array<struct<at:int,n:int,short:string>>")
+        return find_aliases(rows, text_col, aliases, out)
+    items = list(aliases.items())
+    found = F.array(*[F.struct(F.locate(a, F.col(text_col)).alias("at"), F.lit(-len(a)).alias("n"), F.lit(s).alias("short")) for a, s in items]) if items else F.array().cast("array<struct<at:int,n:int,short:string>>")
     hits = F.sort_array(F.filter(found, lambda x: x["at"] > 0))
-    return rows.withColumn(out, F.array_distinct(F.transform(hits, lambda x: x["short"]))).drop("__aliases")
+    return rows.withColumn(out, F.array_distinct(F.transform(hits, lambda x: x["short"])))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from quillon.functions.text import extract_period, extract_year
 from quillon.operators.metadata import apply_aliases
 
-#: Metrics that queries ask for; the longest that occurs wins.
-METRICS = ("归属于上市公司股东的净利润", "经营活动产生的现金流量净额", "研发投入占营业收入比例", "经营活动现金流入", "主营业务收入", "基本每股收益", "动力电池销量", "储能电池销量", "正极材料销量", "归母净利润", "资产负债率", "风电发电量", "组件出货量", "营业收入", "研发费用", "研发投入", "资产总计", "保证借款", "汽车销量", "毛利率", "总资产", "销量", "出货量", "收入", "利润")
+#: Metrics that queries ask for.
+METRICS = (
+    "归属于上市公司股东的净利润", "经营活动产生的现金流量净额", "经营活动现金流入", "主营业务收入", "营业收入", "研发费用", "研发投入", "研发投入占营业收入比例", "毛利率", "资产负债率", "总资产", "资产总计", "归母净利润",
+    "基本每股收益", "风电发电量", "保证借款", "动力电池销量", "储能电池销量", "正极材料销量", "组件出货量", "汽车销量", "销量", "出货量", "收入", "利润",
+)
 #: Other names of metrics, by which evidence is ordered.
 METRIC_ALIASES = {
     "归母净利润": ("归母净利润", "归属于上市公司股东的净利润"),
@@ -40,8 +43,9 @@ SUMMARY = "总结|概括|如何描述|怎么看待|有哪些|主要|判断|趋
 
 
 def extract_metric(query: Column) -> Column:
+    """The longest that occurs, as a short one may be part of it."""
     out = F.when(F.lit(False), "")
-    for m in METRICS:
+    for m in sorted(METRICS, key=len, reverse=True):
         out = out.when(F.contains(query, F.lit(m)), m)
     return out.otherwise("")
 
