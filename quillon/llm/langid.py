@@ -1,10 +1,9 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams, FTRL-proximal, calibrated.
 
-Rows with a null language are not learned from, nor are those whose language is not among the MAX_LANGS most
-frequent ones (ties by name). A null text, or one without a letter, is `und` with score 0. Repeated rows count as
+Rows with a null language are not learned from; every other language is. A null text, or one without a letter, is `und` with score 0. Repeated rows count as
 often as they occur. With no labelled row at all every text is `und`. Equal probabilities go to the language that
 is first by name. Texts are read SLAB code points at a time, each lower-cased by itself, so that very long ones take
-no more memory. With few fitted rows the temperature comes from cross-validation, and with one row it is 1. Columns
+no more memory. The temperature comes from cross-validation, and with one fitted row it is 1. Columns
 other than the named ones are dropped by predict() except those asked for, whatever their names.
 """
 
@@ -26,13 +25,9 @@ from quillon.llm.shared import id_remainder, map_batches, unused
 DIMS = 1 << 15
 #: Most labelled rows that the classifier is fitted on; document frequencies cover all labelled rows.
 FIT_ROWS = 8000
-#: Languages that are learned, which bounds the model: DIMS x MAX_LANGS weights of 4 bytes.
-MAX_LANGS = 200
 EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.02, 0.02
-#: One fitted row in so many only calibrates.
-CALIBRATE_EVERY = 8
-#: Parts of a cross-validation, where fewer than CALIBRATE_EVERY x 10 rows are fitted.
-FOLDS = 4
+#: Parts of the cross-validation that calibrates.
+FOLDS = 2
 SLAB = 1 << 20
 
 
@@ -163,21 +158,12 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_calibrated(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, dims: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, biases and temperature: of many rows one in CALIBRATE_EVERY only calibrates; of few, each does by a model of the other folds."""
-
-    def held(fitted: tuple[np.ndarray, np.ndarray], aside: list) -> list[np.ndarray]:
-        return [x @ fitted[0][at] + fitted[1] for at, x, _ in aside]
-
-    if len(rows) >= 10 * CALIBRATE_EVERY:
-        aside = rows[::CALIBRATE_EVERY]
-        model = fit_ftrl([r for i, r in enumerate(rows) if i % CALIBRATE_EVERY], n_langs, dims)
-        logits = held(model, aside)
-    else:
-        model, aside, logits = fit_ftrl(rows, n_langs, dims), [], []
-        for k in range(min(FOLDS, len(rows)) if len(rows) > 1 else 0):
-            fold = rows[k::FOLDS]
-            logits += held(fit_ftrl([r for i, r in enumerate(rows) if i % FOLDS != k], n_langs, dims), fold)
-            aside += fold
+    """Weights and biases of all rows, and the temperature of models of the other folds, by which each row is judged."""
+    model, aside, logits = fit_ftrl(rows, n_langs, dims), [], []
+    for k in range(min(FOLDS, len(rows)) if len(rows) > 1 else 0):
+        weights, bias = fit_ftrl([r for i, r in enumerate(rows) if i % FOLDS != k], n_langs, dims)
+        logits += [x @ weights[at] + bias for at, x, _ in rows[k::FOLDS]]
+        aside += rows[k::FOLDS]
     return *model, best_temperature(np.array(logits), np.array([y for _, _, y in aside])) if aside else 1.0
 
 
@@ -187,11 +173,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Document frequencies are summed over all of them, at most dims numbers from each task. The fitted rows are
     drawn by a hash of their id, an even share for each language, fit_rows at most, and ordered by that hash over the
     language's odds, so that languages alternate in proportion; their sparse counts go to the one task that fits.
-    The driver gets the model: dims x languages numbers.
+    The driver gets the model: dims x languages numbers. The task that fits holds 20 bytes for each of these; the
+    number of languages is that of distinct names, which dims can be set against.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    counted = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    per_lang = {r["lang"]: r["count"] for r in counted.collect()}
+    per_lang = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language, as the model has
     langs = sorted(per_lang)
     if not langs:
         return Model([], np.zeros((dims, 0), np.float32), np.zeros(0, np.float32), np.ones(dims))
@@ -215,10 +201,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + total) / (1 + df)) + 1
 
     ticket = F.pmod(F.xxhash64(F.lit(7), F.col("id").cast("string")), F.lit(1 << 30)).alias("ticket")
-    odds = F.lit(0.0)
-    for lang in langs:
-        odds = F.when(F.col("lang") == lang, min(1.0, share / per_lang[lang])).otherwise(odds)
-    drawn = labelled.select("text", "lang", ticket, odds.alias("odds")).filter(F.col("ticket") < F.col("odds") * (1 << 30))
+    odds = docs.sparkSession.createDataFrame([(lang, min(1.0, share / n)) for lang, n in per_lang.items()], "lang string, odds double")
+    drawn = labelled.join(F.broadcast(odds), "lang").select("text", "lang", ticket, "odds").filter(F.col("ticket") < F.col("odds") * (1 << 30))
     drawn = drawn.select("text", "lang", F.floor(F.col("ticket") / F.col("odds")).alias("ticket"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +215,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     drawn = map_batches(drawn, sparse, "lang string, ticket long, at array<int>, counts array<int>").filter("at is not null").orderBy("ticket", "lang", F.xxhash64("at", "counts")).limit(fit_rows)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        rows = []
+        rows, number = [], {lang: i for i, lang in enumerate(langs)}
         for b in batches:
             for lang, at, counts in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
                 at = at.values.to_numpy()
                 x = np.log1p(counts.values.to_numpy()) * idf[at]
-                rows.append((at.astype(np.int64), x / max(np.sqrt(x @ x), 1e-12), langs.index(lang)))
+                rows.append((at.astype(np.int64), x / max(np.sqrt(x @ x), 1e-12), number[lang]))
         if not rows:
             return
         weights, bias, temperature = fit_calibrated(rows, len(langs), dims)
@@ -251,7 +235,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns in keep, then language and score under the given names. The model, DIMS x MAX_LANGS weights at most, is broadcast."""
+    """The columns in keep, then language and score under the given names. The model, a weight for each bucket and language, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 

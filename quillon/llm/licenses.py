@@ -1,8 +1,13 @@
 """Licence scan: TF-IDF cosine of headers and whole files to licence notices and texts, then inheritance from directories.
 
-SQL functions only. Null texts have no licence. A null path has no directory and inherits nothing. Every row is
-scanned by itself, whatever its key: null and repeated keys keep their own licences. Ties go to the first licence
-in alphabetical order, between licence files of one directory to the higher cosine, then the first licence. Very
+SQL functions only. Of a file's matching parts the one with the largest matched weight decides, which is its cosine
+times its norm, so that a whole text outweighs a line of it; a line that only reserves all rights decides where
+nothing else matches. A part that names versions matches no template of other versions. A file with an
+SPDX-License-Identifier has the licence that it declares, an expression of several as it stands, and never inherits.
+
+Null texts have no licence. A null path has no directory and inherits nothing. Every row is scanned by itself,
+whatever its key: null and repeated keys keep their own licences. Ties go to the higher cosine, then the first
+licence in alphabetical order, also between licence files of one directory. Very
 long texts are scanned whole; only those of their lines, paragraphs and sentences that can match are compared. An
 empty table gives an empty result; other columns than the three named ones are dropped.
 """
@@ -51,19 +56,20 @@ _CC = "This work is licensed under a Creative Commons {} 4.0 International Licen
 _CC_MORE = " To view a copy of this license, visit http://creativecommons.org/licenses/{}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
 
 
-def _gnu(name: str, version: str) -> tuple[str, ...]:
-    return ("This program" + _GNU.format(name, version), "This program" + _GNU.format(name, version) + _GNU_MORE.format(name))
+def _gnu(name: str, version: str, date: str) -> tuple[str, ...]:
+    title = f"GNU {name.upper()} Version {version}, {date}"
+    return (title, "This program" + _GNU.format(name, version), "This program" + _GNU.format(name, version) + _GNU_MORE.format(name))
 
 
 def _cc(code: str, title: str) -> tuple[str, ...]:
-    return (f"Licensed under CC {code.upper()} 4.0.", _CC.format(title), _CC.format(title) + _CC_MORE.format(code))
+    return (f"Licensed under CC {code.upper()} 4.0.", _CC.format(title), _CC.format(title) + _CC_MORE.format(code), f"Creative Commons {title} 4.0 International Public License")
 
 
-#: The notices by which works declare these licences, and the texts of the short ones.
+#: The notices by which works declare these licences, the titles of the long ones and the texts of the short ones.
 TEMPLATES = {
-    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", *_gnu("Affero General Public License", "3")),
+    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0", *_gnu("Affero General Public License", "3", "19 November 2007")),
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
@@ -77,9 +83,9 @@ TEMPLATES = {
     "CC-BY-4.0": _cc("by", "Attribution"),
     "CC-BY-NC-4.0": _cc("by-nc", "Attribution-NonCommercial"),
     "CC-BY-SA-4.0": _cc("by-sa", "Attribution-ShareAlike"),
-    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal public domain dedication."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0", *_gnu("General Public License", "2")),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", *_gnu("General Public License", "3")),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the CC0 1.0 Universal public domain dedication."),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0", *_gnu("General Public License", "2", "June 1991")),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", *_gnu("General Public License", "3", "29 June 2007")),
     "ISC": (
         "SPDX-License-Identifier: ISC", "Released under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
@@ -87,7 +93,8 @@ TEMPLATES = {
         "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
         "USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0", *_gnu("Lesser General Public License", "3")),
+    "LGPL-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1", *_gnu("Lesser General Public License", "2.1", "February 1999")),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0", *_gnu("Lesser General Public License", "3", "29 June 2007")),
     "MIT": (
         "Released under the MIT License.", "Released under MIT.", "SPDX-License-Identifier: MIT", "Licensed under the MIT license.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
@@ -95,7 +102,7 @@ TEMPLATES = {
         "notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY,
     ),
     "MPL-2.0": (
-        "Subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "Subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
     "Proprietary": ("All rights reserved.", "Copyright, all rights reserved."),
@@ -111,7 +118,15 @@ STOP = frozenset("all also above agreed along been each had he her his how howev
 MIN_COSINE = 0.6
 #: Stems that headers have and prose seldom has; anchor() adds what is wanting.
 STEMS = ("licen", "copyright", "reserved", "redistribut", "unencumbered", "warrant", "cc0", "creative", "sublicense")
-#: A file is a licence file if its whole text matches, or if so named and any part of it matches.
+#: The licences whose templates end with the whole text: a file that is such a text is a licence file, whatever its name.
+WHOLE_TEXTS = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT")
+#: What decides only where nothing else matches.
+LAST = "Proprietary"
+#: How a text names a licence's version, and the expression that it declares.
+VERSION = r"(?<![a-z])(?:version|v\.?|attribution(?:-[a-z]+)*|licenses/[a-z-]+/)[\s,]*(\d+(?:\.\d+)*)"
+_ID = r"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
+DECLARED = rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
+#: A file is a licence file if so named and any part of it matches.
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 #: Directories with a licence that are broadcast; more are joined by shuffle.
 BROADCAST_DIRS = 20_000
@@ -121,6 +136,22 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
+def versions(text: Column) -> Column:
+    """The version numbers that a text names, 2.0 being 2."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(VERSION), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda v: F.regexp_replace(v, r"(\.0)+$", "")))
+
+
+def declared(text: Column) -> Column:
+    """The expression of the text's first SPDX line, without brackets around the whole; null without one."""
+    said = F.regexp_replace(F.regexp_extract(text, DECLARED, 1), r"^\(([^()]*)\)$|\.$", "$1")
+    return F.when(F.contains(text, F.lit("SPDX-License-Identifier:")), F.nullif(said, F.lit("")))
+
+
+def template_versions() -> list[list[str]]:
+    return [sorted({re.sub(r"(\.0)+$", "", v) for v in re.findall(VERSION, text.lower())}) for texts in TEMPLATES.values() for text in texts]
+
+
 def template_weights() -> tuple[list[tuple[str, dict[str, float]]], dict[str, float], float]:
     """(licence, weights of unit length by term) of each template, idf over the templates, ln((1 + T) / (1 + df)) + 1, and that of other terms.
 
@@ -188,7 +219,7 @@ def segments(text: Column, pattern: str) -> Column:
 
 
 def headers(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(row, licence, cosine, whole): of files (row, segments) the best matching segment, and whether the whole text matches.
+    """(row, licence, cosine, whole): of files (row, segments) the weightiest matching segment, and whether the file is a whole licence text.
 
     Each segment's term counts are made once; its norm and its products with all templates are sums of one
     aggregate. The templates' weights are a row for each of their terms, which bounds the broadcast.
@@ -200,18 +231,21 @@ def headers(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
         for term, w in weights.items():
             entries.setdefault(term, []).append((i, w))
     vocabulary = spark.createDataFrame([(t, idf[t], e) for t, e in entries.items()], "term string, idf double, entries array<struct<t:int,w:double>>")
-    names = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(templates)], "t int, licence string")
-    parts = files.filter("segments is not null").select("row", F.posexplode("segments").alias("part", "text"))
-    tf = parts.select("row", "part", F.explode(_terms(F.col("text"))).alias("term")).filter(~F.col("term").isin(*sorted(STOP))).groupBy("row", "part", "term").agg(F.count("*").alias("tf"))
+    ends = [i == len(texts) - 1 and name in WHOLE_TEXTS for name, texts in TEMPLATES.items() for i in range(len(texts))]
+    names = spark.createDataFrame([(i, name, v, end) for i, ((name, _), v, end) in enumerate(zip(templates, template_versions(), ends))], "t int, licence string, of_versions array<string>, text boolean")
+    parts = files.filter("segments is not null").select("row", F.posexplode("segments").alias("part", "text")).withColumn("versions", versions(F.col("text")))
+    tf = parts.select("row", "part", "versions", F.explode(_terms(F.col("text"))).alias("term")).filter(~F.col("term").isin(*sorted(STOP))).groupBy("row", "part", "versions", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("x", (1 + F.log("tf")) * F.coalesce("idf", F.lit(other_idf)))
     own = F.array(F.struct(F.lit(-1).alias("t"), (F.col("x") * F.col("x")).alias("v")))
     shared = F.transform(F.coalesce("entries", F.array().cast("array<struct<t:int,w:double>>")), lambda e: F.struct(e["t"].alias("t"), (F.col("x") * e["w"]).alias("v")))
-    sums = weighed.select("row", "part", F.explode(F.concat(own, shared)).alias("e")).groupBy("row", "part", "e.t").agg(F.sum("e.v").alias("v"))
+    sums = weighed.select("row", "part", "versions", F.explode(F.concat(own, shared)).alias("e")).groupBy("row", "part", "versions", "e.t").agg(F.sum("e.v").alias("v"))
     sums = sums.join(F.broadcast(names), "t", "left")
-    best = F.min(F.when(F.col("t") >= 0, F.struct((-F.round("v", 9)).alias("v"), "licence")))
+    agrees = (F.size("versions") == 0) | (F.size("of_versions") == 0) | F.arrays_overlap("versions", "of_versions")
+    best = F.min(F.when((F.col("t") >= 0) & agrees, F.struct((-F.round("v", 9)).alias("v"), "licence", "text")))
     each = sums.groupBy("row", "part").agg(F.max(F.when(F.col("t") < 0, F.col("v"))).alias("norm"), best.alias("b"))
-    scored = each.select("row", "part", "b.licence", F.round(-F.col("b.v") / F.sqrt("norm"), 6).alias("cosine")).filter(F.col("cosine") >= min_cosine)
-    found = scored.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"), F.max(F.col("part") == 0).alias("whole"))
+    scored = each.select("row", "part", "b.licence", "b.text", F.round(-F.col("b.v"), 6).alias("weight"), F.round(-F.col("b.v") / F.sqrt("norm"), 6).alias("cosine")).filter(F.col("cosine") >= min_cosine)
+    order = F.struct(F.col("licence") == LAST, (-F.col("weight")).alias("w"), (-F.col("cosine")).alias("c"), "licence")
+    found = scored.groupBy("row").agg(F.min(order).alias("b"), F.max((F.col("part") == 0) & F.col("text")).alias("whole"))
     return found.select("row", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), "whole")
 
 
@@ -221,7 +255,7 @@ def parent(path: Column) -> Column:
 
 
 def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFrame:
-    """(key, path, licence, cosine, origin, inherited_from): origin is header, inherited or none.
+    """(key, path, licence, cosine, origin, inherited_from): origin is header, inherited or none; a declared licence that no part matches has no cosine.
 
     The texts are read once; what is stored of them are the segments that may match. Licence files give their
     directory its licence. Every distinct directory of files looks up its ancestors, itself first, by an equal join
@@ -230,13 +264,14 @@ def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFr
     text, path = F.coalesce(F.col(text_col), F.lit("")), F.col(path_col)
     rows = files.select(
         F.monotonically_increasing_id().alias("row"), F.col(key_col).alias("key"), path.alias("path"), parent(path).alias("dir"),
-        F.coalesce(path.rlike(FILE_NAME), F.lit(False)).alias("named"), segments(text, anchor()).alias("segments"),
+        F.coalesce(path.rlike(FILE_NAME), F.lit(False)).alias("named"), declared(text).alias("declared"), segments(text, anchor()).alias("segments"),
     )
     rows = materialise(rows, "segments")
     own = materialise(headers(rows.select("row", "segments")), "headers")
-    scanned = materialise(rows.drop("segments").join(own, "row", "left"), "scanned")
+    own = rows.drop("segments").join(own, "row", "left").withColumn("licence", F.coalesce("declared", "licence"))
+    scanned = materialise(own.drop("declared"), "scanned")
     given = scanned.filter("(named or whole) and licence is not null and dir is not null")
-    dirs = given.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("licence"))).alias("b"))
+    dirs = given.groupBy("dir").agg(F.min(F.struct(F.coalesce(-F.col("cosine"), F.lit(0.0)).alias("c"), F.col("licence"))).alias("b"))
     dirs = materialise(dirs.select(F.col("dir").alias("ancestor"), F.col("b.licence").alias("dir_licence"), (-F.col("b.c")).alias("dir_cosine")), "licensed-dirs")
     steps = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
@@ -245,4 +280,4 @@ def scan(files: DataFrame, key_col: str, path_col: str, text_col: str) -> DataFr
     nearest = materialise(nearest.select(F.col("dir").alias("of_dir"), "b.ancestor", "b.dir_licence", "b.dir_cosine"), "nearest")
     joined = scanned.join(broadcast_if_small(nearest, BROADCAST_DIRS), F.col("licence").isNull() & (F.col("dir") == F.col("of_dir")), "left")
     origin = F.when(F.col("licence").isNotNull(), "header").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none")
-    return joined.select("key", "path", F.coalesce("licence", "dir_licence").alias("licence"), F.coalesce("cosine", "dir_cosine").alias("cosine"), origin.alias("origin"), F.col("ancestor").alias("inherited_from"))
+    return joined.select("key", "path", F.coalesce("licence", "dir_licence").alias("licence"), F.when(F.col("licence").isNotNull(), F.col("cosine")).otherwise(F.col("dir_cosine")).alias("cosine"), origin.alias("origin"), F.col("ancestor").alias("inherited_from"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import broadcast_if_small, map_batches, materialise
+from quillon.llm.shared import broadcast_if_small, map_batches, materialise, unused
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -204,14 +204,21 @@ BROADCAST_IDS = 500_000
 def drop_near_copies(docs: DataFrame, radius: int = 3) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Of rows that share a doc_id, null included, one stays if any of them is the first of its group.
+    Of rows that share a doc_id, null included, one stays if any of them is the first of its group: the one that
+    comes first by its columns, compared as text from the left, nulls first.
     """
+    mark = unused("doc_id", docs.columns)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     verdicts = near_groups(docs, radius=radius).groupBy("doc_id").agg(F.max(first).alias("kept"), F.count("*").alias("copies"))
-    apart = materialise(verdicts.filter("not kept or copies > 1").withColumnRenamed("doc_id", "__id"), "dropped")
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    apart = materialise(verdicts.filter("not kept or copies > 1").select(F.col("doc_id").alias(mark), "kept"), "dropped")
+    same = docs["doc_id"].cast("long").eqNullSafe(apart[mark])
     out = docs.join(broadcast_if_small(apart, BROADCAST_IDS), same, "left_anti")
     repeated = apart.filter("kept")
     if repeated.isEmpty():
         return out
-    return out.unionByName(docs.join(broadcast_if_small(repeated, BROADCAST_IDS), same, "left_semi").dropDuplicates(["doc_id"]))
+    # rows of one doc_id are few as a rule, but may be many: the least is kept by an aggregate, not by sorting them
+    shared = docs.join(broadcast_if_small(repeated, BROADCAST_IDS), docs["doc_id"].cast("long").eqNullSafe(repeated[mark]), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = shared.groupBy("doc_id").agg(F.min_by(whole, order).alias("row"))
+    return out.unionByName(kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
