@@ -12,33 +12,39 @@ from quillon.plans.session import table
 from quillon.sources import jobs
 
 FLAT = "regexp_replace(regexp_replace(coalesce(c.text, ''), '\\s+', ' ', 'g'), '^ | $', '', 'g')"
-#: The routed questions' SQL with two sub-queries of each question in their place.
+#: The routed questions' SQL with two sub-queries of each passage in their place.
 PAIRS_SQL = """
-q as (select item_id || '/' || i as qid, 'src' || (item_id % 37 + i) || ' ' || text as query, 'src' || (item_id % 37 + i) as company, cast(2020 + item_id % 3 as varchar) as year, case when item_id % 40 = 0 then 'annual' else 'q3' end as period from benchmark, (select unnest([0, 1]) as i) where item_id % 20 = 0),"""
-COMPARE_SQL = R.EVIDENCE_SQL.replace(R.ROUTED_SQL, PAIRS_SQL).replace("select a.item_id as qid, b.vec_id as key", "select a.item_id || '/' || i as qid, b.vec_id as key").replace("partition by a.item_id order by", "partition by a.item_id, i order by").replace("embeddings b where a.item_id % 20 = 0) where rank <= 300", "embeddings b, (select unnest([0, 1]) as i) where a.item_id % 20 = 0) where rank <= 300")
+q as (select item_id || '/' || i as qid, item_id as item, 'src' || (item_id % 37 + i) || ' ' || text as query, 'src' || (item_id % 37 + i) as company, cast(2020 + item_id % 3 as varchar) as year, case when item_id % 40 = 0 then 'annual' else 'q3' end as period, '' as metric from benchmark, (select unnest([0, 1]) as i) where item_id % 20 = 0),"""
+COMPARE_SQL = R.evidence_sql().replace(R.ROUTED_SQL, PAIRS_SQL)
 
 
 def _comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages asked of two sources each, which stand for companies."""
-    asked = R._routed_questions(spark, sf_dir)
+    asked = R._asked(spark, sf_dir)
     company = lambda i: F.concat(F.lit("src"), (F.col("qid") % 37 + i).cast("string"))
-    year = (2020 + F.col("qid") % 3).cast("string")
-    return asked.withColumns({"companies": F.array(company(0), company(1)), "company_short": company(0), "year": year, "question_type": F.lit("compare"), "query": F.coalesce("query", F.lit(""))})
+    year, period = (2020 + F.col("qid") % 3).cast("string"), F.when(F.col("qid") % 40 == 0, "annual").otherwise("q3")
+    return asked.select("qid", F.col("qid").alias("item"), F.coalesce("text", F.lit("")).alias("query"), F.array(company(0), company(1)).alias("companies"), company(0).alias("company_short"), year.alias("year"), period.alias("period"), F.lit("").alias("metric"), F.lit("compare").alias("question_type"))
 
 
 @R.registered(f"with {COMPARE_SQL} select cast(split_part(qid, '/', 1) as bigint) as qid, cast(split_part(qid, '/', 2) as int) as sub_idx, key, round(score, 6) as score, cast(rank as int) as rank from evidence where rank <= 5")
 def retrieve_compare(spark, sf_dir):
-    hits = retriever.retrieve_compare(_comparisons(spark, sf_dir), R._routed_chunks(spark, sf_dir), R._global_hits(spark, sf_dir), pattern=R.WORD)
+    asked = _comparisons(spark, sf_dir)
+    hits = retriever.retrieve_compare(asked, R._routed_chunks(spark, sf_dir), R._global_hits(spark, sf_dir, asked), pattern=R.WORD)
     return R._rounded(hits.select("qid", "sub_idx", "key", "score", "rank"), "score")
 
 
-@R.registered(f"""with {R.EVIDENCE_SQL}, top as (select e.qid, {FLAT} as f from evidence e join c using (key) where e.rank = 1)
+FINAL_SQL = (R.CANDIDATE_SQL + f""",
+scores as (select f.qid, f.key, f.rank as hybrid_rank, 0.1 * f.score + {R.HITS_SQL} as score from fused f join q using (qid) join c using (key)),
+final as (select * from (select *, row_number() over (partition by qid order by round(score, 9) desc, hybrid_rank, key) as rank from scores) where rank <= 5)""").replace("ARM", "50").replace("GLOBAL", "500")
+
+
+@R.registered(f"""with {FINAL_SQL}, top as (select e.qid, {FLAT} as f from final e join c using (key) where e.rank = 1)
 select q.qid, case when f is null then '{A.REFUSAL}' when length(f) <= 900 then f || ' [E1]' else rtrim(left(f, 900)) || '... [E1]' end as answer, f is null as refused, coalesce(n, 0) as n_evidences
-from q left join top using (qid) left join (select qid, cast(count(*) as int) as n from evidence where rank <= 5 group by qid) using (qid)""")
+from q left join top using (qid) left join (select qid, cast(count(*) as int) as n from final group by qid) using (qid)""")
 def answers_routed(spark, sf_dir):
-    """Questions answered from their own routed evidence by the template generator."""
+    """Questions answered from their own reranked evidence by the template generator."""
     parsed = R._routed_questions(spark, sf_dir).withColumns({"question_type": F.lit("fact"), "companies": F.array("company_short")})
-    found = retriever.answer_questions(parsed, R._routed_chunks(spark, sf_dir), R._global_hits(spark, sf_dir), pattern=R.WORD)
+    found = retriever.answer_questions(parsed, R._routed_chunks(spark, sf_dir), R._global_hits(spark, sf_dir, parsed), pattern=R.WORD)
     return found.select("qid", "answer", "refused", F.size("evidences").alias("n_evidences"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.vectors import dot, l2_norm, l2_normalize
 from quillon.operators import answer as A
-from quillon.operators import chunking, dense, evaluate, graph, layout, metadata, ranking, retriever
+from quillon.operators import chunking, dense, evaluate, graph, layout, metadata, ranking, retriever, routing
 from quillon.operators import query as Q
 from quillon.operators.lexical import bm25_top_k
 from quillon.plans.session import table
@@ -222,25 +222,35 @@ def route_relaxed(spark, sf_dir):
 
 
 def _routed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks: the source stands for the company, the id gives a year, the language a period."""
+    """Documents as chunks, four to a document: the source stands for the company, the id gives a year, the language a period."""
     docs = table(spark, sf_dir, "documents")
     period = F.when(F.col("lang") == "en", "annual").when(F.col("lang") == "de", "q1").otherwise("")
-    return docs.select(F.col("doc_id").alias("key"), "doc_id", "text", F.array("source").alias("companies"), (2020 + F.col("doc_id") % 3).cast("string").alias("year"), period.alias("period"))
+    name = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 4).cast("string"))
+    names = F.array_compact(F.array("source", name, F.concat(F.col("doc_id").cast("string"), F.lit(".md"))))
+    return docs.select(F.col("doc_id").alias("key"), name.alias("doc"), "text", names.alias("companies"), (2020 + F.col("doc_id") % 3).cast("string").alias("year"), period.alias("period"))
 
 
 def _routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as parsed questions; some name no company, or one that no chunk has."""
-    item = F.col("item_id")
-    company = F.when(item % 100 == 40, "").otherwise(F.concat(F.lit("src"), (item % 37).cast("string")))
-    year, period = F.when(item % 60 == 0, "").otherwise((2020 + item % 3).cast("string")), F.when(item % 40 == 0, "annual").otherwise("q3")
-    return table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(item.alias("qid"), F.col("text").alias("query"), company.alias("company_short"), year.alias("year"), period.alias("period"), F.lit("").alias("metric"))
+    """Benchmark passages as parsed questions, each in seven ways: company, year and period or some of them, a company that no chunk has, or nothing.
+
+    A company is a part of its sources' names; metrics are parts of words.
+    """
+    item, way = F.col("item_id"), F.col("way")
+    company = F.when(way.isin(1, 5, 6), "").when(way == 4, "nobody").otherwise(F.concat(F.lit("RC "), ((F.floor(item / 20) + way) % 20).cast("string")))
+    year = F.when(way.isin(1, 2, 6), "").otherwise((2020 + way % 3).cast("string"))
+    period = F.when(way.isin(3, 6), "").when(way % 2 == 0, "annual").otherwise("q3")
+    metric = F.when(way % 3 == 0, "tion").when(way % 3 == 1, "ment").otherwise("")
+    rows = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("way"))
+    return rows.select((10 * item + way).alias("qid"), item.alias("item"), F.col("text").alias("query"), company.alias("company_short"), year.alias("year"), period.alias("period"), metric.alias("metric"))
 
 
 ROUTED_SQL = """
-q as (select item_id as qid, text as query, case when item_id % 100 = 40 then '' else 'src' || (item_id % 37) end as company, case when item_id % 60 = 0 then '' else cast(2020 + item_id % 3 as varchar) end as year, case when item_id % 40 = 0 then 'annual' else 'q3' end as period from benchmark where item_id % 20 = 0),"""
+q as (select 10 * item_id + v as qid, item_id as item, text as query, case when v in (1, 5, 6) then '' when v = 4 then 'nobody' else 'rc' || cast(((item_id - item_id % 20) / 20 + v) % 20 as bigint) end as company, case when v in (1, 2, 6) then '' else cast(2020 + v % 3 as varchar) end as year,
+  case when v in (3, 6) then '' when v % 2 = 0 then 'annual' else 'q3' end as period, case v % 3 when 0 then 'tion' when 1 then 'ment' else '' end as metric from (select *, unnest(range(0, 7)) as v from benchmark where item_id % 20 = 0)),"""
 ROUTE_SQL = ROUTED_SQL + """
-c as (select doc_id as key, text, source, cast(2020 + doc_id % 3 as varchar) as year, case lang when 'en' then 'annual' when 'de' then 'q1' else '' end as period from documents),
-hits as (select qid, key, case when c.period = '' or c.period = q.period then 0 else 1 end as level from q join c on (q.company <> '' and c.source = q.company and (q.year = '' or c.year = q.year)) or (q.company = '' and q.year <> '' and c.year = q.year)),
+c as (select doc_id as key, 'd' || cast((doc_id - doc_id % 4) / 4 as bigint) as doc, text, lower(source) as source, cast(2020 + doc_id % 3 as varchar) as year, case lang when 'en' then 'annual' when 'de' then 'q1' else '' end as period from documents),
+hits as (select qid, key, case when q.period = '' or c.period = '' or c.period = q.period then 0 else 1 end as level from q join c on (q.company <> '' or q.year <> '' or q.period <> '') and (q.company = '' or contains(c.source, q.company) or contains(c.doc, q.company) or contains(c.key || '.md', q.company)) and (q.year = '' or c.year = q.year)
+  and (q.company <> '' or q.year <> '' or c.period = '' or c.period = q.period)),
 best as (select qid, min(level) as m from hits group by qid),
 cand as (select qid, key, level from hits join best using (qid) where level = m union all select qid, key, 2 from q, c where qid not in (select qid from best))"""
 LOCAL_SQL = f"""{ROUTE_SQL},
@@ -253,41 +263,62 @@ raw as (select qid, word, ln(n - df + 0.5) - ln(df + 0.5) as idf from df join si
 idf as (select qid, word, case when idf < 0 then 0.25 * avg(idf) over (partition by qid) else idf end as idf from raw),
 asked as (select qid, word, count(*) as times from (select qid, unnest(regexp_extract_all(coalesce(query, ''), '{WORD}')) as word from q) group by qid, word),
 scored as (select qid, key, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) as score from postings join asked using (qid, word) join idf using (qid, word) join sizes using (qid) group by qid, key having sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) > 0),
-bm25 as (select qid, key, score, rank from (select *, row_number() over (partition by qid order by round(score, 9) desc, key) as rank from scored) where rank <= 50)"""
-EVIDENCE_SQL = LOCAL_SQL + """,
-global as (select * from (select a.item_id as qid, b.vec_id as key, list_inner_product(v.embedding::double[], b.embedding::double[]) as score,
-  row_number() over (partition by a.item_id order by round(list_inner_product(v.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) as rank
-  from benchmark a join embeddings v on v.vec_id = a.item_id, embeddings b where a.item_id % 20 = 0) where rank <= 300),
-dense as (select qid, key, score, rank from (select g.qid, g.key, g.score, row_number() over (partition by g.qid order by round(g.score, 9) desc, g.key) as rank from global g join cand on cand.qid = g.qid and cand.key = g.key) where rank <= 50),
-dn as (select *, case when max(score) over (partition by qid) - min(score) over (partition by qid) < 1e-12 then 1.0 else (score - min(score) over (partition by qid)) / (max(score) over (partition by qid) - min(score) over (partition by qid)) end as s from dense),
-bn as (select *, case when max(score) over (partition by qid) - min(score) over (partition by qid) < 1e-12 then 1.0 else (score - min(score) over (partition by qid)) / (max(score) over (partition by qid) - min(score) over (partition by qid)) end as s from bm25),
+bm25 as (select qid, key, score, rank from (select *, row_number() over (partition by qid order by round(score, 9) desc, key) as rank from scored) where rank <= ARM)"""
+_SCALED = "case when max(score) over (partition by qid) - min(score) over (partition by qid) < 1e-12 then 1.0 else (score - min(score) over (partition by qid)) / (max(score) over (partition by qid) - min(score) over (partition by qid)) end as s"
+CANDIDATE_SQL = LOCAL_SQL + f""",
+global as (select * from (select q.qid, b.vec_id as key, list_inner_product(v.embedding::double[], b.embedding::double[]) as score,
+  row_number() over (partition by q.qid order by round(list_inner_product(v.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) as rank
+  from q join embeddings v on v.vec_id = q.item, embeddings b) where rank <= GLOBAL),
+cdocs as (select distinct qid, doc from cand join c using (key)),
+dense as (select qid, key, score, rank from (select g.qid, g.key, g.score, row_number() over (partition by g.qid order by round(g.score, 9) desc, g.key) as rank from global g join c on c.key = g.key join cdocs on cdocs.qid = g.qid and cdocs.doc = c.doc) where rank <= ARM),
+dn as (select *, {_SCALED} from dense),
+bn as (select *, {_SCALED} from bm25),
 merged as (select coalesce(dn.qid, bn.qid) as qid, coalesce(dn.key, bn.key) as key, dn.rank as dr, bn.rank as br, 0.5 * coalesce(dn.s, 0) + 0.5 * coalesce(bn.s, 0) as score from dn full outer join bn on dn.qid = bn.qid and dn.key = bn.key),
-fused as (select * from (select *, row_number() over (partition by qid order by round(score, 9) desc, dr nulls last, br nulls last, key) as rank from merged) where rank <= 50),
-signals as (select f.qid, f.key, f.rank as hybrid_rank, 0.1 * f.score + (select count(*) from (select distinct unnest(regexp_extract_all(q.query, '[\\p{L}\\p{N}]{2,}')) as t) where contains(c.text, t)) as score from fused f join q using (qid) join c using (key)),
+fused as (select * from (select *, row_number() over (partition by qid order by round(score, 9) desc, dr nulls last, br nulls last, key) as rank from merged) where rank <= ARM)"""
+HITS_SQL = "(select count(*) from (select distinct unnest(regexp_extract_all(q.query, '[\\p{L}\\p{N}]{2,}')) as t) where contains(coalesce(c.text, ''), t))"
+
+
+def evidence_sql(arm: int = 50, top: int = 300) -> str:
+    """The evidence of the questions q, by arms of so many hits and so many dense hits of the whole corpus."""
+    sql = CANDIDATE_SQL + f""",
+signals as (select f.qid, f.key, f.rank as hybrid_rank, 0.1 * f.score + case when q.metric <> '' and contains(coalesce(c.text, ''), q.metric) then 10 else 0 end + {HITS_SQL} as score from fused f join q using (qid) join c using (key)),
 evidence as (select * from (select *, row_number() over (partition by qid order by round(score, 9) desc, hybrid_rank, key) as rank from signals where score > 0) where rank <= 10)"""
+    return sql.replace("ARM", str(arm)).replace("GLOBAL", str(top))
 
 
-@registered(f"with {ROUTE_SQL} select qid, count(*) as chunks, count(distinct key) as docs, cast(min(level) as int) as level from cand group by qid")
+@registered(f"with {ROUTE_SQL} select qid, count(*) as chunks, count(distinct doc) as docs, cast(min(level) as int) as level from cand join c using (key) group by qid")
 def route_chunks(spark, sf_dir):
-    chunks = _routed_chunks(spark, sf_dir)
-    return retriever.candidate_counts(*retriever.routes(_routed_questions(spark, sf_dir), chunks), chunks)
+    return routing.routes(_routed_questions(spark, sf_dir), _routed_chunks(spark, sf_dir)).counts()
 
 
-@registered(f"with {LOCAL_SQL} select qid, key, round(score, 6) as score, cast(rank as int) as rank from bm25 where qid in (select qid from best)")
+@registered(f"with {LOCAL_SQL.replace('ARM', '50')} select qid, key, round(score, 6) as score, cast(rank as int) as rank from bm25 where qid in (select qid from best)")
 def bm25_routed(spark, sf_dir):
     chunks, asked = _routed_chunks(spark, sf_dir), _routed_questions(spark, sf_dir)
-    routed, _ = retriever.routes(asked, chunks)
-    return _rounded(retriever.bm25_in_candidates(chunks, asked.select("qid", F.col("query").alias("text")), routed, 50, WORD), "score").select("qid", "key", "score", "rank")
+    routed = routing.routes(asked, chunks)
+    texts = asked.select("qid", F.col("query").alias("text")).join(routed.asked, "qid")
+    return _rounded(retriever.bm25_in_candidates(chunks, texts, routed.candidates(), 50, WORD), "score").select("qid", "key", "score", "rank")
 
 
-def _global_hits(spark: SparkSession, sf_dir: str, k: int = 300) -> DataFrame:
+def _global_hits(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int = 500) -> DataFrame:
+    """The dense hits of the questions (qid, item), whose vectors are their items'."""
     vectors = _vectors(spark, sf_dir).select("key", "vector")
-    return dense.exact_top_k(_asked(spark, sf_dir).join(vectors.withColumnRenamed("key", "qid"), "qid").select("qid", "vector"), vectors, k)
+    return dense.exact_top_k(asked.select("qid", "item").join(vectors.withColumnRenamed("key", "item"), "item").select("qid", "vector"), vectors, k)
 
 
-@registered(f"with {EVIDENCE_SQL} select qid, key, round(score, 6) as score, cast(rank as int) as rank from evidence")
+@registered(f"with {evidence_sql()} select qid, key, round(score, 6) as score, cast(rank as int) as rank from evidence")
 def retrieve_fact(spark, sf_dir):
-    return _rounded(retriever.retrieve(_routed_questions(spark, sf_dir), _routed_chunks(spark, sf_dir), _global_hits(spark, sf_dir), pattern=WORD), "score")
+    asked = _routed_questions(spark, sf_dir)
+    return _rounded(retriever.retrieve(asked, _routed_chunks(spark, sf_dir), _global_hits(spark, sf_dir, asked), pattern=WORD), "score")
+
+
+SUMMARY_SQL = evidence_sql(retriever.SUMMARY_ARM, retriever.SUMMARY_GLOBAL).replace("case when v in (3, 6) then ''", "case when v in (1, 3, 6) then ''")
+
+
+@registered(f"with {SUMMARY_SQL} select qid, key, round(score, 6) as score, cast(rank as int) as rank from evidence")
+def retrieve_summary(spark, sf_dir):
+    """In the sizes of summaries; the question of a period alone is not routed."""
+    asked = _routed_questions(spark, sf_dir)
+    return _rounded(retriever.retrieve_summary(asked, _routed_chunks(spark, sf_dir), _global_hits(spark, sf_dir, asked), pattern=WORD), "score")
 
 
 @registered("select page_id, coalesce(nullif(regexp_extract(url, '(20[0-9]{2})', 1), ''), '') as year, lower(regexp_replace(url, '\\s+', '', 'g')) as normal from pages")

@@ -11,7 +11,7 @@ from quillon.plans.catalog import ORACLE_SQL, QUERIES
 from quillon.plans.retrieval import _questions
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["bm25_topk", "dense_topk", "hybrid_topk", "truncate_text", "chunk_windows", "route_relaxed", "file_name_metadata", "citation_check", "metrics_by_type", "table_to_markdown", "route_chunks", "bm25_routed", "retrieve_fact", "retrieve_compare", "answers_routed", "chunk_documents", "chunk_grid_stats", "standard_chunks", "parse_query", "compare_subqueries", "item_ranks", "experiment_summary", "index_reports"]
+FAST = ["bm25_topk", "dense_topk", "hybrid_topk", "truncate_text", "chunk_windows", "route_relaxed", "file_name_metadata", "citation_check", "metrics_by_type", "table_to_markdown", "route_chunks", "bm25_routed", "retrieve_fact", "retrieve_summary", "retrieve_compare", "answers_routed", "chunk_documents", "chunk_grid_stats", "standard_chunks", "parse_query", "compare_subqueries", "item_ranks", "experiment_summary", "index_reports"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -126,6 +126,56 @@ def test_compare_and_summary_questions_are_retrieved(spark):
     assert {1} <= {r.key for r in got if r.qid == 2} <= {1, 2} and {1} <= {r.key for r in got if r.qid == 3}
 
 
+def test_names_contain_companies(spark):
+    """Against comparing all pairs, with short names, none, and letters that no name has."""
+    import random
+
+    from quillon.operators import routing
+
+    rng = random.Random(8)
+    draw = lambda lo, hi: "".join(rng.choices("ab甲乙公司", k=rng.randint(lo, hi)))
+    names, needles = {draw(1, 9) for _ in range(150)}, {draw(1, 4) for _ in range(60)} | {"zz", "z"}
+    got = routing.containing(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in names], "name string"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, y) for x in needles for y in names if x in y)
+
+
+def test_routes_by_parts_of_names_and_periods_alone(spark):
+    from quillon.operators import routing
+
+    chunks = [(1, "d1", ["甲公司"], "2023", "annual"), (2, "d1", ["甲公司"], "2023", "q1"), (3, "d2", ["乙"], "2022", ""), (4, "d3", ["丙", "A甲 B"], "2022", None), (5, "d4", None, None, "q1")]
+    frame = spark.createDataFrame(chunks, "key int, doc string, companies array<string>, year string, period string")
+    asked = [(1, "甲", "", ""), (2, "甲公司", "2023", "q3"), (3, "", "", "q1"), (4, "", "2022", "annual"), (5, "", "", ""), (6, "丁", "2023", ""), (7, "a 甲", "", "annual"), (8, "甲", "", "")]
+    questions = spark.createDataFrame(asked, "qid int, company_short string, year string, period string")
+    routed = routing.routes(questions, frame)
+    pairs = routed.asked.join(routed.candidates(), "route").collect()
+    found = {q: sorted(r.key for r in pairs if r.qid == q) for q in range(1, 9)}
+    assert found == {1: [1, 2, 4], 2: [1, 2], 3: [2, 3, 4, 5], 4: [3, 4], 5: [], 6: [], 7: [4], 8: [1, 2, 4]}
+    assert {r.qid: (r.chunks, r.docs, r.level) for r in routed.counts().collect()} == {1: (3, 2, 0), 2: (2, 1, 1), 3: (4, 4, 0), 4: (2, 2, 0), 5: (5, 4, 2), 6: (5, 4, 2), 7: (1, 1, 0), 8: (3, 2, 0)}
+    assert routed.asked.select("route").distinct().count() == 7  # equal questions share a route
+    assert {r.qid for r in routing.routes(questions, frame, fallback=False).counts().collect()} == {1, 2, 3, 4, 5, 7, 8}
+
+
+def test_summaries_search_a_coarse_corpus_again(spark):
+    """Of a summary only the coarse dense hits are candidates, and a scorer orders what is fused."""
+    chunks = spark.createDataFrame([(k, f"word{k} common", ["A"], "", "") for k in range(8)], "key int, text string, companies array<string>, year string, period string")
+    parsed = spark.createDataFrame([(1, "common word7 word3", "summary", "", "", "", ""), (2, "common word7", "fact", "", "", "", "")], "qid int, query string, question_type string, company_short string, year string, period string, metric string")
+    hits = spark.createDataFrame([(q, k, 1.0 - k / 10) for q in (1, 2) for k in range(8)], "qid int, key int, score double")
+    got = retriever.final_candidates(parsed, chunks, hits, k=20, coarse_k=4).collect()
+    assert {r.key for r in got if r.qid == 1} == {0, 1, 2, 3} and {r.key for r in got if r.qid == 2} == set(range(8))
+    least = retriever.final_evidence(parsed.withColumn("companies", F.array().cast("array<string>")), chunks, hits, lambda q, t: -F.length(t) + F.col("key"), k=2).collect()
+    assert [r.key for r in sorted(least, key=lambda r: r["rank"]) if r.qid == 2] == [7, 6]
+    both = retriever.retrieve(parsed.filter("qid = 2"), chunks, hits, k=3, hybrid=False)
+    assert [r.key for r in both.orderBy("rank").collect()][0] == 7
+
+
+def test_subqueries_have_their_own_vectors(spark):
+    chunks = spark.createDataFrame([(k, "same text", ["A" if k < 2 else "B"], "", "") for k in range(4)], "key int, text string, companies array<string>, year string, period string")
+    parsed = spark.createDataFrame([(1, "A and B 和", ["A", "B"], "A", "", "", "")], "qid int, query string, companies array<string>, company_short string, year string, period string, metric string")
+    hits = spark.createDataFrame([(1, 0, 1, 0.9), (1, 0, 0, 0.1), (1, 1, 2, 0.9), (1, 1, 3, 0.5)], "qid int, sub_idx int, key int, score double")
+    got = retriever.retrieve_compare(parsed, chunks, hits, k_each=1).collect()
+    assert {(r.sub_idx, r.key) for r in got} == {(0, 1), (1, 2)}
+
+
 def test_items_are_evaluated(spark):
     items = spark.createDataFrame([(1, "fact", ["某某2023年年报"], ["营业收入", "毛利率"]), (2, "summary", ["x"], ["风电", "组件"]), (3, "fact", ["missing"], [])], "qid int, question_type string, truths array<string>, keywords array<string>")
     hits = spark.createDataFrame([(1, "m", "某某：2023年年报.pdf", "无", 1), (1, "m", "某某：2023年年报.pdf", "收入 毛利率", 2), (2, "m", "y", "风力发电", 1), (2, "m", "x", "风力发电", 2)], "qid int, method string, doc_id string, content string, rank int")
