@@ -206,15 +206,23 @@ def reachable(text: Column, min_cosine: float = MIN_COSINE) -> Column:
 
 def segments(text: Column, pattern: str) -> Column:
     """The whole text, empty if it can't match, its paragraphs, lines, sentences and runs of two or three sentences, those that can match; null for a text without the pattern."""
-    lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    has = lambda x: F.lower(x).rlike(pattern)
+    split = F.concat(F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+"), F.split(text, "\n"))
+    pieces = F.when(F.contains(text, F.lit("\n")), F.filter(split, lambda x: has(x) & (x != text))).otherwise(F.array().cast("array<string>"))
     sentences = F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?;]) ")
 
-    def runs(s: Column) -> Column:
-        numbered = F.transform(s, lambda x, i: F.array(x, F.concat_ws(" ", x, F.get(s, i + 1)), F.concat_ws(" ", x, F.get(s, i + 1), F.get(s, i + 2))))
-        return F.flatten(numbered)
-
-    pieces = F.concat(paragraphs, lines, F.element_at(F.transform(F.array(sentences), runs), 1))
-    matching = F.filter(F.array_distinct(F.filter(pieces, lambda x: F.lower(x).rlike(pattern) & (x != text))), lambda x: reachable(x))
+    def runs(z: Column) -> Column:
+        """Each sentence and it with the one and the two after it, where one of them matches: no match spans two, as none has a blank."""
+        s = z["s"]
+        hit = lambda i: F.coalesce(F.get(z["h"], i), F.lit(False))
+        near = lambda x, i: F.array(
+            F.when(hit(i), x), F.when(hit(i) | hit(i + 1), F.concat_ws(" ", x, F.get(s, i + 1))), F.when(hit(i) | hit(i + 1) | hit(i + 2), F.concat_ws(" ", x, F.get(s, i + 1), F.get(s, i + 2)))
+        )
+        return F.array_compact(F.flatten(F.transform(s, near)))
+
+    judged = F.transform(F.array(sentences), lambda s: F.struct(s.alias("s"), F.transform(s, has).alias("h")))
+    pieces = F.concat(pieces, F.element_at(F.transform(judged, runs), 1))
+    matching = F.filter(F.array_distinct(F.filter(pieces, lambda x: x != text)), lambda x: reachable(x))
     return F.when(F.lower(text).rlike(pattern), F.concat(F.array(F.when(reachable(text), text).otherwise("")), matching))
 
 
