@@ -14,9 +14,9 @@ from quillon.operators.metadata import FIELDS, document_metadata, document_title
 
 FENCED = r"(?is)\[TABLE_START\].*?\[TABLE_END\]"
 MIN_CHARS = 30
-#: A soft boundary must lie in the last 40 percent of a window.
+#: Fixed value: a soft boundary must lie in the last 40 percent of a window.
 SOFT_FROM = 0.6
-#: Soft boundaries, best first: a chunk may end after the last of a kind's marks.
+#: Soft boundaries, best first: a chunk may end after the last of a kind's marks.
 BOUNDARIES = (("\n\n",), ("。", "！", "？", "；"), (".", "!", "?", ";"), ("\n",), ("，", ","))
 WINDOWS = pa.list_(pa.struct([("start", pa.int32()), ("content", pa.string())]))
 

@@ -20,7 +20,7 @@ PQ_CANDIDATES = 160
 def _blocks(rows: DataFrame, id_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(block, ids array<long>, flat array<float>): rows packed by the thousand, by hash of their id."""
     blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.select(F.col(id_col).alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
+    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
     packed = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("rows"))
     return packed.select("block", F.col("rows.id").alias("ids"), F.flatten("rows.vector").alias("flat")).withColumn("blocks", F.lit(blocks))
 

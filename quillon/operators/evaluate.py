@@ -64,14 +64,14 @@ def any_doc_matches(predicted: Column, truths: Column) -> Column:
     return F.exists(truths, lambda t: doc_ids_match(predicted, t))
 
 
-def item_ranks(items: DataFrame, hits: DataFrame, summary_hits: int = 1, use_alias: bool = True) -> DataFrame:
+def item_ranks(items: DataFrame, hits: DataFrame, summary_hits: int = 1, use_alias: bool = True, methods: DataFrame | None = None) -> DataFrame:
     """(qid, question_type, method, doc_rank, evidence_rank), -1 for a miss, of items (qid, question_type, truths, keywords) by hits (qid, method, doc_id, content, rank).
 
     A document hit is of one of the truths; an evidence hit has the keywords as well: all of them, of a summary
-    summary_hits at least. Without keywords it is the document hit.
+    summary_hits at least. Without keywords it is the document hit. methods (method) are by default those of the hits.
     """
     groups = keyword_groups(F.col("keywords"), use_alias)
-    methods = hits.select("method").distinct()
+    methods = hits.select("method").distinct() if methods is None else methods
     rows = items.withColumn("groups", groups).join(F.broadcast(methods)).join(hits, ["qid", "method"], "left")
     doc = F.coalesce(any_doc_matches(F.col("doc_id"), F.col("truths")), F.lit(False))
     said = F.when(F.col("question_type") == "summary", keyword_match(F.col("content"), F.col("groups"), "at_least", summary_hits)).otherwise(keyword_match(F.col("content"), F.col("groups")))
@@ -142,8 +142,10 @@ def deltas(table: DataFrame, base: str, other: str, names: Sequence[str]) -> Dat
 
 
 def markdown(table: DataFrame, title: str, limit: int = 1000) -> str:
-    """A report's table as Markdown; for reports only, of at most limit rows."""
-    rows = table.limit(limit).collect()
+    """A report's table as Markdown; one of more than limit rows is no report and fails."""
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{title} has more than {limit} rows")
     shown = lambda x: f"{x:.4f}".rstrip("0").rstrip(".") if isinstance(x, float) else str(x)
     lines = [f"## {title}", "", "| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
     return "\n".join([*lines, *["| " + " | ".join(map(shown, r)) + " |" for r in rows]]) + "\n"

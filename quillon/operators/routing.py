@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.scratch import stored
 from quillon.functions.text import normalize_text
 from quillon.operators.metadata import period_matches
 
@@ -70,16 +71,17 @@ def routes(asked: DataFrame, chunks: DataFrame, fallback: bool = True) -> Routes
 
     companies are the names that a chunk goes by: of its company, document and file. Level 0 are the groups of the
     question's company, year and period, a group without a period passing; level 1 those of any period where there are
-    none. A question that asks for nothing searches all chunks, and with fallback so does one that finds none.
+    none. A question that asks for nothing searches all chunks, and with fallback so does one that finds none. What
+    the routes are made of is written once, as searches read it several times.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     names = F.array_sort(F.array_distinct(F.transform(F.coalesce("companies", F.array().cast("array<string>")), normalize_text)))
     doc = F.col("doc") if "doc" in chunks.columns else F.col("key")
     sides = chunks.select("key", doc.alias("doc"), names.alias("names"), text("year").alias("c_year"), text("period").alias("c_period"))
-    sides = sides.withColumn("group", _digest(F.col("names"), F.col("c_year"), F.col("c_period")))
+    sides = stored(sides.withColumn("group", _digest(F.col("names"), F.col("c_year"), F.col("c_period"))), "placed")
     groups = sides.groupBy("group").agg(F.first("names").alias("names"), F.first("c_year").alias("c_year"), F.first("c_period").alias("c_period"))
     wanted = asked.select("qid", normalize_text(F.col("company_short")).alias("company"), text("year").alias("year"), text("period").alias("period"))
-    wanted = wanted.withColumn("route", _digest(F.col("company"), F.col("year"), F.col("period")))
+    wanted = stored(wanted.withColumn("route", _digest(F.col("company"), F.col("year"), F.col("period"))), "routes")
     filters = wanted.select("route", "company", "year", "period").distinct()
 
     spelt = groups.select("group", "c_year", "c_period", F.explode("names").alias("name")).filter("name <> ''")
@@ -94,7 +96,7 @@ def routes(asked: DataFrame, chunks: DataFrame, fallback: bool = True) -> Routes
     undated = rest.filter("year = ''").select("route", "period", F.explode(F.array("period", F.lit(""))).alias("passes"))
     undated = undated.join(classes, F.col("passes") == F.col("c_period")).select("route", "group", "c_period", "period")
     hits = hits.unionByName(dated).unionByName(undated)
-    hits = hits.select("route", "group", F.when(period_matches(F.col("c_period"), F.col("period")), 0).otherwise(1).alias("level"))
+    hits = stored(hits.select("route", "group", F.when(period_matches(F.col("c_period"), F.col("period")), 0).otherwise(1).alias("level")), "routed")
     best = hits.groupBy("route").agg(F.min("level").alias("best"))
     found = hits.join(best, "route").filter("level = best").drop("best")
     whole = filters if fallback else filters.filter("company = '' and year = '' and period = ''")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,6 +83,84 @@ def parse_files(spark: SparkSession, folder: str, decoder: Callable[[bytes], lis
     return files.mapInPandas(run, "doc_id string, status string, error string, pages array<string>")
 
 
+def find_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(path, name, stem, bytes) of the files of a folder, or of one file; their contents are not read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.col("length").alias("bytes"))
+    return listed.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("stem"), "bytes")
+
+
+def find_jsonl_files(spark: SparkSession, *paths: str) -> list[str]:
+    """The *.jsonl files of folders and single files, each once, by name; a folder without any fails. There are as many as experiments."""
+    out: set[str] = set()
+    for path in paths:
+        found = [r.path for r in find_files(spark, path, "*.jsonl").collect()]
+        if not found:
+            raise FileNotFoundError(f"no *.jsonl file in {path}")
+        out.update(found)
+    return sorted(out)
+
+
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(query) of a file of JSON lines, those that are not blank, trimmed."""
+    query = F.btrim("query", F.lit(" \t\r\n"))
+    return read_jsonl(spark, path, "query string").select(query.alias("query")).filter("query <> ''")
+
+
+PARSED = "name string, bytes long, status string, error string, characters long, seconds double, text string"
+
+
+def parse_folder(spark: SparkSession, folder: str, out: str, decoder: Callable[[bytes], str], glob: str = "*.pdf", force: bool = False) -> DataFrame:
+    """Parse the files of a folder that have no text yet, and return the run's log (name, bytes, status, error, characters, seconds, run).
+
+    out/texts has the parsed files' texts and out/log a row for each file and run, both appended by run. A file is done
+    if its last entry of the same size has text; failed and empty ones are parsed again, and all of them with force. What
+    decoder raises is recorded for that file only. A run that dies leaves no log, so the next one does its files again;
+    read_parsed() takes a file's text from its last logged run.
+    """
+    files = find_files(spark, folder, glob)
+    log = read_log(spark, out)
+    run = 1 + (log.agg(F.max("run")).first()[0] or 0)
+    last = log.filter("status <> 'skipped'").groupBy("name").agg(F.max_by(F.struct("bytes", "status", "characters"), "run").alias("l"))
+    ready = F.lit(False) if force else F.coalesce((F.col("l.status") == "parsed") & (F.col("l.characters") > 0) & (F.col("l.bytes") == F.col("bytes")), F.lit(False))
+    marked = files.join(last, "name", "left").select("path", "name", "bytes", ready.alias("ready"))
+    contents = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
+    wanted = contents.join(marked.filter("not ready"), "path").select("name", "bytes", "content")
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, size, content in zip(frame["name"], frame["bytes"], frame["content"]):
+                began = time.perf_counter()
+                try:
+                    text, status, error = decoder(content), "parsed", None
+                except Exception as e:  # recorded in the row
+                    text, status, error = None, "failed", f"{type(e).__name__}: {e}"
+                rows.append((name, size, status, error, len(text or ""), time.perf_counter() - began, text))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in PARSED.split(", ")])
+
+    wanted.mapInPandas(parse, PARSED).withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{out}/texts")
+    skipped = marked.filter("ready").select("name", "bytes", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("long").alias("characters"), F.lit(0.0).alias("seconds"))
+    parsed = spark.read.schema(f"{PARSED}, run int").parquet(f"{out}/texts").filter(F.col("run") == run)
+    # the log goes last: what it names is written
+    parsed.drop("text", "run").unionByName(skipped).withColumn("run", F.lit(run)).write.mode("append").json(f"{out}/log")
+    return read_log(spark, out).filter(F.col("run") == run)
+
+
+def read_log(spark: SparkSession, out: str) -> DataFrame:
+    """All runs' entries; none where nothing has been logged."""
+    schema = "name string, bytes long, status string, error string, characters long, seconds double, run int"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/log")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{out}/log")
+
+
+def read_parsed(spark: SparkSession, out: str) -> DataFrame:
+    """(name, text) of the parsed files, each by its last logged run."""
+    last = read_log(spark, out).filter("status = 'parsed'").groupBy("name").agg(F.max("run").alias("run"))
+    return spark.read.schema(f"{PARSED}, run int").parquet(f"{out}/texts").join(last, ["name", "run"]).select("name", "text")
+
+
 def parse_stats(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("status").agg(F.count("*").alias("files"))
 

@@ -69,3 +69,42 @@ def test_stream_chunks_new_files_once(spark, tmp_path):
         stream_chunks(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", "doc_id long, text string", 100, 10).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.select("doc_id").distinct().count() == 2 and got.count() == got.select("chunk_id").distinct().count()
+
+
+def test_folders_are_parsed_in_runs(spark, tmp_path):
+    """Done, empty, failed and changed files over several runs, and one that dies before its log."""
+    folder, out = tmp_path / "in", f"{tmp_path}/out"
+    folder.mkdir()
+    for name, content in (("done", b"one"), ("void", b"empty"), ("broken", b"bad"), ("grown", b"x")):
+        (folder / f"{name}.pdf").write_bytes(content)
+    (folder / "other.txt").write_text("not read")
+    state = {b"empty": "", b"bad": None}
+
+    def decoder(content, known=dict(state)):
+        if content in known and known[content] is None:
+            raise ValueError("broken")
+        return known.get(content, content.decode())
+
+    first = {r.name: (r.status, r.characters) for r in files.parse_folder(spark, str(folder), out, decoder).collect()}
+    assert first == {"done.pdf": ("parsed", 3), "void.pdf": ("parsed", 0), "broken.pdf": ("failed", 0), "grown.pdf": ("parsed", 1)}
+    (folder / "grown.pdf").write_bytes(b"longer")
+    second = {r.name: (r.status, r.characters) for r in files.parse_folder(spark, str(folder), out, lambda c: {b"empty": "now", b"bad": "mended"}.get(c, c.decode())).collect()}
+    assert second == {"done.pdf": ("skipped", None), "void.pdf": ("parsed", 3), "broken.pdf": ("parsed", 6), "grown.pdf": ("parsed", 6)}
+    # texts of a run without a log do not count
+    spark.createDataFrame([("done.pdf", 3, "parsed", None, 4, 0.0, "half", 9)], files.PARSED + ", run int").write.mode("append").partitionBy("run").parquet(f"{out}/texts")
+    assert {r.name: r.text for r in files.read_parsed(spark, out).collect()} == {"done.pdf": "one", "void.pdf": "now", "broken.pdf": "mended", "grown.pdf": "longer"}
+    third = files.parse_folder(spark, str(folder), out, lambda c: "never").collect()
+    assert {r.status for r in third} == {"skipped"} and {r.run for r in third} == {3}
+    assert {r.status for r in files.parse_folder(spark, str(folder), out, lambda c: "all", force=True).collect()} == {"parsed"}
+    assert {r.text for r in files.read_parsed(spark, out).collect()} == {"all"}
+
+
+def test_files_and_queries_are_found(spark, tmp_path):
+    for name in ("b.jsonl", "a.jsonl", "c.txt"):
+        (tmp_path / name).write_text(json.dumps({"query": f" {name} "}) + "\n" + json.dumps({"query": "  "}) + "\n" + json.dumps({"other": 1}))
+    found = files.find_jsonl_files(spark, str(tmp_path), f"{tmp_path}/a.jsonl")
+    assert [p.rsplit("/", 1)[1] for p in found] == ["a.jsonl", "b.jsonl"]
+    assert [r.query for r in files.read_queries(spark, found[0]).collect()] == ["a.jsonl"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.find_jsonl_files(spark, f"{tmp_path}/none")
