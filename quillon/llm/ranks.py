@@ -13,8 +13,7 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> Da
 
     Rows are range-partitioned by group and order, so a group of any size is spread over tasks, and written once. A
     row's place is that among its partition's rows of the group, which are at most a partition's, plus how many rows
-    the partitions before have of it. Rows alike in group
-    and order come in any order.
+    the partitions before have of it. Rows alike in group and order come in any order, and are one partition's.
     """
     task, row = F.spark_partition_id().alias("__task"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__row")
     ordered = materialise(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).select("*", task, row), name)
