@@ -8,7 +8,7 @@ tokenizer's special tokens are those tokens in a text too, as add_special_tokens
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -19,6 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.blocks import expand
 from quillon.llm.shared import gathered, map_batches, materialise
 
 CAPACITY = 4096
@@ -29,63 +30,111 @@ SHARD_PIECES = 4096
 OPEN_SHARE = 0.95
 #: Text whose distinct chunks are encoded once.
 BLOCK_BYTES = 10 << 20
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 150_000
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space, word by word with a bounded memory of words.
+    """Ids of whole texts by a lower-casing tokenizer with word ends that drops white space, a block of texts at a time.
 
     White space separates words before anything else does, so a text's ids are those of its chunks between ASCII
     white space in order. Chunks of ASCII and Latin-1 letters, which need no normalisation but lower case, are cut
-    by the tokenizer's own pattern and go straight to its merge model; all others, and those that may hold a
-    special token, go to the tokenizer whole.
+    by the tokenizer's own pattern, and the words of a block's distinct ones are merged together in one call; all
+    others, and those that may hold a special token, go to the tokenizer whole.
+
+    The call merges by the ranks of tokens, the tokenizer by those of pairs. Both come to the same ids where each
+    token is what the tokenizer makes of that token's own text: two neighbours that make up a token, but are not the
+    pair that merges into it, would be what is left of its text. With by_rank false no chunk is merged by ranks.
     """
 
-    PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
-    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+    PLAIN = "^[\\x21-\\x7eÀ-ÖØ-öø-ÿ]*$"
+    PARTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
+    #: Ends a word in place of the tokenizer's mark; no chunk holds it.
+    MARK = "\n"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, by_rank: bool = True) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
-        shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + i) for i, b in enumerate(hidden)}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def part(self, part: str) -> tuple[int, ...]:
-        ids = self.memo.get(part)
-        if ids is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            letters = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode().decode("latin-1")))
-            ids = self.memo[part] = tuple(t.id for t in self.model.tokenize(letters))
-        return ids
-
-    def chunk(self, chunk: str) -> tuple[int, ...] | list[int]:
-        if chunk.isascii() and chunk.isalpha():
-            return self.part(chunk.lower())
-        if not self.PLAIN(chunk):
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return [i for part in self.PARTS(chunk.lower()) for i in self.part(part)]
-
-    def block(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """Ids of each text, as unsigned 32-bit numbers; each distinct chunk of the block is encoded once."""
+        self.by_rank = by_rank
+        if by_rank:
+            ids, tokens = word_tokens(path)
+            self.ids = np.array(ids, np.uint32)
+            ranks = {token: rank for rank, token in enumerate(tokens)}
+            self.last = np.fromiter((len(token) > 1 and token.endswith(self.MARK.encode()) for token in tokens), bool, len(tokens))
+            self.encoding = tiktoken.Encoding("own", pat_str=f"[^{self.MARK}]+{self.MARK}", mergeable_ranks=ranks, special_tokens={})
+
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks, and where each chunk's begin and how many they are."""
+        plain = np.zeros(len(chunks), bool)
+        if self.by_rank:
+            plain = pa.compute.and_not(pa.compute.match_substring_regex(chunks, self.PLAIN), pa.compute.match_substring(chunks, "<|")).to_numpy(zero_copy_only=False)
+        sizes, flat = np.zeros(len(chunks), np.int64), []
+        if plain.any():
+            marked = pa.compute.replace_substring_regex(pa.compute.utf8_lower(chunks.filter(pa.array(plain))), self.PARTS, f"\\1{self.MARK}")
+            words = np.cumsum(pa.compute.count_substring(marked, self.MARK).to_numpy())
+            text = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(marked)], pa.int32()), marked), "")[0].as_py()
+            ranks = self.encoding.encode_to_numpy(text, disallowed_special=())
+            word_ends = np.concatenate(([0], np.flatnonzero(self.last[ranks]) + 1))
+            sizes[plain] = np.diff(word_ends[words], prepend=0)
+            flat.append(self.ids[ranks])
+        others = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks.filter(pa.array(~plain)).to_pylist()]
+        sizes[~plain] = np.fromiter(map(len, others), np.int64, len(others))
+        flat.append(np.fromiter(chain.from_iterable(others), np.uint32))
+        # the others' ids stand behind those of the plain chunks
+        starts = np.empty(len(chunks), np.int64)
+        order = np.argsort(~plain, kind="stable")
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(flat), starts, sizes
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, as unsigned 32-bit numbers, and where each text's end."""
         chunks = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
         numbered = chunks.flatten().dictionary_encode()
-        ids = [self.chunk(c) for c in numbered.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        starts, codes = np.cumsum(sizes) - sizes, numbered.indices.to_numpy()
-        ends = np.cumsum(chunks.value_lengths().to_numpy())
-        for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
-            at = codes[a:b]
-            n = sizes[at]
-            to = np.cumsum(n)
-            yield flat[np.repeat(starts[at] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
+        flat, starts, sizes = self.chunks(numbered.dictionary)
+        codes = numbered.indices.to_numpy()
+        ends = np.cumsum(chunks.value_lengths().to_numpy(), dtype=np.int64)
+        return flat[expand(codes, starts, sizes)], np.concatenate(([0], np.cumsum(sizes[codes])))[ends]
+
+
+def merge_pairs(model: dict) -> list[tuple[str, str]]:
+    """The pairs that a tokenizer file's model merges, written as lists or, in older files, with a blank between."""
+    return [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+
+
+def word_tokens(path: str) -> tuple[list[int], list[bytes]]:
+    """Ids and bytes of a tokenizer file's tokens in the order in which they merge; a word's end is WordTokenizer.MARK.
+
+    Bytes come first, then bytes that end a word, so that a word's last byte takes its mark before anything merges.
+    Tokens that hold the mark as a character of the text are left out.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary, end, mark = model["vocab"], model["end_of_word_suffix"], WordTokenizer.MARK.encode()
+    # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
+    octet = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    ids, tokens = [], []
+    for token in chain(octet, (c + end for c in octet), map("".join, merge_pairs(model))):
+        body = bytes(map(octet.__getitem__, token.removesuffix(end)))
+        if mark not in body or token in octet:
+            ids.append(vocabulary[token])
+            tokens.append(body + mark if token.endswith(end) else body)
+    return ids, tokens
+
+
+def merges_by_rank(path: str) -> bool:
+    """Whether each token of a tokenizer file has one rank and is what the file's model makes of the token's own text."""
+    from tokenizers.models import BPE
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end, pairs = model["end_of_word_suffix"], merge_pairs(model)
+    products = list(map("".join, pairs))
+    if not end or len(set(products)) < len(products):
+        return False
+    options = {"vocab": model["vocab"], "merges": pairs}
+    ending, inner = BPE(**options, end_of_word_suffix=end), BPE(**options)
+    return all(len((ending if p.endswith(end) else inner).tokenize(p.removesuffix(end))) == 1 for p in products)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -93,18 +142,21 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and an end id, cut where longer than capacity."""
+    by_rank = merges_by_rank(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _tokenizers:
-            _tokenizers[vocabulary] = WordTokenizer(vocabulary)
+            _tokenizers[vocabulary] = WordTokenizer(vocabulary, by_rank)
         words = _tokenizers[vocabulary]
         for b in gathered(batches, 1, BLOCK_BYTES):
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), words.block(b.column(1))):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    cut = ids[at : at + capacity]
-                    rows.append((doc, k, at, len(cut), zlib.crc32(cut)))
+            all_ids, ends = words.block(b.column(1))
+            all_ids = np.insert(all_ids, ends, END_ID).astype("<u4", copy=False)
+            ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+            for doc, begin, end in zip(b.column(0).to_pylist(), [0, *ends], ends):
+                for k, at in enumerate(range(begin, end, capacity)):
+                    cut = all_ids[at : min(at + capacity, end)]
+                    rows.append((doc, k, at - begin, len(cut), zlib.crc32(cut)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 3))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -315,6 +315,46 @@ def test_packing_is_whole_and_tight(docs, rows, empty):
     assert packing.packed_documents(empty, path).collect() == []
 
 
+def test_plain_words_of_a_block_are_merged_in_one_call():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng, (ids, tokens) = random.Random(8), packing.word_tokens(path)
+    assert len(ids) == len(tokens) == len(set(tokens)) and packing.merges_by_rank(path)
+    strings = [t.rstrip(b"\n").decode() for t in tokens if re.fullmatch(rb"[!-;=-~]+\n?", t)]
+    texts = [" ".join("".join(rng.choices(strings, k=rng.randint(1, 5))) for _ in range(400)) for _ in range(20)]
+    texts += ["Don't we'LL \t'tis--'s 1234 x<y |>\n", "", " ", "ÀÉÿ ßØÞ Ünïcode's", "a" * 3000, "q" + "they'reall" * 400]
+    words = packing.WordTokenizer(path)
+    tokenizer, words.tokenizer, words.model = words.tokenizer, None, None  # neither is asked for a plain word
+    got, ends = words.block(pa.array([*texts, None]))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(got, ends[:-1])] == [*want, []]
+    words.tokenizer = tokenizer
+    other = ["<|endoftext|>A B", "e\u0301t\u00e9 don\u2019t \u4e2d\u6587 H\u0331", "plain only", "\x00\x1c 5\u00d76"]
+    got, ends = words.block(pa.array(other))
+    assert [x.tolist() for x in np.split(got, ends[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in other]
+
+
+@pytest.mark.parametrize("older", [False, True])
+def test_tokens_that_their_own_text_does_not_give_are_not_merged_by_rank(spark, tmp_path, older):
+    import json
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    pairs, letters = [("b", "c"), ("a", "b"), ("ab", "c")], [t for t, i in file["model"]["vocab"].items() if i < 512]
+    file["model"]["vocab"] = {t: i for i, t in enumerate([*letters, *map("".join, pairs)])}
+    file["model"]["merges"] = [" ".join(p) for p in pairs] if older else pairs
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    text, tokenizer = "abcx Abc ab bcd", Tokenizer.from_file(str(path))
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    # abc is made of ab and c, but in abcx it is b and c that merge first
+    assert not packing.merges_by_rank(str(path)) and packing.WordTokenizer(str(path)).block(pa.array([text]))[0].tolist() != want
+    (row,) = packing.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), str(path)).collect()
+    assert (row.length, row.ids_crc32) == (len(want) + 1, zlib.crc32(np.array([*want, 1], "<u4").tobytes()))
+
+
 def test_sum_of_squares_takes_the_least_sum():
     lengths = np.array(random.Random(2).choices(range(1, 40), k=200))
     bins, offsets = packing.sum_of_squares(lengths, 64)
