@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ GARBLED = r"[\p{Co}\p{Cn}\p{Cs}\x{FFFD}\x{80}-\x{9F}\x00-\x08\x0B\x0C\x0E-\x1F]"
 SPACES = r"(?U)\s+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def present(value: Column) -> Column:
     """Null where the value is empty."""
     return F.nullif(value, F.lit(""))
@@ -33,7 +40,7 @@ def normalize_text(text: Column) -> Column:
 
 
 def clean_cell(cell: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(cell, F.lit("")), SPACES, " "), "^ | $", "")
+    return F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), SPACES, " "))
 
 
 def truncate_text(text: Column, limit: int) -> Column:

@@ -93,3 +93,54 @@ def test_spans_make_lines_and_tables_are_kept_once(spark):
     assert [r.seq for r in layout.distinct_tables(tables).orderBy("seq").collect()] == [0, 2]
     edge = spark.createDataFrame([(60.0, 79.0), (60.0, 81.0), (70.0, 85.0), (800.0, 815.0), (821.0, 890.0)], "y0 double, y1 double")
     assert [r[0] for r in edge.select(layout.is_header_footer(F.lit(900.0))).collect()] == [True, False, True, False, True]
+
+
+def test_pages_of_a_batch_are_as_pages_alone(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    box = [(c, pa.float64()) for c in layout.BOX]
+    kinds = pa.list_(pa.struct(box)), pa.list_(pa.struct([*box, ("text", pa.string())]))
+    rulings, words = [], []
+    for n in range(60):
+        lines = drawn([50.0 + 60 * i for i in range(n % 5 + 1)], [100.0 + 25 * j for j in range(n % 4 + 1)], (((0, 0), (1, 0)),) if n % 3 == 0 else ())
+        rulings.append([dict(zip(layout.BOX, line)) for line in lines.tolist() if rng.random() < 0.95] if n % 7 else None)
+        spots = [(float(rng.randint(50, 300)), float(rng.randint(100, 200))) for _ in range(n)]
+        words.append([{"x0": x, "y0": y, "x1": x + 9, "y1": y + 8, "text": rng.choice("abc")} for x, y in spots] if n else None)
+    whole = pages._tables(pa.array(rulings, kinds[0]), pa.array(words, kinds[1])).to_pylist()
+    for r, w, tables in zip(rulings, words, whole):
+        boxes = pages.cells(np.array([list(x.values()) for x in r or []]).reshape(-1, 4))
+        at = np.array([[x[c] for c in layout.BOX] for x in w or []]).reshape(-1, 4)
+        assert [t["rows"] for t in tables] == [pages.filled(t, at, [x["text"] for x in w or []]) for t in pages.tables_of(boxes)]
+        for t in tables:  # each word by itself
+            middle = {x["text"] for x in w or [] if t["x0"] <= (x["x0"] + x["x1"]) / 2 < t["x1"] and t["y0"] <= (x["y0"] + x["y1"]) / 2 < t["y1"]}
+            assert {c for row in t["rows"] for text in row for c in text or "" if c.strip()} <= middle
+    monkeypatch.setattr(pages, "PAIRS", 7)
+    assert pages._tables(pa.array(rulings, kinds[0]), pa.array(words, kinds[1])).to_pylist() == whole
+
+
+def test_text_of_many_cells_at_once():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    held = [[(float(rng.randint(0, 8)), float(rng.randint(0, 20)), float(rng.randint(5, 25)), rng.choice("abcd")) for _ in range(rng.randint(2, 5))] for _ in range(300)]
+    flat = [w for words in held for w in words]
+    got = pages._cell_texts(np.array([len(w) for w in held]), np.array([(x0, top, x1, top + 5) for top, x0, x1, _ in flat]), pa.array([w[3] for w in flat]))
+    assert got.to_pylist() == [pages.cell_text(w) for w in held]
+
+
+def test_columns_of_many_pages_at_once():
+    rng = random.Random(8)
+    edges = [[rng.choice([50.0, 60.0, 200.0, 330.0, 480.0, 50.0 + rng.random()]) for _ in range(rng.randint(1, 9))] for _ in range(80)]
+    page = np.repeat(np.arange(80), [len(e) for e in edges])
+    got = layout.columns_of(page, np.concatenate([np.array(e) for e in edges]), np.full(80, 600.0))
+    for i, e in enumerate(edges):
+        assert got[page == i].tolist() == layout.column_labels(np.array(e), 600.0).tolist()
+
+
+def test_page_queries_work_on_batches_and_shuffle_no_parts(spark):
+    from quillon.plans.catalog import QUERIES
+
+    for name, most in (("page_documents", 2),):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan and plan.count("Exchange hashpartitioning") <= most and plan.count("Scan parquet") == 1
