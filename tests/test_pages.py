@@ -141,6 +141,6 @@ def test_columns_of_many_pages_at_once():
 def test_page_queries_work_on_batches_and_shuffle_no_parts(spark):
     from quillon.plans.catalog import QUERIES
 
-    for name, most in (("page_documents", 2),):
+    for name, most in (("ruled_tables", 1), ("page_documents", 2)):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "InPandas" not in plan and plan.count("Exchange hashpartitioning") <= most and plan.count("Scan parquet") == 1
