@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Longest word in characters, and the words that are sent to every task; more are found by a join.
 MAX_WORD, BROADCAST_WORDS = 16, 500_000
+#: Runs of Han characters whose words a task remembers.
+KNOWN_RUNS = 50_000
 HAN = "一-鿿"
 RUNS = re.compile(f"[{HAN}]+|[A-Za-z0-9À-ÿ]+|[^\\s{HAN}A-Za-z0-9À-ÿ]")
 #: A number with its separators, and the units that may follow it.
@@ -42,15 +44,24 @@ def best_path(length: int, found: Mapping[int, list[tuple[int, float]]], floor:
     return out
 
 
-def words_of(text: str, scores: Mapping[str, float], floor: float, longest: int) -> list[str]:
+def words_of(text: str, scores: Mapping[str, float], floor: float, longest: int, known: dict[str, list[str]] | None = None) -> list[str]:
+    """The words of a text. known remembers those of runs from call to call with the same scores."""
     out: list[str] = []
     for match in RUNS.finditer(text):
         run = match.group()
         if not "一" <= run[0] <= "鿿":
             out.append(run)
             continue
+        if known is not None and run in known:
+            out += known[run]
+            continue
         found = {i: [(i + n, scores[run[i : i + n]]) for n in range(1, min(longest, len(run) - i) + 1) if run[i : i + n] in scores] for i in range(len(run))}
-        out += [run[a:b] for a, b in best_path(len(run), found, floor)]
+        words = [run[a:b] for a, b in best_path(len(run), found, floor)]
+        out += words
+        if known is not None:
+            if len(known) >= KNOWN_RUNS:
+                known.clear()
+            known[run] = words
     return out + NUMBERS.findall(text)
 
 
@@ -61,20 +72,20 @@ def segmented(rows: DataFrame, text_col: str, dictionary: DataFrame, out: str =
     the distinct runs of characters of all texts are joined with it, and the words found with their texts.
     """
     words = dictionary.filter((F.col("n") > 0) & (F.char_length("word") <= MAX_WORD)).groupBy("word").agg(F.sum("n").alias("n"))
-    total = words.agg(F.sum("n")).first()[0] or 1
-    floor = -math.log(total)
-    scored = words.select("word", (F.log(F.col("n")) + floor).alias("score"))
-    few = scored.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    some = words.select("word", "n", F.log("n").alias("log")).limit(BROADCAST_WORDS + 1).collect()
+    few = len(some) <= BROADCAST_WORDS
+    total, longest = (sum(r.n for r in some), max((len(r.word) for r in some), default=1)) if few else words.agg(F.sum("n"), F.max(F.char_length("word"))).first()
+    floor = -math.log(total or 1)
     names, schema = rows.columns, rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
     at = names.index(text_col)
-    known = rows.sparkSession.sparkContext.broadcast({r.word: r.score for r in scored.collect()}) if few else None
-    longest = scored.agg(F.max(F.char_length("word"))).first()[0] or 1
+    known = rows.sparkSession.sparkContext.broadcast({r.word: r.log + floor for r in some}) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[str, list[str]] | None = {} if few else None
         for b in batches:
             texts = b.column(at).to_pylist()
             own = [known.value] * len(texts) if few else [dict(x or []) for x in b.column(len(names)).to_pylist()]
-            found = [words_of(t or "", s, floor, longest) for t, s in zip(texts, own)]
+            found = [words_of(t or "", s, floor, longest, runs) for t, s in zip(texts, own)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.list_(pa.string()))], [*names, out])
 
     if few:
@@ -83,7 +94,7 @@ def segmented(rows: DataFrame, text_col: str, dictionary: DataFrame, out: str =
     runs = texts.select("__text", F.explode(F.regexp_extract_all(F.coalesce("__text", F.lit("")), F.lit(f"([{HAN}]+)"), F.lit(1))).alias("run"))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("run")))).alias("n")
     parts = runs.select("__text", "run", size).select("__text", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("run") - F.col("n") + 1), lambda i: F.substr("run", i, F.col("n")))).alias("word")).distinct()
-    held = parts.join(scored, "word").groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("word", "score"))).alias("__words"))
+    held = parts.join(words.select("word", (F.log("n") + floor).alias("score")), "word").groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct("word", "score"))).alias("__words"))
     return rows.join(held, F.col(text_col) == F.col("__text"), "left").select(*names, "__words").mapInArrow(run, f"{schema}, {out} array<string>")
 
 

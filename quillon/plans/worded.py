@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.scratch import stored
 from quillon.operators import query as Q
 from quillon.operators import segment
 from quillon.operators.lexical import bm25_top_k
-from quillon.plans.retrieval import QUESTION_SQL, _questions, _rounded, registered
+from quillon.plans.retrieval import QUESTION_SQL, _rounded, _spoken, registered
 from quillon.plans.session import table
 
 #: Words of the questions besides metrics; `年` begins two of them.
@@ -24,11 +25,12 @@ def _dictionary(spark: SparkSession, questions: DataFrame) -> DataFrame:
     """Metrics and the questions' other words, each with the number of questions that hold it."""
     words = spark.createDataFrame([(w,) for w in (*Q.METRICS, *FRAME)], "word string")
     held = questions.select(F.explode(F.array(*[F.when(F.contains("query", F.lit(w)), w) for w in (*Q.METRICS, *FRAME)])).alias("word"))
-    return words.join(held.filter("word is not null").groupBy("word").agg(F.count("*").alias("n")), "word", "left").fillna(1, ["n"])
+    counted = words.join(held.filter("word is not null").groupBy("word").agg(F.count("*").alias("n")), "word", "left").fillna(1, ["n"])
+    return spark.createDataFrame(counted.collect(), counted.schema)  # as many rows as names here
 
 
 def _worded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    questions = _questions(spark, sf_dir).select(F.col("qid").alias("key"), "query")
+    questions = _spoken(spark, sf_dir)[0].select(F.col("qid").alias("key"), "query")
     dictionary = _dictionary(spark, questions)
     return segment.segmented(questions, "query", dictionary).select("key", "words"), dictionary
 
@@ -52,5 +54,6 @@ select qid, key, round(score, 6) as score, cast(rank as int) as rank from ranked
 def bm25_words(spark, sf_dir):
     """A question about each nation against those of all orders, by words."""
     corpus, dictionary = _worded(spark, sf_dir)
+    corpus = stored(corpus, "words")  # read for frequencies and for scores
     asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), F.concat("n_name", F.lit("公司研发费用是多少")).alias("query"))
     return _rounded(bm25_top_k(corpus, segment.segmented(asked, "query", dictionary).select("qid", "words"), 20), "score").select("qid", "key", "score", "rank")

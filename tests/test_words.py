@@ -96,3 +96,27 @@ def test_registered_words_match_sql(spark):
         got, want = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(ORACLE_SQL[name]).df()
         columns = sorted(got.columns)
         assert sorted(map(repr, got[columns].itertuples(index=False, name=None))) == sorted(map(repr, want[columns].itertuples(index=False, name=None)))
+
+
+def test_scores_stay_with_their_documents(spark, monkeypatch):
+    from quillon.operators import lexical
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    corpus = spark.createDataFrame([(i * 7 % 400, rng.choices(words, [1 / (n + 1) for n in range(30)], k=rng.randint(0, 12))) for i in range(400)] + [(401, None), (402, [])], "key long, words array<string>").repartition(5)
+    asked = spark.createDataFrame([(q, rng.choices([*words, "unknown"], k=4)) for q in range(9)] + [(9, [])], "qid long, words array<string>")
+    shown = lambda df: [(r.qid, r.key, round(r.score, 9), r["rank"]) for r in df.orderBy("qid", "rank").collect()]
+    here = lexical.bm25_top_k(corpus, asked, 6)
+    assert "hashpartitioning(qid" in (plan := here._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(qid#" in plan and ", key#" not in "".join(x for x in plan.split("\n") if "hashpartitioning(qid" in x)
+    got = shown(here)
+    monkeypatch.setattr(lexical, "BLOCK_PARTS", 10)
+    assert shown(lexical.bm25_top_k(corpus, asked, 6)) == got
+    monkeypatch.setattr(lexical, "BROADCAST_WORDS", 3)
+    assert shown(lexical.bm25_top_k(corpus, asked, 6)) == got and len(got) > 30
+
+
+def test_runs_are_remembered_not_for_ever(monkeypatch):
+    monkeypatch.setattr(segment, "KNOWN_RUNS", 2)
+    scores, known = {"收入": -1.0, "入和": -0.5, "和": -2.0}, {}
+    texts = ["收入和a收入", "收入和", "和", "入和收", "收入"] * 2
+    assert [segment.words_of(t, scores, -9.0, 2, known) for t in texts] == [segment.words_of(t, scores, -9.0, 2) for t in texts] and len(known) <= 2
