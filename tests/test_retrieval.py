@@ -216,3 +216,32 @@ def test_comparisons_are_answered_from_both_companies(spark):
     hits = spark.createDataFrame([(q, k, 1.0) for q in (1, 2) for k in (1, 2)], "qid int, key int, score double")
     got = {r.qid: ([e.chunk_id for e in r.evidences], r.refused, r.question_type) for r in retriever.answer_questions(parsed, chunks, hits).collect()}
     assert got == {1: (["1", "2"], False, "compare"), 2: (["1"], False, "fact")}
+
+
+def test_lists_meet_queries_in_blocks(spark, monkeypatch):
+    from quillon.operators import dense
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[:300] = x[0] + x[:300] / 100  # one long list
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vector array<float>")
+    queries = vectors.filter("key % 7 = 0").withColumnRenamed("key", "qid")
+    centres = dense.train_centres(vectors, 12)
+    near = np.argsort(-(x @ centres.T), axis=1, kind="stable")
+    monkeypatch.setattr(dense, "VECTOR_BYTES", 32 * 90)
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(dense, "ROWS_AT_ONCE", 16)
+    for probes in (1, 3, 12):
+        found = dense.ivf_top_k(queries, dense.assign(vectors, centres), centres, 5, probes)
+        got = {(r.qid, r["rank"]): (r.key, round(r.score, 6)) for r in found.collect()}
+        want = {}
+        for q in range(0, 600, 7):
+            in_lists = np.flatnonzero(np.isin(near[:, 0], near[q, :probes]))
+            score = x[in_lists].astype(float) @ x[q].astype(float)
+            for rank, i in enumerate(np.lexsort((in_lists, -np.round(score, 9)))[:5].tolist()):
+                want[q, rank + 1] = (int(in_lists[i]), round(float(score[i]), 6))
+        assert got == want
+    exact = {(r.qid, r["rank"]): r.key for r in dense.exact_top_k(queries, vectors, 5).collect()}
+    assert exact == {at: key for at, (key, _) in got.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(list_id" not in plan  # no query is copied for each of its lists
