@@ -218,6 +218,23 @@ def test_comparisons_are_answered_from_both_companies(spark):
     assert got == {1: (["1", "2"], False, "compare"), 2: (["1"], False, "fact")}
 
 
+def test_best_of_a_row_by_its_neighbourhoods():
+    from quillon.operators import dense
+
+    rng = np.random.default_rng(3)
+    keys = rng.permutation(700)
+    score = np.round(rng.normal(size=(20, 700)), 2)  # many ties
+    score[:, rng.random(700) < 0.5] = -np.inf
+    score[3] = -np.inf
+    score[4, 7:] = -np.inf
+    rows, columns = dense.best_of(score, keys, 4)
+    for r in range(20):
+        want = sorted((-s, key) for s, key in zip(score[r].tolist(), keys.tolist()) if s != -np.inf)[:4]
+        assert [(-score[r, c], keys[c]) for c in columns[rows == r]] == want
+    whole = dense.best_of(score, keys, 4, finite=False)
+    assert (whole[0] == rows).all() and (whole[1] == columns).all()
+
+
 def test_lists_meet_queries_in_blocks(spark, monkeypatch):
     from quillon.operators import dense
 
