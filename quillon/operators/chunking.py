@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ MIN_CHARS = 30
 SOFT_FROM = 0.6
 #: Soft boundaries, best first: a chunk may end after the last of a kind's marks.
 BOUNDARIES = (("\n\n",), ("。", "！", "？", "；"), (".", "!", "?", ";"), ("\n",), ("，", ","))
+#: White space as (?U)\\s has it: within lines, and what else ends a line for a pattern.
+BLANKS, LINE_ENDS = "\t\x0b\x0c \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", "\x85\u2028\u2029"
+WHITE = BLANKS + LINE_ENDS + "\n\r"
+#: Characters whose windows are cut together, and fewer texts than that go on one by one.
+GRID_CHARS, FEW = 1 << 20, 40
 WINDOWS = pa.list_(pa.struct([("start", pa.int32()), ("content", pa.string())]))
 
 
@@ -34,7 +41,9 @@ def segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     tables = F.regexp_extract_all(text, F.lit(f"({FENCED})"), F.lit(1))
     between = F.split(text, FENCED, -1)
+    fenced = F.contains(F.upper(text), F.lit("[TABLE_START]"))
     pieces = F.flatten(F.transform(between, lambda t, i: F.array(F.struct(F.lit("text").alias("type"), t.alias("content")), F.struct(F.lit("table").alias("type"), F.coalesce(F.get(tables, i), F.lit("")).alias("content")))))
+    pieces = F.when(fenced, pieces).otherwise(F.array(F.struct(F.lit("text").alias("type"), text.alias("content"))))
     shown = F.filter(pieces, lambda p: p["content"].rlike(r"(?U)\S"))
     out = docs.select("*", F.posexplode(shown).alias("__i", "__s"))
     return out.select(*docs.columns, (F.col("__i") + 1).alias("segment_index"), F.col("__s.type").alias("segment_type"), F.col("__s.content").alias("content"))
@@ -106,13 +115,127 @@ def _chunks(docs: DataFrame, pairs: Sequence[tuple[int, int]], min_chars: int =
 
 def chunk_grid(docs: DataFrame, sizes: Iterable[int] = (256, 512, 1024), overlaps: Iterable[int] = (50, 100, 200), **names: str) -> DataFrame:
     """chunk_documents for every pair of size and overlap that is possible."""
+    return _chunks(docs, _grid(sizes, overlaps), **names)
+
+
+def _grid(sizes: Iterable[int], overlaps: Iterable[int]) -> list[tuple[int, int]]:
     overlaps = list(overlaps)
     pairs = [(s, o) for s in sizes for o in overlaps if o < s]
     if not pairs:
         raise ValueError("no pair of sizes is possible")
     for pair in pairs:
         check_sizes(*pair)
-    return _chunks(docs, pairs, **names)
+    return pairs
+
+
+def normal_text(text: str) -> str:
+    """normalize_document of a text without LINE_ENDS."""
+    text = re.sub("\n{3,}", "\n\n", text.replace("\r\n", "\n").replace("\r", "\n"))
+    return "\n".join([line.strip(BLANKS) for line in text.split("\n")]).strip(WHITE)
+
+
+def window_lengths(texts: Sequence[str], pairs: Sequence[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pair's number and the length without outer white space of each window that cut() makes of each text for each pair."""
+    n = np.array([len(t) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    here, none = np.arange(1, len(code) + 1, dtype=np.int32), np.zeros(1, np.int32)
+    is_in = lambda marks: np.isin(code, [ord(m) for m in marks])
+    # at each place the last end of a boundary of each kind, and of what is not white
+    last = lambda hit: np.concatenate((none, np.maximum.accumulate(np.where(hit, here, 0)) if len(code) else none[:0]))
+    white = is_in(WHITE)
+    ends, shown = [], last(~white)
+    for marks in BOUNDARIES:
+        hit = is_in({m[-1] for m in marks})
+        if marks == ("\n\n",):
+            hit[1:] &= hit[:-1].copy()
+            hit[:1] = False
+        ends.append((last(hit), len(marks[0])))
+    first = np.concatenate((np.minimum.accumulate(np.where(white, len(code), here - 1)[::-1])[::-1] if len(code) else none[:0], [len(code)]))
+    stop, pair = np.tile(np.cumsum(n), len(pairs)), np.repeat(np.arange(len(pairs)), len(texts))
+    start = stop - np.tile(n, len(pairs))
+    size, overlap = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+    soft = np.array([int(SOFT_FROM * s) for s, _ in pairs], np.int64)
+    live, out = np.flatnonzero(start < stop), []
+    while len(live) > FEW:
+        at, which = start[live], pair[live]
+        whole = at + size[which]
+        done = whole >= stop[live]
+        end = taken = np.minimum(whole, stop[live])
+        for known, width in reversed(ends):
+            soft_end = known[end]
+            taken = np.where(soft_end - at >= np.maximum(soft[which], width), soft_end, taken)
+        taken = np.where(done, stop[live], taken)
+        out.append((which, np.maximum(0, shown[taken] - first[at])))
+        start[live] = np.where(done, stop[live], taken - np.where(taken - at > overlap[which], overlap[which], 0))
+        live = live[~done]
+    rest: list[tuple[int, int]] = []
+    for i in live.tolist():
+        at, to, which = int(start[i]), int(stop[i]), int(pair[i])
+        (width, back), least = pairs[which], int(soft[which])
+        while at < to:
+            done = at + width >= to
+            taken = end = min(at + width, to)
+            for known, long in () if done else ends:
+                if (soft_end := int(known[end])) - at >= max(least, long):
+                    taken = soft_end
+                    break
+            rest.append((which, max(0, int(shown[taken]) - int(first[at]))))
+            at = to if done else taken - (back if taken - at > back else 0)
+    out.append(tuple(np.array(c, np.int64) for c in zip(*rest)) if rest else (np.zeros(0, np.int64),) * 2)
+    return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
+
+
+def grid_stats(docs: DataFrame, sizes: Iterable[int] = (256, 512, 1024), overlaps: Iterable[int] = (50, 100, 200), min_chars: int = MIN_CHARS, text_col: str = "text") -> DataFrame:
+    """chunk_stats(chunk_grid(docs, sizes, overlaps), "chunk_size", "overlap"), without making the chunks: batches of texts hand on counts and lengths.
+
+    The windows of all texts and pairs of a block of texts go on in step, by places of their boundaries.
+    """
+    pairs = _grid(sizes, overlaps)
+    parts = segments(docs.select(F.col(text_col).alias("text"))).drop("text")
+    is_text, content = F.col("segment_type") == "text", F.col("content")
+    odd = F.contains(content, F.lit(LINE_ENDS[0])) | F.contains(content, F.lit(LINE_ENDS[1])) | F.contains(content, F.lit(LINE_ENDS[2]))
+    rows = parts.select(is_text.alias("is_text"), odd.alias("odd"), F.when(is_text & odd, normalize_document(content)).otherwise(content).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(pairs)
+        total, text, chars = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        low, high = np.full(n, np.iinfo(np.int32).max), np.full(n, -1)
+
+        def add(which: np.ndarray, length: np.ndarray, of_text: int) -> None:
+            count = np.bincount(which, minlength=n)
+            total[:] += count
+            text[:] += of_text * count
+            np.add.at(chars, which, length)
+            np.minimum.at(low, which, length)
+            np.maximum.at(high, which, length)
+
+        def block(texts: list[str]) -> None:
+            which, length = window_lengths(texts, pairs)
+            kept = length >= min_chars
+            add(which[kept], length[kept], 1)
+
+        held, size = [], 0
+        for b in batches:
+            for is_text, odd, content in zip(*(c.to_pylist() for c in b.columns)):
+                if not is_text:
+                    add(np.arange(n), np.full(n, len(content.strip(WHITE))), 0)
+                    continue
+                held.append(content if odd else normal_text(content))
+                size += len(held[-1])
+                if size >= GRID_CHARS:
+                    block(held)
+                    held, size = [], 0
+        block(held)
+        shown = np.flatnonzero(total)
+        columns = [np.array([p[i] for p in pairs])[shown] for i in (0, 1)] + [c[shown] for c in (total, text, chars, low, high)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["chunk_size", "overlap", "total", "texts", "chars", "low", "high"])
+
+    sums = rows.mapInArrow(run, "chunk_size long, overlap long, total long, texts long, chars long, low long, high long").groupBy("chunk_size", "overlap")
+    found = sums.agg(*[F.sum(c).alias(c) for c in ("total", "texts", "chars")], F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.select(
+        F.col("chunk_size").cast("int").alias("chunk_size"), F.col("overlap").cast("int").alias("overlap"), F.col("total").alias("total_chunks"), F.col("texts").alias("text_chunks"), (F.col("total") - F.col("texts")).alias("table_chunks"),
+        F.round(F.col("chars").cast("double") / F.col("total"), 2).alias("avg_len"), F.col("low").cast("int").alias("min_len"), F.col("high").cast("int").alias("max_len"),
+    )
 
 
 def standard_chunks(docs: DataFrame, pairs: Sequence[tuple[int, int]] = ((1024, 50),), overrides: DataFrame | None = None) -> DataFrame:

@@ -262,3 +262,22 @@ def test_lists_meet_queries_in_blocks(spark, monkeypatch):
     assert exact == {at: key for at, (key, _) in got.items()}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(list_id" not in plan  # no query is copied for each of its lists
+
+
+def test_grid_stats_are_those_of_the_chunks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    pieces = ["\n\n", "\n", "。", "；", ". ", "! ", "，", ", ", " ", "\t", "\r\n", "\r", "　", " ", "\x85", "word", "字", "𝒳", "a" * 60, "[TABLE_START]\n| a |\n[table_end]", "[TABLE_START]", "\x1c"]
+    texts = ["".join(rng.choices(pieces, [8 if len(p) < 5 and p.isalnum() else 1 for p in pieces], k=rng.choice([0, 3, 40, 900]))) for _ in range(80)] + [None, "", " \n ", "x" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = chunking.chunk_stats(chunking.chunk_grid(docs, (40, 256), (0, 20, 50)), "chunk_size", "overlap")
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    got = chunking.grid_stats(docs, (40, 256), (0, 20, 50))
+    assert got.columns == want.columns and got.dtypes == want.dtypes and shown(got) == shown(want)
+    plain, pairs = [chunking.normal_text(t) for t in texts if t and "\x85" not in t], [(40, 0), (40, 20), (256, 50), (7, 3)]
+    cuts = sorted((i, len(c.strip(chunking.WHITE))) for i, how in enumerate(pairs) for t in plain for _, c in chunking.cut(t, *how, True))
+    for few in (0, 5, 10**9):
+        monkeypatch.setattr(chunking, "FEW", few)
+        assert sorted(zip(*(x.tolist() for x in chunking.window_lengths(plain, pairs)))) == cuts
+    assert chunking.grid_stats(docs.limit(0)).collect() == []
